@@ -60,7 +60,6 @@ items1 AS (
   SELECT *, CAST((gross - disc) * CAST(l_tax AS DECIMAL(4,2)) AS DECIMAL(12,2)) AS tax FROM items0),
 items AS (
   SELECT l_orderkey AS order_id, l_partkey AS product_id, CAST(l_quantity AS INTEGER) AS quantity,
-    CAST(round(CAST(gross * 100 AS BIGINT) / l_quantity) AS BIGINT) AS unit_cents,
     CAST(round(CAST(gross * 100 AS BIGINT) / l_quantity) / 100 AS DECIMAL(12,2)) AS unit_price,
     gross AS line_subtotal, disc AS discount_amount, tax AS tax_amount, CAST(gross - disc + tax AS DECIMAL(12,2)) AS total_amount,
     l_partkey % 8 = 0 AS from_recommendation, l_linenumber AS line_number, l_shipdate AS shipped_on,
@@ -86,7 +85,8 @@ EVENTS = """ev AS (
   SELECT event_id, user_id AS customer_id, c_nationkey AS merchant_id,
     CASE event_type WHEN 'view' THEN 'product_view' WHEN 'click' THEN 'add_to_cart' WHEN 'purchase' THEN 'purchase'
          WHEN 'signup' THEN 'sign_up' ELSE 'page_view' END AS event_type,
-    ts, ts + to_seconds(event_id % 90) AS received_at, CAST(value AS DECIMAL(12,2)) AS value, props AS properties,
+    ts, ts + to_seconds(event_id % 90) AS received_at, CAST(value AS DECIMAL(12,2)) AS value, CAST(value AS DECIMAL(12,2)) AS revenue,
+    CASE WHEN event_type = 'purchase' THEN event_id END AS order_id, props AS properties,
     user_id || '-' || strftime(ts, '%Y%m%d') AS session_id,
     CASE event_id % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' ELSE 'tablet' END AS device,
     CASE event_id % 4 WHEN 0 THEN 'ios' WHEN 1 THEN 'android' WHEN 2 THEN 'server' ELSE 'web' END AS source
@@ -108,3 +108,31 @@ subs AS (
     order_id // 10 % 3 + 1 AS interval_count,
     CASE WHEN order_id // 10 % 5 = 0 THEN 2 ELSE 0 END AS retry_count
   FROM ord WHERE order_id % 10 = 0)"""
+
+
+PAYLOADS = """payload AS (
+  SELECT event_id, CASE WHEN event_id % 29 <> 0 THEN user_id % 25 END AS merchant_id, list_extract(
+      ['product_view','product_view','add_to_cart','add_to_cart','purchase','purchase','page_view','page_view','custom','teleport','recommendation_view','logout',
+       'recommendation_click','search','search_click','sign_up','login'], event_id % 17 + 1) AS event_type,
+    CASE event_id % 17
+      WHEN 0 THEN '{"product_id":"prod_' || k || '","price":' || amount || '}'
+      WHEN 1 THEN '{"price":' || amount || ',"position":0}'
+      WHEN 2 THEN '{"product_id":"prod_' || k || '","quantity":' || (event_id % 1100) || '}'
+      WHEN 3 THEN '{"product_id":"sku' || repeat(k, 20) || '","quantity":"2"}'
+      WHEN 4 THEN '{"order_id":"order_' || event_id || '","revenue":' || amount || ',"items":[]}'
+      WHEN 5 THEN '{"order_id":null,"revenue":-' || amount || ',"items":{}}'
+      WHEN 6 THEN '{"page_path":"/p/' || k || '","page_title":' || k || '}'
+      WHEN 7 THEN '{}'
+      WHEN 8 THEN '{"event_name":"Bad Name ' || k || '"}'
+      WHEN 9 THEN '{"x":1}'
+      WHEN 10 THEN '{"placement":"' || CASE WHEN event_id % 2 = 0 THEN 'pdp' ELSE 'sidebar' END || '","product_ids":["a","b"],"strategy":"hybrid"}'
+      WHEN 11 THEN '{}'
+      WHEN 12 THEN '{"placement":"pdp","product_id":"a","position":2.0,"strategy":"hybrid"}'
+      WHEN 13 THEN '{"query":"ring","result_count":true,"filters":[]}'
+      WHEN 14 THEN '{"query":"ring","product_id":"a","position":' || (event_id % 5) || '}'
+      WHEN 15 THEN '{"method":"carrier pigeon"}'
+      ELSE '{}' END AS properties,
+    CASE event_id % 7 WHEN 0 THEN 'yesterday' WHEN 1 THEN '2024-01-15T12:00:00Z' END AS context_timestamp,
+    CASE WHEN event_id % 2 = 0 THEN 'sess_' || k END AS session_id, CASE WHEN event_id % 4 = 0 THEN CAST(user_id AS VARCHAR) END AS user_id,
+    CASE WHEN event_id % 5 = 0 THEN 'ios' WHEN event_id % 5 = 1 THEN 'fridge' END AS source, ts AS received_at
+  FROM (SELECT *, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR) AS amount FROM events))"""

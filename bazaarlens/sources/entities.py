@@ -158,13 +158,58 @@ def raw_events(spark: SparkSession, root: str) -> DataFrame:
         F.when(kind == "view", "product_view").when(kind == "click", "add_to_cart").when(kind == "purchase", "purchase")
         .when(kind == "signup", "sign_up").otherwise("page_view").alias("event_type"),
         F.col("ts"), (F.col("ts") + F.make_interval(secs=(k % 90).cast("decimal(18,6)"))).alias("received_at"),
-        money("value").alias("value"), F.col("props").alias("properties"),
+        money("value").alias("value"), money("value").alias("revenue"), F.when(kind == "purchase", k).alias("order_id"),
+        F.col("props").alias("properties"),
         F.concat_ws("-", F.col("user_id").cast("string"), F.date_format(F.to_date("ts"), "yyyyMMdd")).alias("session_id"),
         F.when(k % 3 == 0, "desktop").when(k % 3 == 1, "mobile").otherwise("tablet").alias("device"),
         F.when(k % 4 == 0, "ios").when(k % 4 == 1, "android").when(k % 4 == 2, "server").otherwise("web").alias("source"),
     )
 
 
+def raw_payloads(spark: SparkSession, root: str) -> DataFrame:
+    """Client payloads (JSON text) in every state of repair, from the event table."""
+    e, k = table(spark, root, "events"), F.col("event_id")
+    item, amount = F.get_json_object("props", "$.k"), F.col("value").cast("decimal(12,2)").cast("string")
+    q = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    cases = (
+        ("product_view", q('{"product_id":"prod_', item, '","price":', amount, "}")),
+        ("product_view", q('{"price":', amount, ',"position":0}')),
+        ("add_to_cart", q('{"product_id":"prod_', item, '","quantity":', (k % 1100).cast("string"), "}")),
+        ("add_to_cart", q('{"product_id":"sku', F.repeat(item, 20), '","quantity":"2"}')),
+        ("purchase", q('{"order_id":"order_', k.cast("string"), '","revenue":', amount, ',"items":[]}')),
+        ("purchase", q('{"order_id":null,"revenue":-', amount, ',"items":{}}')),
+        ("page_view", q('{"page_path":"/p/', item, '","page_title":', item, "}")),
+        ("page_view", q("{}")),
+        ("custom", q('{"event_name":"Bad Name ', item, '"}')),
+        ("teleport", q('{"x":1}')),
+        ("recommendation_view", q('{"placement":"', F.when(k % 2 == 0, "pdp").otherwise("sidebar"), '","product_ids":["a","b"],"strategy":"hybrid"}')),
+        ("logout", q("{}")),
+        ("recommendation_click", q('{"placement":"pdp","product_id":"a","position":2.0,"strategy":"hybrid"}')),
+        ("search", q('{"query":"ring","result_count":true,"filters":[]}')),
+        ("search_click", q('{"query":"ring","product_id":"a","position":', (k % 5).cast("string"), "}")),
+        ("sign_up", q('{"method":"carrier pigeon"}')),
+        ("login", q('{"method":"google"')),
+    )
+    pick = lambda i: _pick_columns(k % len(cases), [c[i] if i else F.lit(c[0]) for c in cases])
+    return e.select(
+        "event_id", F.when(k % 29 != 0, F.col("user_id") % 25).alias("merchant_id"), pick(0).alias("event_type"),
+        pick(1).alias("properties"),
+        F.when(k % 7 == 0, '{"timestamp":"yesterday"}').when(k % 7 == 1, '{"timestamp":"2024-01-15T12:00:00Z"}').otherwise("{}").alias("context"),
+        F.when(k % 3 == 0, F.lit("1705320000000")).when(k % 3 == 1, F.lit("1705320000")).otherwise("2024-01-15T12:00:00Z").alias("timestamp"),
+        F.when(k % 2 == 0, F.concat(F.lit("sess_"), item)).alias("session_id"), F.lit(None).cast("string").alias("anonymous_id"),
+        F.when(k % 4 == 0, F.col("user_id").cast("string")).alias("user_id"),
+        F.when(k % 5 == 0, "ios").when(k % 5 == 1, "fridge").otherwise(F.lit(None)).alias("source"),
+        F.concat_ws(".", F.lit("10"), (k % 4).cast("string"), (k % 250).cast("string"), F.lit("7")).alias("ip_address"),
+        F.col("ts").alias("received_at"))
+
+
+def _pick_columns(key: Column, values: list[Column]) -> Column:
+    expr = None
+    for i, value in enumerate(values):
+        expr = F.when(key == i, value) if expr is None else expr.when(key == i, value)
+    return expr
+
+
 def events(spark: SparkSession, root: str) -> DataFrame:
     return raw_events(spark, root).join(customer_merchant(spark, root), "customer_id")
 
