@@ -77,7 +77,7 @@ RULES: tuple[Rule, ...] = tuple(
 )
 
 PROBLEM = "struct<field:string,message:string,code:string,value:string>"
-RULE_FIELDS = "field string, type string, required boolean, min double, max double, max_length int, enum array<string>, pattern string"
+RULE_FIELDS = "field string, type string, required boolean, min double, max double, max_length int, enum array<string>, pattern string, limited boolean"
 # A custom check maps (properties VARIANT, context VARIANT) to a nullable PROBLEM.
 Check = Callable[[Column, Column], Column]
 
@@ -128,52 +128,44 @@ def _named(r: Column, *parts: Column | str) -> Column:
     return F.concat(F.lit("Field '"), r["field"], F.lit("' "), *[F.lit(x) if isinstance(x, str) else x for x in parts])
 
 
-def _required(x: Column) -> Column:
-    r = x["rule"]
-    text = lambda tail: F.concat(F.lit("Required field '"), r["field"], F.lit(tail))
-    return (F.when(r["required"] & x["type"].isNull(), _tail(r["field"], "required_field_missing", text("' is missing")))
-            .when(r["required"] & (x["type"] == "VOID"), _tail(r["field"], "required_field_null", text("' cannot be null"))))
-
-
-def _typed(x: Column) -> Column:
-    r = x["rule"]
-    return F.when(x["filled"] & ~x["fits"], _tail(
-        r["field"], "invalid_type", _named(r, "should be ", r["type"], ", got ", _host_name(x["type"])), x["text"]))
-
-
-def _limits(x: Column) -> Column:
-    """Constraint problems of one field; only a filled value of the right type is tested."""
-    r, ok, text, num = x["rule"], x["filled"] & x["fits"], x["text"], x["number"]
+def _limits(r: Column, got: Column) -> Column:
+    """Constraint problems of one filled, rightly typed field."""
+    text, num = F.try_variant_get(got, "$", "string"), F.try_variant_get(got, "$", "double")
     shown = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
-    return F.array(
-        F.when(ok & (num < r["min"]), _tail(r["field"], "below_minimum", _named(r, "must be at least ", shown(r["min"])), text)),
-        F.when(ok & (num > r["max"]), _tail(r["field"], "above_maximum", _named(r, "must be at most ", shown(r["max"])), text)),
-        F.when(ok & (F.length(text) > r["max_length"]), _tail(
+    found = F.array(
+        F.when(num < r["min"], _tail(r["field"], "below_minimum", _named(r, "must be at least ", shown(r["min"])), text))
+        .when(num > r["max"], _tail(r["field"], "above_maximum", _named(r, "must be at most ", shown(r["max"])), text)),
+        F.when(F.length(text) > r["max_length"], _tail(
             r["field"], "max_length_exceeded", _named(r, "exceeds max length of ", r["max_length"].cast("string")), text)),
-        F.when(ok & r["enum"].isNotNull() & ~F.array_contains(r["enum"], text), _tail(
+        F.when(r["enum"].isNotNull() & ~F.array_contains(r["enum"], text), _tail(
             r["field"], "invalid_enum_value", _named(r, "must be one of: ['", F.array_join(r["enum"], "', '"), "']"), text)),
-        F.when(ok & ~F.rlike(text, r["pattern"]), _tail(
+        F.when(r["pattern"].isNotNull() & ~F.rlike(text, r["pattern"]), _tail(
             r["field"], "pattern_mismatch", _named(r, "does not match pattern"), text)))
+    return found
 
 
-def rule_problems(rules: Column, v: Column) -> Column:
-    """Problems of a row: required fields first, then types, then constraints.
+def _field_problems(x: Column) -> Column:
+    """A field is absent, null, of the wrong type or subject to limits: one branch runs."""
+    r, t = x["rule"], x["type"]
+    absent = lambda code, tail: F.array(_tail(r["field"], code, F.concat(F.lit("Required field '"), r["field"], F.lit(tail))))
+    wrong = _tail(r["field"], "invalid_type", _named(r, "should be ", r["type"], ", got ", _host_name(t)), F.try_variant_get(x["got"], "$", "string"))
+    return (F.when(t.isNull(), F.when(r["required"], absent("required_field_missing", "' is missing")))
+            .when(t == "VOID", F.when(r["required"], absent("required_field_null", "' cannot be null")))
+            .when(~_fits(r["type"], t), F.array(wrong))
+            .when(r["limited"], _limits(r, x["got"])))
 
-    The rules of the row's event type are an array; each is paired once with the
-    type, text and number of its property, so the expression does not grow with
-    the number of rules.
-    """
-    props = F.try_variant_get(v, "$", "map<string,variant>")
-    def pair(r: Column) -> Column:
+
+def rule_readings(rules: Column, props: Column) -> Column:
+    """Each rule with the value of its property and that value's VARIANT type."""
+    def read(r: Column) -> Column:
         got = F.try_element_at(props, r["field"])
-        t = F.schema_of_variant(got)
-        filled = F.coalesce(t.isNotNull() & (t != "VOID"), F.lit(False))
-        return F.struct(
-            r.alias("rule"), t.alias("type"), filled.alias("filled"), (filled & _fits(r["type"], t)).alias("fits"),
-            F.try_variant_get(got, "$", "string").alias("text"), F.try_variant_get(got, "$", "double").alias("number"))
-    pairs = F.transform(rules, pair)
-    return F.filter(F.concat(F.transform(pairs, _required), F.transform(pairs, _typed), F.flatten(F.transform(pairs, _limits))),
-                    lambda x: x.isNotNull())
+        return F.struct(r.alias("rule"), got.alias("got"), F.schema_of_variant(got).alias("type"))
+    return F.transform(rules, read)
+
+
+def rule_problems(readings: Column) -> Column:
+    """All problems of a row, in rule order."""
+    return F.filter(F.flatten(F.filter(F.transform(readings, _field_problems), lambda a: a.isNotNull())), lambda x: x.isNotNull())
 
 
 def purchase_check(p: Column, _context: Column) -> Column:
@@ -214,7 +206,8 @@ class RuleBook:
     def rows(self) -> list[tuple]:
         number = lambda x: None if x is None else float(x)
         return [(r.event_type, r.name, r.type, r.required, number(r.min), number(r.max), r.max_length,
-                 None if r.enum is None else list(r.enum), r.pattern) for r in self.rules]
+                 None if r.enum is None else list(r.enum), r.pattern,
+                 any(x is not None for x in (r.min, r.max, r.max_length, r.enum, r.pattern))) for r in self.rules]
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """The rules as a table."""
@@ -255,6 +248,9 @@ def validated(raw: DataFrame, book: RuleBook | None = None, strict: bool = True,
         "_type": resolved, "_p": F.coalesce(F.try_parse_json("properties"), empty), "_c": F.coalesce(F.try_parse_json("context"), empty)})
     # The rule table is part of the program (tens of rows), so its broadcast is bounded.
     df = df.join(F.broadcast(book.by_type(raw.sparkSession)), F.col("_type") == F.col("_rule_type"), "left")
+    # Each stage reads the one before by name, so nothing is evaluated per reference.
+    df = df.withColumn("_props", F.try_variant_get("_p", "$", "map<string,variant>"))
+    df = df.withColumn("_readings", rule_readings(F.col("_rules"), F.col("_props")))
     v, c, t, ruled = F.col("_p"), F.col("_c"), F.col("_type"), F.col("_rules").isNotNull()
     own = _dispatch(t, {name: _none_dropped([chk(v, c) for chk in checks]) for name, checks in book.checks.items()}, _none_dropped([]))
     own = F.when(ruled, own).otherwise(_none_dropped([]))
@@ -264,14 +260,14 @@ def validated(raw: DataFrame, book: RuleBook | None = None, strict: bool = True,
     iso = F.regexp_replace(stamp, "Z", "+00:00").try_cast("timestamp")
     bad_stamp = F.when(ruled & (stamp_type == "STRING") & (iso.isNull() | ~stamp.rlike(r"^\d{4}-?\d{2}-?\d{2}")),
                        problem("context.timestamp", "invalid_timestamp", "Invalid timestamp format", stamp))
-    found = F.when(ruled, rule_problems(F.col("_rules"), v)).otherwise(_none_dropped([no_rules])).cast(f"array<{PROBLEM}>")
+    found = F.when(ruled, rule_problems(F.col("_readings"))).otherwise(_none_dropped([no_rules])).cast(f"array<{PROBLEM}>")
     df = df.withColumns({
         "errors": F.concat(found, own) if strict else found,
         "warnings": _none_dropped([bad_stamp]) if strict else F.concat(_none_dropped([bad_stamp]), own)})
     reject = (F.when(F.coalesce(F.col("merchant_id").cast("string"), F.lit("")) == "", "merchant_required")
               .when(t.isNull(), "unknown_event_type").when(F.size("errors") > 0, "validation_failed"))
     return df.withColumns({"reject_code": reject, "event_type": F.coalesce(t, F.col("event_type"))}).withColumn(
-        "is_valid", F.col("reject_code").isNull()).drop("_type", "_p", "_c", "_rule_type", "_rules")
+        "is_valid", F.col("reject_code").isNull()).drop("_type", "_p", "_c", "_rule_type", "_rules", "_props", "_readings")
 
 
 def parse_stamp(column: str) -> Column:

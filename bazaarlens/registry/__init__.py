@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("commerce", "behaviour")
+AREAS = ("commerce", "behaviour", "tables")
 
 
 def load():

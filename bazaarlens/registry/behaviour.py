@@ -526,7 +526,7 @@ def _(spark, root):
     return A.outliers(CM._daily(spark, root), "total_gmv")
 
 
-@query("al04_trend", "merchant_id:i order_date:d slope:r2",
+@query("al04_trend", "merchant_id:i order_date:d slope:r0",
        """SELECT merchant_id, order_date, CASE WHEN NOT isnan(slope) THEN slope END AS slope FROM (SELECT merchant_id, order_date, regr_slope(CAST(total_gmv AS DOUBLE), CAST(date_diff('day', DATE '1970-01-01', order_date) AS DOUBLE)) OVER (PARTITION BY merchant_id ORDER BY order_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS slope FROM daily)""", CM.DAILY_CTES)
 def _(spark, root):
     return A.trend(CM._daily(spark, root), "total_gmv")

@@ -62,7 +62,7 @@ def main(prefixes):
     from bazaarlens.session import get_session
 
     root = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = get_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+    spark = get_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                                   "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(root)
