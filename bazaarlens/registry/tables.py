@@ -242,7 +242,7 @@ elig AS (
     AND (kind <> 2 OR f.is_first_order) AND (kind <> 3 OR f.customer_tier IN ('platinum','gold'))),
 disc AS (
   SELECT *, CAST(least(coalesce(CASE kind WHEN 0 THEN least(CAST(subtotal * CAST(0.10 AS DECIMAL(3,2)) AS DECIMAL(12,2)), 20000) WHEN 1 THEN 500 WHEN 2 THEN shipping_amount
-      WHEN 3 THEN CAST(CAST(item_count // 3 AS DECIMAL(4,0)) * CAST(subtotal / CAST(item_count AS DECIMAL(4,0)) AS DECIMAL(12,2)) * CAST(0.5 AS DECIMAL(2,1)) AS DECIMAL(12,2))
+      WHEN 3 THEN CAST(CAST(item_count // 3 AS DECIMAL(4,0)) * CAST(round(CAST(subtotal * 100 AS BIGINT) / item_count) / 100 AS DECIMAL(12,2)) * CAST(0.5 AS DECIMAL(2,1)) AS DECIMAL(12,2))
       ELSE CASE WHEN subtotal >= 300000 THEN 9000 WHEN subtotal >= 100000 THEN 2000 END END, 0), greatest(subtotal, shipping_amount)) AS DECIMAL(12,2)) AS discount FROM elig),
 stk AS (SELECT * FROM (SELECT *, min(CASE WHEN is_exclusive THEN rk END) OVER (PARTITION BY order_id) AS best FROM (
   SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY priority DESC, promotion_id) AS rk FROM disc)) WHERE best IS NULL OR rk = best),
