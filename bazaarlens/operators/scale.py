@@ -58,7 +58,7 @@ def with_purchase_sequence(orders: DataFrame, history: DataFrame | None = None,
 def value_band(v: Column) -> Column:
     """Order-preserving integer band of a double: 32 bands per doubling, 0 for 0."""
     mag = F.floor(F.log2(F.abs(v)) * 32) + F.lit(40000)
-    return F.when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0)).cast("int")
+    return F.when(v > 0, mag).when(v < 0, -mag).when(v == 0, F.lit(0)).cast("int")
 
 
 def with_dense_ranks(df: DataFrame, group: Sequence[str], ranks: dict[str, str]) -> DataFrame:
