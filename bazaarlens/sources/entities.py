@@ -105,19 +105,23 @@ def orders(spark: SparkSession, root: str) -> DataFrame:
 
 def raw_items(spark: SparkSession, root: str) -> DataFrame:
     """Order lines without merchant or order date (no join)."""
+    # Whole cents in BIGINT, rounded half up; only the results become decimals.
     li = table(spark, root, "lineitem")
-    gross = money("l_extendedprice")
-    disc = money(gross * F.col("l_discount").cast("decimal(4,2)"))
-    tax = money((gross - disc) * F.col("l_tax").cast("decimal(4,2)"))
+    whole = lambda c: F.round(F.col(c) * 100).cast("bigint")
+    li = li.withColumns({"_g": whole("l_extendedprice"), "_q": F.col("l_quantity").cast("int")}).withColumn(
+        "_d", F.expr("(_g * cast(round(l_discount * 100) AS BIGINT) + 50) div 100")).withColumn(
+        "_t", F.expr("((_g - _d) * cast(round(l_tax * 100) AS BIGINT) + 50) div 100"))
     return li.select(
-        F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
-        F.col("l_quantity").cast("int").alias("quantity"),
-        money(gross / F.col("l_quantity").cast("decimal(12,0)")).alias("unit_price"),
-        gross.alias("line_subtotal"), disc.alias("discount_amount"), tax.alias("tax_amount"),
-        money(gross - disc + tax).alias("total_amount"),
+        F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"), F.col("_q").alias("quantity"),
+        from_cents(F.expr("(2 * _g + _q) div (2 * _q)")).alias("unit_price"), from_cents(F.col("_g")).alias("line_subtotal"),
+        from_cents(F.col("_d")).alias("discount_amount"), from_cents(F.col("_t")).alias("tax_amount"),
+        from_cents(F.col("_g") - F.col("_d") + F.col("_t")).alias("total_amount"),
         (F.col("l_partkey") % 8 == 0).alias("from_recommendation"),
-        F.col("l_linenumber").alias("line_number"), F.col("l_shipdate").alias("shipped_on"),
-    )
+        F.col("l_linenumber").alias("line_number"), F.col("l_shipdate").alias("shipped_on"))
+
+
+def from_cents(cents: Column) -> Column:
+    return (cents.cast("decimal(12,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(12,2)")
 
 
 def items(spark: SparkSession, root: str) -> DataFrame:

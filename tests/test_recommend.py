@@ -131,4 +131,8 @@ def test_usage_number_across_days(spark):
     data = [(i, "p", i % 3, f"2024-01-{1 + i // 4:02d}") for i in range(12)]
     df = spark.createDataFrame(data, "order_id int, promotion_id string, customer_id int, d string").withColumns({
         "created_at": F.col("d").cast("timestamp_ntz"), "total_usage_limit": F.lit(5), "per_customer_limit": F.lit(2)})
-    assert rows(PM.within_usage(df), "order_id", "use_number") == [(i, i + 1) for i in range(5)]
+    promotions = df.select("promotion_id", "total_usage_limit", "per_customer_limit").distinct()
+    for pushed in (1000, 1):
+        assert rows(PM.within_usage(df, promotions, pushed=pushed), "order_id", "use_number") == [(i, i + 1) for i in range(5)]
+    free = df.withColumn("total_usage_limit", F.lit(None).cast("int"))
+    assert rows(PM.within_usage(free, promotions, pushed=1), "order_id", "use_number") == [(i, None) for i in range(6)]
