@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("commerce", "behaviour", "tables", "recommendations")
+AREAS = ("commerce", "behaviour", "tables", "recommendations", "sinks")
 
 
 def load():

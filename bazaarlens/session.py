@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from uuid import uuid4
+
 from pyspark.sql import SparkSession
 
 # Adaptive execution splits skewed join partitions and coalesces small ones.
@@ -42,3 +45,14 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
     if fallback:
         spark.sparkContext.setCheckpointDir(fallback)
     return fallback
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate tables, below the cluster's shared folder.
+
+    Only where no shared folder is configured (local runs, tests) is a temporary
+    folder of this machine used.
+    """
+    shared = checkpoint_dir(spark)
+    base = shared if shared else tempfile.mkdtemp(prefix="bazaarlens-")
+    return f"{base.rstrip('/')}/{name}-{uuid4().hex[:12]}"

@@ -40,8 +40,15 @@ def from_files(spark: SparkSession, path: str, file_format: str = "parquet", sch
 
 def from_stream(spark: SparkSession, path: str, schema: StructType | str, file_format: str = "parquet",
                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """Stream extract from the start of a folder; the checkpoint holds the position."""
+    """Stream extract from the start of a folder; the checkpoint holds the position.
+
+    A path to one file watches that file name in its folder.
+    """
     reader = spark.readStream.schema(schema).format(file_format)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(where) and fs.getFileStatus(where).isFile():
+        reader, path = reader.option("pathGlobFilter", where.getName()), where.getParent().toString()
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return reader.load(path)

@@ -171,8 +171,12 @@ def raw_events(spark: SparkSession, root: str) -> DataFrame:
 
 
 def raw_payloads(spark: SparkSession, root: str) -> DataFrame:
-    """Client payloads (JSON text) in every state of repair, from the event table."""
-    e, k = table(spark, root, "events"), F.col("event_id")
+    return payloads_of(table(spark, root, "events"))
+
+
+def payloads_of(e: DataFrame) -> DataFrame:
+    """Client payloads (JSON text) in every state of repair, from (streamed) events."""
+    k = F.col("event_id")
     item, amount = F.get_json_object("props", "$.k"), F.col("value").cast("decimal(12,2)").cast("string")
     q = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     cases = (
