@@ -967,6 +967,7 @@ def _(spark, root):
 @query("sb03_subscription_items", "subscription_id:i product_id:i quantity:i price:m",
        "SELECT subscription_id, product_id, quantity, unit_price AS price FROM subs JOIN items ON subscription_id = order_id", (Q.ITEMS, "subs AS (SELECT order_id AS subscription_id FROM ord WHERE order_id % 10 = 0)"))
 def _(spark, root):
-    lines = E.raw_items(spark, root).filter(F.col("order_id") % 10 == 0).groupBy(F.col("order_id").alias("subscription_id")).agg(
-        F.to_json(F.collect_list(F.struct("product_id", "quantity", F.col("unit_price").alias("price")))).alias("items"))
+    line = F.struct("product_id", "quantity", F.col("unit_price").alias("price"))
+    lines = E.raw_items(spark, root).filter(F.col("order_id") % 10 == 0).select(
+        F.col("order_id").alias("subscription_id"), F.to_json(F.array(line)).alias("items"))
     return SUB.explode_items(lines)
