@@ -121,7 +121,8 @@ def _(spark, root):
           'anon_' || left(h, 16) AS anonymous_id, CASE WHEN source = 'ios' THEN 'ios' ELSE 'web' END AS source
           FROM (SELECT *, sha256(CAST(event_id AS VARCHAR)) AS h FROM checked WHERE reject_code IS NULL)""", CHECKS)
 def _(spark, root):
-    return EV.enriched(_checked(spark, root).filter("is_valid"), ["event_id"])
+    out = EV.enriched(_checked(spark, root).filter("is_valid"), ["event_id"])
+    return out.withColumn("timestamp", F.convert_timezone(None, F.lit("UTC"), F.col("timestamp").cast("timestamp_ntz")))
 
 
 @query("ev12_batch_outcome", "merchant_id:i is_valid:b n:i", "SELECT merchant_id, reject_code IS NULL AS is_valid, count(*) AS n FROM checked GROUP BY 1, 2", CHECKS)
