@@ -15,7 +15,7 @@ DEFAULT_RULES = (
     ("gmv_drop", "Significant GMV Drop", "gmv_change_percent", "lt", -20.0, "hourly", "warning", 15, True, None),
     ("zero_orders", "No Orders Received", "order_count", "eq", 0.0, "hourly", "critical", 15, True, None),
     ("low_conversion", "Low Conversion Rate", "conversion_rate", "lt", 1.0, "daily", "warning", 15, True, None),
-    ("beacon_lag", "Beacon Processing Lag", "event_processing_lag_seconds", "gt", 60.0, "realtime", "critical", 15, True, None),
+    ("processing_lag", "Event Processing Lag", "event_processing_lag_seconds", "gt", 60.0, "realtime", "critical", 15, True, None),
     ("cart_abandonment", "High Cart Abandonment", "cart_abandonment_rate", "gt", 80.0, "daily", "info", 15, True, None),
 )
 

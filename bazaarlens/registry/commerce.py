@@ -627,12 +627,12 @@ def _(spark, root):
     return M.activity_status(_orders(spark, root), E.merchants(spark, root), "2001-10-30")
 
 
-@query("pr35_feature_flag", "merchant_id:i feature_pulse_pro:b feature_beta:b",
-       "SELECT merchant_id, CASE WHEN merchant_id % 3 = 0 THEN merchant_id % 2 = 0 ELSE false END AS feature_pulse_pro, true AS feature_beta FROM merchants", (Q.MERCHANTS,))
+@query("pr35_feature_flag", "merchant_id:i feature_live_view:b feature_beta:b",
+       "SELECT merchant_id, CASE WHEN merchant_id % 3 = 0 THEN merchant_id % 2 = 0 ELSE false END AS feature_live_view, true AS feature_beta FROM merchants", (Q.MERCHANTS,))
 def _(spark, root):
-    flags = F.when(F.col("merchant_id") % 3 == 0, F.to_json(F.struct((F.col("merchant_id") % 2 == 0).alias("pulse_pro")))).otherwise(F.lit("{}"))
+    flags = F.when(F.col("merchant_id") % 3 == 0, F.to_json(F.struct((F.col("merchant_id") % 2 == 0).alias("live_view")))).otherwise(F.lit("{}"))
     m = E.merchants(spark, root).withColumn("feature_flags", flags)
-    return M.feature_flag(M.feature_flag(m, "pulse_pro"), "beta", default=True)
+    return M.feature_flag(M.feature_flag(m, "live_view"), "beta", default=True)
 
 
 # ------------------------------------------------------------------ SQL model chain
