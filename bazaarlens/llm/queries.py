@@ -5,6 +5,8 @@ from __future__ import annotations
 from .exact_dedup import OP8_SQL, op8_content_sort
 from .packing import op10_packed_sequences
 from .pieces import op7_piece_round_trip
+from .secrets import op2_secret_scan
+from .warc import OP5_SQL, op5_warc_round_trip
 
-QUERIES = {f.__name__: f for f in (op7_piece_round_trip, op8_content_sort, op10_packed_sequences)}
-ORACLE = {"op8_content_sort": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op5_warc_round_trip, op7_piece_round_trip, op8_content_sort, op10_packed_sequences)}
+ORACLE = {"op5_warc_round_trip": OP5_SQL, "op8_content_sort": OP8_SQL}
