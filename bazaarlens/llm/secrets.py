@@ -130,7 +130,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = stage(found_forms(docs, id_col, text_col), "secret-forms")
     tested = stage(randomness(found.filter("kind = 3").select("row", "start", "coded")).select("row", "start", "encoding", "band", "p"), "secret-tests")
     # At most 124 rows, whatever the input.
-    chosen = tested.join(F.broadcast(thresholds(tested, false_share)), ["encoding", "band"]).filter("p > least").select("row", "start", F.lit(3).alias("kind"), F.lit(True).alias("chosen"))
+    least = stage(thresholds(tested, false_share), "secret-thresholds")
+    chosen = tested.join(F.broadcast(least), ["encoding", "band"]).filter("p > least").select("row", "start", F.lit(3).alias("kind"), F.lit(True).alias("chosen"))
     rows = found.join(chosen, ["row", "start", "kind"], "left").withColumn("ok", F.when(F.col("kind") == 3, F.coalesce("chosen", F.lit(False))).otherwise(F.col("ok")))
     span = F.struct("start", "kind", "to")
     count = lambda k: F.count_if(F.col("ok") & (F.col("kind") == k)).alias(f"n_{KINDS[k]}")
