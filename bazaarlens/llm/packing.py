@@ -19,6 +19,17 @@ END_ID = 0
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+class _Table(dict):
+    """Ids by word; words asked for in vain are noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.missed = []
+
+    def __missing__(self, word: str) -> None:
+        self.missed.append(word)
+
+
 class WordTokenizer:
     """Ids of a text by the ``tokenizers`` library, word by word with bounded tables.
 
@@ -29,9 +40,9 @@ class WordTokenizer:
     of two bounded generations, the older gives back what is still in use.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 700_000):
         from tokenizers import Tokenizer
-        self.tokenizer, self.keep, self.known, self.older = Tokenizer.from_file(path), keep, {}, {}
+        self.tokenizer, self.keep, self.known, self.older = Tokenizer.from_file(path), keep, _Table(), {}
 
     def _library(self, words: list[str]) -> None:
         for at in range(0, len(words), 10_000):
@@ -41,7 +52,7 @@ class WordTokenizer:
 
     def _learn(self, words: set[str]) -> None:
         if len(self.known) > self.keep:
-            self.known, self.older = {}, self.known
+            self.known, self.older = _Table(), self.known
         base, made, older = {}, self.known, self.older
         for w in words:
             if w in made:
@@ -61,10 +72,11 @@ class WordTokenizer:
 
     def __call__(self, text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")
-        found = list(map(self.known.get, parts))
-        if None in found:
-            self._learn(set(parts))
-            found = [self.known[p] for p in parts]
+        found = list(map(self.known.__getitem__, parts))
+        if self.known.missed:
+            new, self.known.missed = set(self.known.missed), []
+            self._learn(new)
+            found = [self.known[p] if ids is None else ids for p, ids in zip(parts, found)]
         return b"".join(found)
 
 

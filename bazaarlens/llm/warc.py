@@ -18,9 +18,31 @@ _FIELDS = ("page_id bigint, payload_bytes bigint, payload_digest string, record_
 _CANDIDATE = f"file string, block bigint, rel bigint, label bigint, next bigint, head bigint, size bigint, whole boolean, {_FIELDS}"
 
 
-def _clean(c):
-    """A header value: no line ends, so that no value can end its line."""
-    return F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads compressed for the shuffle, with length and digest."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        data = [(v.as_py() or "").encode() for v in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([codec.compress(d, asbytes=True) for d in data], type=pa.binary()), pa.array([len(d) for d in data], type=pa.int64()),
+                                          pa.array([hashlib.sha256(d).hexdigest() for d in data], type=pa.string())], names=["page_id", "url", "packed", "bytes", "digest"])
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One record per row, less the line ends that close it."""
+    codec = pa.Codec("zstd")
+    urn = lambda i: f"<urn:page:{'' if i is None else i}>"
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            payload = "" if r["revisit"] else codec.decompress(r["packed"], r["bytes"], asbytes=True).decode()
+            url = (r["url"] or "").replace("\r", "%0D").replace("\n", "%0A")  # no value can end its line
+            fields = {"WARC-Type": "revisit" if r["revisit"] else "response", "WARC-Record-ID": urn(r["page_id"]), "WARC-Target-URI": url, "WARC-Date": "2024-01-15T00:00:00Z",
+                      "WARC-Payload-Digest": f"sha256:{r['digest']}", "WARC-Payload-Length": r["bytes"]}
+            if r["revisit"]:
+                fields |= {"WARC-Refers-To": urn(r["first"]), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+            fields |= {"Content-Type": "text/html; charset=utf-8", "Content-Length": len(payload.encode())}
+            out.append(MAGIC.decode() + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n" + payload)
+        yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.string())], names=["value"])
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> None:
@@ -31,23 +53,11 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     html is an empty payload; a null id stays null and is never referred to unless
     all ids of its group are null; a row repeated with the smallest id is a response each time.
     """
-    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("bytes", F.octet_length("html").cast("bigint")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
+    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = rows.mapInArrow(_pack, "page_id bigint, url string, packed binary, bytes bigint, digest string")
     first = rows.filter(F.col("bytes") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(first, "digest", "left")
-    revisit = F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    payload = F.when(revisit, F.lit("")).otherwise(F.col("html"))
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
-    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    record = F.concat(
-        F.lit(MAGIC.decode()), line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), number("page_id"), F.lit(">"))), line("WARC-Target-URI", _clean(F.col("url"))),
-        line("WARC-Date", F.lit("2024-01-15T00:00:00Z")), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        line("WARC-Payload-Length", F.col("bytes")),
-        F.when(revisit, F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), number("first"), F.lit(">"))),
-                                 line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(F.lit("")),
-        line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.octet_length(payload)), F.lit("\r\n"), payload)
-    rows.select(record.alias("value")).write.option("lineSep", END).text(path)
+    rows = rows.join(first, "digest", "left").withColumn("revisit", F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    rows.mapInArrow(_records, "value string").write.option("lineSep", END).text(path)
 
 
 def _header(head: bytes) -> dict[str, str] | None:
