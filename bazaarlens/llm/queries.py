@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP8_SQL, op8_content_sort
 from .lm import op9_mixing_scores
+from .near_dedup import op3_near_duplicates
 from .packing import op10_packed_sequences
 from .pieces import op7_piece_round_trip
 from .quality import op6_quality_scores
@@ -11,5 +12,5 @@ from .rules import op4_rule_forest
 from .secrets import op2_secret_scan
 from .warc import OP5_SQL, op5_warc_round_trip
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_rule_forest, op5_warc_round_trip, op6_quality_scores, op7_piece_round_trip, op8_content_sort, op9_mixing_scores, op10_packed_sequences)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_near_duplicates, op4_rule_forest, op5_warc_round_trip, op6_quality_scores, op7_piece_round_trip, op8_content_sort, op9_mixing_scores, op10_packed_sequences)}
 ORACLE = {"op5_warc_round_trip": OP5_SQL, "op8_content_sort": OP8_SQL}
