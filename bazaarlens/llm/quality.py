@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .features import FEATURES, bounded_sample, feature_table
-from .shared import remainder, stage
+from .features import FEATURES, bounded_sample, feature_table, features, statistics
+from .shared import byte_chunks, remainder, stage, texts
 
 HELD_OUT_OF, HELD_OUT = 3, 1
 
@@ -131,36 +132,50 @@ def calibrate(model: Scorer, x: np.ndarray, good: np.ndarray) -> Scorer:
     return model
 
 
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_positive: int = 10_000, most_unlabelled: int = 20_000) -> Scorer | None:
+    """A scorer from labelled and unlabelled texts outside the held-out part, or None without positives or texts.
+
+    Samples are drawn by the hash of the id before any text is looked at: about
+    ``most_positive`` labelled ids, ``most_unlabelled`` of all rows.
+    """
+    fetch = lambda df, *more: df.select(*FEATURES, *more).orderBy(*FEATURES, *more).toPandas()
+    rows = texts(docs, id_col, text_col).filter(F.coalesce(remainder("doc_id", HELD_OUT_OF) != HELD_OUT, F.lit(True)))
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality is not null")
+    known = known.filter(remainder("doc_id", HELD_OUT_OF) != HELD_OUT).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = F.broadcast(stage(bounded_sample(known, most_positive), "quality-labels"))  # about most_positive ids at most
+    labelled = fetch(feature_table(rows.join(known.select("doc_id"), "doc_id", "left_semi")).join(known, "doc_id"), "quality")
+    unlabelled = fetch(feature_table(bounded_sample(rows, most_unlabelled)))[list(FEATURES)].to_numpy()
+    x, good = labelled[list(FEATURES)].to_numpy(), labelled["quality"].to_numpy() == 1
+    return calibrate(fit(x[good], unlabelled), x, good) if good.any() and len(unlabelled) else None
+
+
+def score_rows(docs: DataFrame, model: Scorer | None, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with all its columns and the score of each row's text; 0.5 without a model."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            m, out = shared.value, [np.zeros(0)]
+            for _, data, ends in byte_chunks([pa.RecordBatch.from_arrays([column], names=["text"])]):
+                out.append(np.full(len(ends) - 1, 0.5) if m is None else m.score(features(statistics(data, ends))))
+            yield pa.array(np.concatenate(out))
+
+    return docs.withColumn(name, F.arrow_udf(score, "double")(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_positive: int = 10_000, most_unlabelled: int = 20_000) -> DataFrame:
     """Quality score of every row: doc_id, held_out, score, predicted.
 
     Trusted positives are rows labelled 1 whose crc32 of the id has a remainder by 3
     other than 1; the unlabelled sample is drawn by hash from all rows outside the
     held-out part, labels aside. The margin is scaled on labelled training rows. Only
-    statistics of the text are inputs of a score. Fitting uses at most about
-    ``most_positive`` and twice ``most_unlabelled`` rows; every row is scored. Without
+    statistics of the text are inputs of a score, and every row is scored. Without
     positives or texts to learn from every score is 0.5. Null text is empty; a null id
     counts as not held out; repeated rows each get a result.
     """
-    spark = docs.sparkSession
-    stats = stage(feature_table(docs, id_col, text_col).select("doc_id", *FEATURES).withColumn("held_out", F.coalesce(remainder("doc_id", HELD_OUT_OF) == HELD_OUT, F.lit(False))), "quality-statistics")
-    train = stats.filter("not held_out")
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality is not null")
-    known = known.filter(remainder("doc_id", HELD_OUT_OF) != HELD_OUT).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    fetch = lambda df, *more: df.select(*FEATURES, *more).orderBy(*FEATURES, *more).toPandas()
-    labelled = fetch(bounded_sample(train.join(known, "doc_id"), most_positive), "quality")
-    unlabelled = fetch(bounded_sample(train, most_unlabelled))[list(FEATURES)].to_numpy()
-    x, good = labelled[list(FEATURES)].to_numpy(), labelled["quality"].to_numpy() == 1
-    model = calibrate(fit(x[good], unlabelled), x, good) if good.any() and len(unlabelled) else None
-    shared = spark.sparkContext.broadcast(model)
-
-    def score(batches):
-        for b in batches:
-            m = shared.value
-            s = np.full(b.num_rows, 0.5) if m is None or not b.num_rows else m.score(np.column_stack([b.column(f).to_numpy() for f in FEATURES]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
-
-    return stats.mapInArrow(score, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    model = learn(docs, labels, id_col, text_col, most_positive, most_unlabelled)
+    rows = texts(docs, id_col, text_col).withColumn("held_out", F.coalesce(remainder("doc_id", HELD_OUT_OF) == HELD_OUT, F.lit(False)))
+    return score_rows(rows, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ from .pieces import op7_piece_round_trip
 from .quality import op6_quality_scores
 from .rules import op4_rule_forest
 from .secrets import op2_secret_scan
+from .suffix_dedup import op1_repeat_removal
 from .warc import OP5_SQL, op5_warc_round_trip
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_near_duplicates, op4_rule_forest, op5_warc_round_trip, op6_quality_scores, op7_piece_round_trip, op8_content_sort, op9_mixing_scores, op10_packed_sequences)}
+QUERIES = {f.__name__: f for f in (op1_repeat_removal, op2_secret_scan, op3_near_duplicates, op4_rule_forest, op5_warc_round_trip, op6_quality_scores, op7_piece_round_trip, op8_content_sort, op9_mixing_scores, op10_packed_sequences)}
 ORACLE = {"op5_warc_round_trip": OP5_SQL, "op8_content_sort": OP8_SQL}
