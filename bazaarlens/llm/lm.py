@@ -233,7 +233,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     size = 0
-    for rows, data, ends in byte_chunks(batches):
+    for rows, data, ends in byte_chunks(batches, limit=2 << 20):
         low = LOWER[data]
         use = rows.column("train").to_numpy(zero_copy_only=False)
         counts.add(low, contexts(low, ends), np.repeat(use, np.diff(ends)))
