@@ -70,7 +70,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
     return float(np.clip(u[best] / max(p[best], 1e-9), 0.01, 0.99))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, bins: int = 12, rounds: int = 250, decay: float = 1e-4, seed: int = 5) -> Scorer:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, bins: int = 24, rounds: int = 250, decay: float = 1e-3, seed: int = 5) -> Scorer:
     """Non-negative unbiased risk: prior * positive risk + max(0, unlabelled risk - prior * positives' negative risk).
 
     Where the second part turns negative, the step goes against it, as it shows
