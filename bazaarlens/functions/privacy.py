@@ -35,7 +35,7 @@ def slug(value: Column | str) -> Column:
     return text
 
 
-def digest_bucket(value: Column | str, buckets: int = 100) -> Column:
+def digest_bucket(value: Column | str, buckets: int | Column = 100) -> Column:
     """Stable bucket: the md5 of the text, as a 128-bit number, modulo ``buckets``.
 
     The digest is folded 32 bits at a time so that no step leaves BIGINT.
@@ -44,5 +44,5 @@ def digest_bucket(value: Column | str, buckets: int = 100) -> Column:
     acc = F.lit(0).cast("bigint")
     for start in (1, 9, 17, 25):
         word = F.conv(F.substring(digest, start, 8), 16, 10).cast("bigint")
-        acc = (acc * F.lit(4294967296) + word) % F.lit(buckets)
+        acc = (acc * F.lit(4294967296) + word) % (buckets if isinstance(buckets, Column) else F.lit(buckets))
     return acc

@@ -31,11 +31,23 @@ def breached(value: Column | str, operator: Column | str, threshold: Column | st
 
 
 def evaluate(metrics: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules against long-form metrics: equi join on the metric name; a rule without
-    a merchant applies to all. Null values are not evaluated."""
-    r = rules.filter("enabled").drop("window")
-    j = metrics.filter(F.col("value").isNotNull()).join(r, metrics.metric_name == r.metric)
-    j = j.filter(F.col("rule_merchant").isNull() | (F.col("rule_merchant") == F.col("merchant_id")))
+    """Rules against long-form metrics (merchant_id, metric_name, value and, if present, metric_window).
+
+    A rule meets the metric of its name and window, a rule without a merchant those of
+    all merchants; null values are not evaluated. The rule list is part of the program
+    (tens of rows), so it is read once and stands in the plan as a literal: no join.
+    """
+    fields = [f for f in rules.schema.fields if f.name != "enabled"]
+    listed = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f"_{f.name}") for f in fields]) for r in rules.filter("enabled").collect()]
+    if not listed:
+        listed = [F.struct(*[F.lit(None).cast(f.dataType).alias(f"_{f.name}") for f in fields])]
+    windowed = "metric_window" in metrics.columns
+
+    def applies(r: Column) -> Column:
+        fits = (r["_metric"] == F.col("metric_name")) & (r["_rule_merchant"].isNull() | (r["_rule_merchant"] == F.col("merchant_id")))
+        return fits & (r["_window"] == F.col("metric_window")) if windowed else fits
+    j = metrics.filter(F.col("value").isNotNull()).withColumn("_rule", F.explode(F.filter(F.array(*listed), applies)))
+    j = j.select(*metrics.columns, *[F.col(f"_rule._{f.name}").alias(f.name) for f in fields if f.name != "window"])
     return j.withColumn("is_breached", breached("value", "operator", "threshold"))
 
 
@@ -114,10 +126,11 @@ def trend(daily: DataFrame, value: str, ts: str = "order_date", trailing: int =
     return daily.withColumn("slope", F.regr_slope(F.col(value).cast("double"), x).over(frame))
 
 
-def missing_heartbeats(events: DataFrame, start: str, end: str, ts: str = "ts") -> DataFrame:
-    """Merchant-hours without a single event."""
+def missing_heartbeats(events: DataFrame, start: str, end: str, ts: str = "ts", merchants: DataFrame | None = None) -> DataFrame:
+    """Merchant-hours without a single event, of ``merchants`` or else of all that have events."""
     s, e = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
-    grid = events.select("merchant_id").distinct().withColumn("hour", F.explode(F.sequence(s, e, F.expr("INTERVAL 1 HOUR"))))
+    everyone = (events if merchants is None else merchants).select("merchant_id").distinct()
+    grid = everyone.withColumn("hour", F.explode(F.sequence(s, e, F.expr("INTERVAL 1 HOUR"))))
     seen = events.select("merchant_id", F.date_trunc("hour", ts).cast("timestamp_ntz").alias("hour")).distinct()
     return grid.join(seen, ["merchant_id", "hour"], "left_anti")
 

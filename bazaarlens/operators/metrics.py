@@ -98,7 +98,7 @@ def timeseries(events: DataFrame, granularity: str, start: str, end: str, ts: st
 def revenue_by(events: DataFrame, dimension: str, k: int | None = None, other: bool = False) -> DataFrame:
     """Revenue per value of a dimension with % share; top ``k`` and optionally the rest as ``Other``."""
     if dimension not in events.columns:
-        return events.limit(0).select("merchant_id", F.lit("").alias("segment"), F.lit(0.0).alias("revenue"), F.lit(0.0).alias("share_pct"))
+        raise ValueError(f"no column {dimension!r} to break revenue down by")
     seg = events.filter(F.col("event_type") == "purchase").groupBy("merchant_id", F.col(dimension).cast("string").alias("segment")).agg(
         F.sum("revenue").alias("revenue"))
     if k is not None and other:
@@ -162,6 +162,25 @@ def processing_lag(events: DataFrame, limit_seconds: int = 60) -> DataFrame:
         F.max(lag).alias("max_lag_seconds"), count_if(lag > limit_seconds).alias("late_events"))
 
 
+def rule_metrics(events: DataFrame, merchants: DataFrame, end: str) -> DataFrame:
+    """Every metric that the default rules name, over each rule's own window, in long form.
+
+    Order counts cover merchants without any event; rates and lags need events.
+    """
+    hour = in_window(events, end, "hourly")
+    orders = merchants.select("merchant_id").distinct().join(
+        hour.filter(F.col("event_type") == "purchase").groupBy("merchant_id", "order_id").agg(F.lit(1).alias("_o")).groupBy("merchant_id").agg(F.count("order_id").alias("n")), "merchant_id", "left")
+    change = summary(events, end, "hourly").select("merchant_id", F.col("gmv_change_pct").alias("gmv_change_percent"))
+    lag = processing_lag(in_window(events, end, "realtime")).select("merchant_id", F.col("avg_lag_seconds").alias("event_processing_lag_seconds"))
+    day = merchant_metrics(in_window(events, end, "daily"))
+    parts = (long_metrics(orders.select("merchant_id", zero("n").alias("order_count")), "hourly", end, ("order_count",)), long_metrics(change, "hourly", end, ("gmv_change_percent",)),
+             long_metrics(day, "daily", end, ("conversion_rate", "cart_abandonment_rate")), long_metrics(lag, "realtime", end, ("event_processing_lag_seconds",)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def dashboard(events: DataFrame, end: str, window: str, widgets: Sequence[str] = ("summary", "funnel", "traffic", "series")) -> DataFrame:
     """One row per merchant with a struct (or array) per widget."""
     now = in_window(events, end, window)

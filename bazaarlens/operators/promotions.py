@@ -65,44 +65,28 @@ def stacked(pairs: DataFrame) -> DataFrame:
     return ranked.filter(F.col("_best").isNull() | (F.col("_rank") == F.col("_best"))).drop("_rank", "_best")
 
 
-# Spark pushes a rank filter below the shuffle up to this many rows per group.
-PUSHED_LIMIT = 1000
-
-
-def _first_uses(rows: DataFrame, keys: list[str], limit: str, widest: int, name: str, ts: str) -> DataFrame:
-    """Uses numbered by time, up to the row's limit. Unlimited rows are groups of their
-    own (number null); limited groups lose what exceeds the widest limit map-side."""
-    spread = F.when(F.col(limit).isNull(), F.col("order_id"))
-    w = Window.partitionBy(*keys, spread).orderBy(ts, "order_id")
-    out = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= widest)
-    return out.filter(F.col(limit).isNull() | (F.col("_n") <= F.col(limit))).withColumn(
-        name, F.when(F.col(limit).isNotNull(), F.col("_n"))).drop("_n")
-
-
-def _by_day(rows: DataFrame, ts: str) -> DataFrame:
-    """The same for very wide limits: uses of earlier days come from a table with one
-    row per (promotion, day), so a promotion used everywhere is not one task."""
-    rows = rows.withColumn("_day", F.to_date(ts))
-    limited = F.col("total_usage_limit").isNotNull()
-    per_day = rows.filter(limited).groupBy("promotion_id", "_day").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy("promotion_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_day.select("promotion_id", "_day", zero(F.sum("_c").over(before)).alias("_before"))
-    inside = Window.partitionBy("promotion_id", "_day", F.when(~limited, F.col("order_id"))).orderBy(ts, "order_id")
-    out = rows.withColumn("_pos", F.row_number().over(inside)).join(carried, ["promotion_id", "_day"], "left")
-    out = out.withColumn("use_number", F.when(limited, F.col("_before") + F.col("_pos"))).drop("_before", "_pos", "_day")
-    return out.filter(~limited | (F.col("use_number") <= F.col("total_usage_limit")))
-
-
-def within_usage(applied: DataFrame, promotions: DataFrame, ts: str = "created_at", pushed: int = PUSHED_LIMIT) -> DataFrame:
-    """Uses in order of time, first up to the customer's limit, then up to the total limit.
-
-    The widest limits are two numbers read from the promotions.
+def _numbered(rows: DataFrame, keys: list[str], limit: str, name: str, ts: str) -> DataFrame:
+    """Uses numbered by time inside ``keys`` and kept up to the row's limit; unlimited rows keep a null number.
+
+    Only rows of one minute are ordered: the uses before it are a running sum over a
+    table with one row per (keys, minute). A promotion used everywhere is spread over
+    its minutes, whatever its limit.
     """
-    wide = promotions.agg(F.max("per_customer_limit").alias("c"), F.max("total_usage_limit").alias("t")).first()
-    rows = _first_uses(applied, ["promotion_id", "customer_id"], "per_customer_limit", wide["c"] or 1, "customer_use", ts)
-    if (wide["t"] or 1) <= pushed:
-        return _first_uses(rows, ["promotion_id"], "total_usage_limit", wide["t"] or 1, "use_number", ts)
-    return _by_day(rows, ts)
+    limited = F.col(limit).isNotNull()
+    rows = rows.withColumn("_slot", F.date_trunc("minute", ts))
+    per_slot = rows.filter(limited).groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_slot.select(*keys, "_slot", zero(F.sum("_c").over(before)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_slot", F.when(~limited, F.col("order_id"))).orderBy(ts, "order_id")
+    out = rows.withColumn("_pos", F.row_number().over(inside)).join(carried, [*keys, "_slot"], "left")
+    out = out.withColumn(name, F.when(limited, F.col("_before") + F.col("_pos"))).drop("_before", "_pos", "_slot")
+    return out.filter(~limited | (F.col(name) <= F.col(limit)))
+
+
+def within_usage(applied: DataFrame, promotions: DataFrame | None = None, ts: str = "created_at") -> DataFrame:
+    """Uses in order of time, first up to the customer's limit, then up to the total limit."""
+    rows = _numbered(applied, ["promotion_id", "customer_id"], "per_customer_limit", "customer_use", ts)
+    return _numbered(rows, ["promotion_id"], "total_usage_limit", "use_number", ts)
 
 
 def rollup(applied: DataFrame) -> DataFrame:

@@ -62,28 +62,38 @@ def indexed(catalogue: DataFrame, key: str = "item_id", buckets: int = 4096) ->
     return b.withColumn("_p", pos).join(F.broadcast(offsets), "_b").select(key, (F.col("_o") + F.col("_p")).cast("bigint").alias("item_no"))
 
 
-def negatives(positives: DataFrame, catalogue: DataFrame, per_positive: int = 4, seed: int = 42, draws: int = 3) -> DataFrame:
-    """Seeded negative items: ``per_positive`` per positive, never a positive of that user.
-
-    Each positive draws ``draws * per_positive`` item numbers by hash, misses fall
-    away in an anti join and the first ones are kept; a user who likes nearly the
-    whole catalogue may get fewer.
+def negatives(positives: DataFrame, catalogue: DataFrame, per_positive: int = 4, seed: int = 42) -> DataFrame:
+    """Seeded negative items: ``per_positive`` different ones per positive, never a positive of that user.
+
+    Items are numbered 0..N-1 and a user's P positives leave N - P free places. A
+    positive hashes to one place and takes the next ones in a circle, so it falls short
+    only where fewer places than that exist. Place c is item c plus the number of
+    positives whose own number less their rank is at most c: one running count per
+    user over positives and places.
     """
     numbered = indexed(catalogue)
-    size = numbered.count()
-    attempt = F.explode(F.sequence(F.lit(0), F.lit(draws * per_positive - 1)))
-    drawn = positives.select("user_id", F.col("item_id").alias("positive_id"), attempt.alias("draw")).withColumn(
-        "item_no", F.pmod(F.xxhash64("user_id", "positive_id", "draw", F.lit(seed)), F.lit(size)))
-    candidates = drawn.join(numbered, "item_no").join(positives.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    first = candidates.groupBy("user_id", "positive_id", "item_id").agg(F.min("draw").alias("draw"))
-    return top_k(first, ["user_id", "positive_id"], [F.asc("draw")], per_positive).select("user_id", "positive_id", "item_id")
+    own = positives.select("user_id", "item_id").distinct().join(numbered, "item_id")
+    by_number = Window.partitionBy("user_id").orderBy("item_no")
+    taken = own.select("user_id", (F.col("item_no") - F.row_number().over(by_number) + 1).alias("place"), F.lit(0).alias("kind"), F.lit(None).cast(own.schema["item_id"].dataType).alias("positive_id"))
+    liked = own.groupBy("user_id").agg(F.count(F.lit(1)).alias("_p")).withColumn("_free", F.lit(numbered.count()) - F.col("_p"))
+    start = digest_bucket(F.concat_ws("|", F.col("user_id").cast("string"), F.col("item_id").cast("string"), F.lit(str(seed))), F.col("_free"))
+    wanted = own.join(liked, "user_id").filter("_free > 0").select("user_id", F.col("item_id").alias("positive_id"), start.alias("_s"), "_free", F.explode(
+        F.sequence(F.lit(0), F.least(F.lit(per_positive).cast("bigint"), F.col("_free")).cast("int") - 1)).alias("_k"))
+    places = wanted.select("user_id", ((F.col("_s") + F.col("_k")) % F.col("_free")).alias("place"), F.lit(1).alias("kind"), "positive_id")
+    running = Window.partitionBy("user_id").orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    placed = taken.unionByName(places).withColumn("_shift", F.sum(1 - F.col("kind")).over(running)).filter("kind = 1")
+    return placed.select("user_id", "positive_id", (F.col("place") + F.col("_shift")).alias("item_no")).join(numbered, "item_no").select("user_id", "positive_id", "item_id")
 
 
 def fit_factors(ratings: DataFrame, rank: int = 64, reg: float = 0.01, iterations: int = 15, alpha: float = 40.0, seed: int = 42,
-                blocks: int = 10) -> ALSModel:
-    """Implicit-feedback ALS; deep lineage is cut in the session's checkpoint folder."""
-    from ..session import checkpoint_dir
-    checkpoint_dir(ratings.sparkSession)
+                blocks: int | None = None) -> ALSModel:
+    """Implicit-feedback ALS; deep lineage is cut in the session's shared folder.
+
+    As many blocks as the session has shuffle partitions, unless given.
+    """
+    from ..session import shared_folder
+    shared_folder(ratings.sparkSession)
+    blocks = blocks or int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     als = ALS(rank=rank, regParam=reg, maxIter=iterations, alpha=alpha, implicitPrefs=True, seed=seed, numUserBlocks=blocks, numItemBlocks=blocks,
               userCol="user_id", itemCol="item_id", ratingCol="weight", coldStartStrategy="nan", checkpointInterval=5)
     return als.fit(ratings.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), F.col("weight").cast("float")))
@@ -126,10 +136,11 @@ def fuse(text: DataFrame, image: DataFrame, key: str = "item_id") -> DataFrame:
     return t.join(i, key).select(key, F.concat("_t", "_i").alias("embedding"))
 
 
-def evaluate(ranked: DataFrame, actual: DataFrame, catalogue_size: int, ks: Sequence[int] = (5, 10, 20)) -> DataFrame:
+def evaluate(ranked: DataFrame, actual: DataFrame, catalogue: DataFrame, ks: Sequence[int] = (5, 10, 20)) -> DataFrame:
     """HR@k, NDCG@k, MRR and coverage over users with at least one actual item.
 
-    ``ranked`` is (user, item, rank), ``actual`` (user, item).
+    ``ranked`` is (user, item, rank), ``actual`` (user, item), ``catalogue`` the items
+    that could be shown; they are counted in the plan.
     """
     act = actual.select("user_id", "item_id").distinct()
     relevant = act.groupBy("user_id").agg(F.count(F.lit(1)).alias("_rel"))
@@ -145,7 +156,8 @@ def evaluate(ranked: DataFrame, actual: DataFrame, catalogue_size: int, ks: Sequ
         F.count(F.lit(1)).alias("users"), F.avg(F.coalesce(F.lit(1.0) / F.col("_first"), F.lit(0.0))).alias("mrr"),
         *[F.avg(F.coalesce(F.col(f"_hit{k}"), F.lit(0)).cast("double")).alias(f"hr_at_{k}") for k in ks],
         *[F.avg(F.coalesce(F.col(f"_dcg{k}"), F.lit(0.0)) / ideal(k)).alias(f"ndcg_at_{k}") for k in ks])
-    shown = ranked.select("item_id").distinct().agg((F.count(F.lit(1)) / F.lit(float(catalogue_size))).alias("coverage"))
+    sides = catalogue.select("item_id").distinct().withColumn("_shown", F.lit(0)).unionByName(ranked.select("item_id").distinct().withColumn("_shown", F.lit(1)))
+    shown = sides.agg(ratio(F.sum("_shown"), F.sum(1 - F.col("_shown"))).alias("coverage"))
     return row.withColumn("_k", F.lit(1)).join(shown.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 

@@ -23,10 +23,14 @@ BLOCK_ROWS = 4096
 Score = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
+def _product(left: pd.Series, right: pd.Series) -> np.ndarray:
+    """Cosines of all rows of two columns of vectors; a missing vector is a zero vector of the others' width."""
+    width = max((len(v) for side in (left, right) for v in side if v is not None), default=1)
+    return _matrix(left, width) @ _matrix(right, width).T
+
+
+def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     """Unit rows; a missing vector is a zero row."""
-    known = [v for v in vectors if v is not None]
-    width = len(known[0]) if known else 1
     m = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
         if v is not None:
@@ -76,7 +80,7 @@ def block_top_n(sources: DataFrame, items: DataFrame, score: Score, n: int, sour
 def cosine_score(vector: str = "embedding", source_vector: str | None = None, source_key: str = "source_id", item_key: str = "item_id") -> Score:
     """Cosine of the vectors; an item is never its own neighbour."""
     def score(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-        out = _matrix(left[source_vector or vector]) @ _matrix(right[vector]).T
+        out = _product(left[source_vector or vector], right[vector])
         if source_key in left and item_key in right:
             out[left[source_key].to_numpy()[:, None] == right[item_key].to_numpy()[None, :]] = -np.inf
         return out
@@ -95,7 +99,7 @@ def content_score(weights: Sequence[float] = (0.5, 0.2, 0.15, 0.15)) -> Score:
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
         gap = left["price_z"].to_numpy(dtype=float)[:, None] - right["price_z"].to_numpy(dtype=float)[None, :]
-        out = (text * (_matrix(left["embedding"]) @ _matrix(right["embedding"]).T) + category * same(left["category"], right["category"])
+        out = (text * (_product(left["embedding"], right["embedding"])) + category * same(left["category"], right["category"])
                + brand * same(left["brand"], right["brand"]) + price * np.exp(-gap ** 2 / 2))
         out[left["source_id"].to_numpy()[:, None] == right["item_id"].to_numpy()[None, :]] = -np.inf
         return out
@@ -153,70 +157,33 @@ def search(queries: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
 
 # ------------------------------------------------------------------ co-occurrence
 
-def bought_together(baskets: DataFrame, anchors: DataFrame, giant: int = 1000) -> DataFrame:
+def bought_together(baskets: DataFrame, anchors: DataFrame) -> DataFrame:
     """(item, other, together): orders holding both, for every anchor item.
 
-    Baskets of up to ``giant`` items go through a join restricted to the anchors,
-    so a line meets at most ``giant`` others. A bigger basket is never expanded into
-    pairs: its items are spread over bounded blocks and counted inside them.
+    An anchor line meets the other lines of its order and nothing else; counts are
+    summed in the task that makes them, so pairs are never shuffled one by one. Both
+    sides of the join split where one order is large, and the same path serves
+    baskets of every size.
     """
     b = baskets.select("order_id", "item_id").distinct()
-    size = b.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n"))
-    sized = b.join(size, "order_id")
-    small, big = sized.filter(F.col("_n") <= giant).drop("_n"), sized.filter(F.col("_n") > giant).drop("_n")
-    a = anchors.select("item_id").distinct()
-    left = small.join(a, "item_id", "left_semi")
-    right = small.withColumnRenamed("item_id", "other_id")
-    pairs = left.join(right, "order_id").filter(F.col("item_id") != F.col("other_id")).groupBy("item_id", "other_id").agg(
-        F.count(F.lit(1)).alias("together"))
-    if size.filter(F.col("_n") > giant).isEmpty():
-        return pairs
-    kind = dict(b.dtypes)["item_id"]
-    counted = _giant_counts(big.join(a, "item_id", "left_semi"), big, kind)
-    return pairs.unionByName(counted).groupBy("item_id", "other_id").agg(F.sum("together").alias("together"))
-
-
-def _giant_counts(left: DataFrame, right: DataFrame, kind: str, blocks: int = 16) -> DataFrame:
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    block = F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")
-    lhs = left.withColumn("_l", block).withColumn("_r", every)
-    fresh = right.select(*[F.col(c).alias(c) for c in right.columns])
-    rhs = fresh.withColumn("_r", block).withColumn("_l", every)
-
-    def cell(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = np.unique(x["item_id"]), np.unique(y["item_id"])
-        held = dict(tuple(y.groupby("order_id")["item_id"]))
-        parts = []
-        # Bands of rows keep the table of counts small.
-        for start in range(0, len(rows), 256):
-            band = rows[start:start + 256]
-            table = np.zeros((len(band), len(cols)), dtype=np.int64)
-            inside = x[x["item_id"].isin(band)]
-            for order, mine in inside.groupby("order_id")["item_id"]:
-                if order in held:
-                    table[np.ix_(np.searchsorted(band, mine), np.searchsorted(cols, held[order]))] += 1
-            table[band[:, None] == cols[None, :]] = 0
-            i, j = np.nonzero(table)
-            parts.append(pd.DataFrame({"item_id": band[i], "other_id": cols[j], "together": table[i, j]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"item_id": [], "other_id": [], "together": []})
-
-    return lhs.groupBy("_l", "_r").cogroup(rhs.groupBy("_l", "_r")).applyInPandas(
-        cell, f"item_id {kind}, other_id {kind}, together bigint")
-
-
-def item_item(baskets: DataFrame, anchors: DataFrame, n: int = 10, giant: int = 1000) -> DataFrame:
+    left = b.join(anchors.select("item_id").distinct(), "item_id", "left_semi")
+    right = b.select("order_id", F.col("item_id").alias("other_id"))
+    return left.join(right, "order_id").filter(F.col("item_id") != F.col("other_id")).groupBy("item_id", "other_id").agg(F.count(F.lit(1)).alias("together"))
+
+
+def item_item(baskets: DataFrame, anchors: DataFrame, n: int = 10) -> DataFrame:
     """Nearest items by cosine over co-purchases: together / sqrt(orders * orders)."""
     freq = baskets.select("order_id", "item_id").distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("_f"))
-    pairs = bought_together(baskets, anchors, giant)
+    pairs = bought_together(baskets, anchors)
     other = freq.select(F.col("item_id").alias("other_id"), F.col("_f").alias("_g"))
     scored = pairs.join(freq, "item_id").join(other, "other_id").withColumn(
         "score", F.col("together") / F.sqrt(F.col("_f").cast("double") * F.col("_g")))
     return top_k(scored.drop("_f", "_g"), ["item_id"], [F.desc("score"), F.asc("other_id")], n)
 
 
-def complete_carts(carts: DataFrame, baskets: DataFrame, n: int = 10, giant: int = 1000) -> DataFrame:
+def complete_carts(carts: DataFrame, baskets: DataFrame, n: int = 10) -> DataFrame:
     """Items most often bought with the items of each cart (``cart_id, item_id``)."""
-    pairs = bought_together(baskets, carts, giant)
+    pairs = bought_together(baskets, carts)
     votes = carts.select("cart_id", "item_id").distinct().join(pairs, "item_id").groupBy("cart_id", F.col("other_id").alias("candidate_id")).agg(
         F.sum("together").alias("together"))
     inside = carts.select("cart_id", F.col("item_id").alias("candidate_id")).distinct()

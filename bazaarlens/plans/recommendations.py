@@ -29,8 +29,7 @@ def train(events: DataFrame, start: str, asof: str, n: int = 20, minimum_hr: flo
     known = fitted.select("user_id").distinct()
     test = test.join(known, "user_id", "left_semi")
     ranked = RC.recommend(model, test.select("user_id").distinct(), n)
-    size = fitted.select("item_id").distinct().count()
-    return Trained(model, RC.gate(RC.evaluate(ranked, test, size), minimum=minimum_hr))
+    return Trained(model, RC.gate(RC.evaluate(ranked, test, fitted.select("item_id")), minimum=minimum_hr))
 
 
 def training_events(events: DataFrame, path: str = "$.product_id") -> DataFrame:

@@ -471,11 +471,18 @@ def _hourly_checks(spark, root):
 
 
 @query("al01_threshold_rules", "rule_id:s merchant_id:i value:r2 threshold:r is_breached:b",
-       """SELECT 'low_conversion' AS rule_id, merchant_id, conversion_rate AS value, 1.0 AS threshold, conversion_rate < 1.0 AS is_breached FROM met
-          UNION ALL SELECT 'cart_abandonment', merchant_id, cart_abandonment_rate, 80.0, cart_abandonment_rate > 80.0 FROM met""", MET_CTES)
-def _(spark, root):
-    m = MX.long_metrics(MX.merchant_metrics(_week(spark, root)), "weekly", END, ("conversion_rate", "cart_abandonment_rate"))
-    return A.evaluate(m, A.default_rules(spark))
+       f"""SELECT 'low_conversion' AS rule_id, merchant_id, conversion_rate AS value, 1.0 AS threshold, conversion_rate < 1.0 AS is_breached FROM dmet
+          UNION ALL SELECT 'cart_abandonment', merchant_id, cart_abandonment_rate, 80.0, cart_abandonment_rate > 80.0 FROM dmet
+          UNION ALL SELECT 'zero_orders', merchant_id, coalesce(orders, 0), 0.0, coalesce(orders, 0) = 0 FROM merchants LEFT JOIN hmet USING (merchant_id)
+          UNION ALL SELECT 'gmv_drop', merchant_id, {_CH("gmv")}, -20.0, {_CH("gmv")} < -20.0 FROM hmet m LEFT JOIN hpmet p USING (merchant_id)
+          UNION ALL SELECT 'processing_lag', merchant_id, CAST(sum(event_id % 90) AS DOUBLE) / count(*), 60.0, CAST(sum(event_id % 90) AS DOUBLE) / count(*) > 60.0
+            FROM ev WHERE received_at BETWEEN TIMESTAMP '{END}' - INTERVAL 5 MINUTE AND TIMESTAMP '{END}' GROUP BY 2""",
+       (Q.EVENTS, Q.MERCHANTS, f"""dwin AS (SELECT * FROM ev WHERE received_at BETWEEN TIMESTAMP '{END}' - INTERVAL 1 DAY AND TIMESTAMP '{END}'),
+hwin AS (SELECT * FROM ev WHERE received_at BETWEEN TIMESTAMP '{END}' - INTERVAL 1 HOUR AND TIMESTAMP '{END}'),
+hprv AS (SELECT * FROM ev WHERE received_at BETWEEN TIMESTAMP '{END}' - INTERVAL 2 HOUR AND TIMESTAMP '{END}' - INTERVAL 1 HOUR),
+dmet AS ({_M.format('dwin')}), hmet AS ({_M.format('hwin')}), hpmet AS ({_M.format('hprv')})"""))
+def _(spark, root):
+    return A.evaluate(MX.rule_metrics(E.events(spark, root), E.merchants(spark, root), END), A.default_rules(spark))
 
 
 @query("wn14_alert_transitions", "rule_id:s merchant_id:i ts:t change:s",

@@ -46,7 +46,16 @@ def _(spark, root):
     return RC.active_users(_inter(spark, root), 40)
 
 
-@query("rc04_negative_samples", "user_id:i positive_id:i item_id:i")
+NEGATIVE = f"""numbered AS (SELECT item_id, row_number() OVER (ORDER BY b, item_id) - 1 AS item_no FROM (SELECT item_id, {Q.digest_bucket("CAST(item_id AS VARCHAR)", 4096)} AS b FROM (SELECT DISTINCT product_id AS item_id FROM products))),
+own AS (SELECT user_id, item_id, item_no FROM inter JOIN numbered USING (item_id)),
+liked AS (SELECT user_id, (SELECT count(*) FROM numbered) - count(*) AS free FROM own GROUP BY 1),
+spot AS (SELECT user_id, item_id AS positive_id, ({Q.digest_bucket("user_id || '|' || item_id || '|42'", "free")} + k) % free AS place FROM own JOIN liked USING (user_id), (SELECT unnest(range(4)) AS k) WHERE k < free),
+free_items AS (SELECT u.user_id, n.item_id, row_number() OVER (PARTITION BY u.user_id ORDER BY n.item_no) - 1 AS place
+  FROM liked u CROSS JOIN numbered n WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.user_id = u.user_id AND o.item_id = n.item_id))"""
+
+
+@query("rc04_negative_samples", "user_id:i positive_id:i item_id:i",
+       "SELECT user_id, positive_id, item_id FROM spot JOIN free_items USING (user_id, place)", (Q.EVENTS, INTER, Q.PRODUCTS, NEGATIVE))
 def _(spark, root):
     catalogue = E.products(spark, root).select(F.col("product_id").alias("item_id"))
     return RC.negatives(_inter(spark, root).select("user_id", "item_id"), catalogue)
@@ -60,7 +69,7 @@ def _(spark, root):
 
 
 def _model(spark, root, **fit):
-    return RC.fit_factors(_inter(spark, root), blocks=4, **fit)
+    return RC.fit_factors(_inter(spark, root), **fit)
 
 
 @query("rc05_factor_model", "item_id:i dims:i has_length:b")
@@ -188,9 +197,9 @@ def _(spark, root):
 # ------------------------------------------------------------------ serving
 
 REQ = """req AS (SELECT c_custkey AS request_id, c_nationkey AS merchant_id, list_extract(['homepage','pdp','cart','category'], c_custkey % 4 + 1) AS placement,
-    CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 150 END AS user_id, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 100 END AS source_product_id,
-    CASE WHEN c_custkey % 4 = 2 THEN [c_custkey * 7 % 100, c_custkey * 13 % 100] END AS cart, [c_custkey * 3 % 100, c_custkey * 11 % 100] AS excl,
-    5 + c_custkey % 6 AS lim, CASE WHEN c_custkey % 11 = 0 THEN 902.0 END AS price_min, CASE WHEN c_custkey % 11 = 0 THEN 907.5 END AS price_max, c_custkey % 13 = 0 AS in_stock_only FROM customer),
+    CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS user_id, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey * 17 % n_items + 1 END AS source_product_id,
+    CASE WHEN c_custkey % 4 = 2 THEN [c_custkey * 7 % n_items + 1, c_custkey * 13 % n_items + 1] END AS cart, [c_custkey * 3 % n_items + 1, c_custkey * 11 % n_items + 1] AS excl,
+    5 + c_custkey % 6 AS lim, CASE WHEN c_custkey % 11 = 0 THEN 902.0 END AS price_min, CASE WHEN c_custkey % 11 = 0 THEN 907.5 END AS price_max, c_custkey % 13 = 0 AS in_stock_only FROM customer, (SELECT max(p_partkey) AS n_items FROM part)),
 cnt AS (SELECT user_id, sum(interactions) AS n FROM inter GROUP BY 1),
 strat0 AS (SELECT *, CASE WHEN placement = 'homepage' THEN CASE WHEN user_id IS NOT NULL THEN 'collaborative' ELSE 'popularity' END
     WHEN placement = 'pdp' AND source_product_id IS NOT NULL THEN CASE WHEN user_id IS NOT NULL THEN 'hybrid' ELSE 'content_based' END
@@ -200,12 +209,12 @@ strat AS (SELECT s.* EXCLUDE (strategy), s.strategy AS first_strategy, CASE WHEN
 
 
 def _requests(spark, root):
-    k = F.col("customer_id")
+    k, items = F.col("customer_id"), E.products(spark, root).agg(F.max("product_id")).first()[0]
     big = lambda *c: F.array(*[x.cast("bigint") for x in c])
     return E.customers(spark, root).select(
         k.alias("request_id"), "merchant_id", F.element_at(F.array(*[F.lit(x) for x in ("homepage", "pdp", "cart", "category")]), (k % 4 + 1).cast("int")).alias("placement"),
-        F.when(k % 5 != 0, k % 150).alias("user_id"), F.when(k % 3 != 0, k % 100).alias("source_product_id"),
-        F.when(k % 4 == 2, big(k * 7 % 100, k * 13 % 100)).alias("cart_product_ids"), big(k * 3 % 100, k * 11 % 100).alias("exclude_product_ids"),
+        F.when(k % 5 != 0, k).alias("user_id"), F.when(k % 3 != 0, k * 17 % items + 1).alias("source_product_id"),
+        F.when(k % 4 == 2, big(k * 7 % items + 1, k * 13 % items + 1)).alias("cart_product_ids"), big(k * 3 % items + 1, k * 11 % items + 1).alias("exclude_product_ids"),
         (k % 6 + 5).cast("int").alias("limit"), F.when(k % 11 == 0, F.lit(902.0)).alias("price_min"), F.when(k % 11 == 0, F.lit(907.5)).alias("price_max"),
         (k % 13 == 0).alias("in_stock_only"))
 
@@ -300,19 +309,19 @@ _IDEAL = lambda k: f"(SELECT sum(1.0 / log2(r + 1.0)) FROM generate_series(1, {k
 @query("rc10_ranking_metrics", "users:i mrr:r6 hr_at_5:r6 hr_at_10:r6 hr_at_20:r6 ndcg_at_5:r6 ndcg_at_10:r6 ndcg_at_20:r6 coverage:r6",
        "SELECT count(*) AS users, avg(coalesce(1.0 / first, 0)) AS mrr, " + ", ".join(
            f"avg(coalesce(h{k}, 0)) AS hr_at_{k}, avg(coalesce(d{k}, 0) / {_IDEAL(k)}) AS ndcg_at_{k}" for k in (5, 10, 20))
-       + ", (SELECT count(DISTINCT item_id) FROM rkd) / 100.0 AS coverage FROM rel LEFT JOIN (SELECT user_id, min(rank) AS first, " + ", ".join(
+       + ", (SELECT count(DISTINCT item_id) FROM rkd) / (SELECT CAST(count(*) AS DOUBLE) FROM part) AS coverage FROM rel LEFT JOIN (SELECT user_id, min(rank) AS first, " + ", ".join(
            f"max(CASE WHEN rank <= {k} THEN 1.0 ELSE 0 END) AS h{k}, sum(CASE WHEN rank <= {k} THEN 1.0 / log2(rank + 1.0) END) AS d{k}" for k in (5, 10, 20))
        + " FROM hit GROUP BY 1) USING (user_id)", (Q.EVENTS, INTER, RANKED))
 def _(spark, root):
     ranked, actual = _ranked(spark, root)
-    return RC.evaluate(ranked, actual, 100)
+    return RC.evaluate(ranked, actual, E.products(spark, root).select(F.col("product_id").alias("item_id")))
 
 
 @query("rc11_deployment_gate", "users:i deploy:b",
        "SELECT count(*) AS users, avg(coalesce(h, 0)) >= 0.1 AS deploy FROM rel LEFT JOIN (SELECT user_id, 1.0 AS h FROM hit WHERE rank <= 10 GROUP BY 1) USING (user_id)", (Q.EVENTS, INTER, RANKED))
 def _(spark, root):
     ranked, actual = _ranked(spark, root)
-    return RC.gate(RC.evaluate(ranked, actual, 100))
+    return RC.gate(RC.evaluate(ranked, actual, E.products(spark, root).select(F.col("product_id").alias("item_id"))))
 
 
 @query("rc09_hit_rate", "user_id:i actual:i hits:i hit_rate:r",

@@ -1,5 +1,13 @@
 """The entity views of ``sources.entities`` as DuckDB CTEs for the checks."""
 
+def digest_bucket(text: str, buckets) -> str:
+    """md5 of a text as a 128-bit number modulo ``buckets``, folded 32 bits at a time."""
+    out = "0"
+    for start in (1, 9, 17, 25):
+        out = f"(({out}) * 4294967296 + ('0x' || substring(md5({text}), {start}, 8))::BIGINT) % {buckets}"
+    return out
+
+
 MERCHANTS = """merchants AS (
   SELECT n_nationkey AS merchant_id, n_name AS merchant_name, r_name AS industry,
     CASE n_nationkey % 4 WHEN 0 THEN 'platinum' WHEN 1 THEN 'gold' WHEN 2 THEN 'silver' ELSE 'bronze' END AS merchant_tier,

@@ -9,6 +9,7 @@ from ..operators import quality as DQ
 from ..operators import records as R
 from ..sources import connectors as CX
 from ..sources import entities as E
+from ..session import scratch
 from ..sources import warehouse as WH
 from . import commerce as CM
 from . import sql_entities as Q
@@ -81,16 +82,29 @@ MERGE = """upd AS (SELECT order_id, customer_id, 'archived' AS status FROM ord W
   UNION ALL SELECT order_id + 100000000, customer_id, 'new' FROM ord WHERE order_id % 100 = 0)"""
 
 
-@query("io03_merge_upsert", "order_id:i customer_id:i status:s",
-       "SELECT order_id, customer_id, status FROM ord WHERE order_id NOT IN (SELECT order_id FROM upd) UNION ALL SELECT * FROM upd", (Q.ORDERS, MERGE))
 @query("so03_merge_as_union", "order_id:i status:s",
        "SELECT order_id, status FROM ord WHERE order_id NOT IN (SELECT order_id FROM upd) UNION ALL SELECT order_id, status FROM upd", (Q.ORDERS, MERGE))
 def _(spark, root):
+    rows, changes = _versions(spark, root)
+    return WH.merge_rows(rows, changes, ["order_id"], ["version"])
+
+
+@query("io03_merge_upsert", "order_id:i customer_id:i status:s",
+       "SELECT order_id, customer_id, status FROM ord WHERE order_id NOT IN (SELECT order_id FROM upd) UNION ALL SELECT * FROM upd", (Q.ORDERS, MERGE))
+def _(spark, root):
+    rows, changes = _versions(spark, root)
+    wh = WH.Warehouse(spark, scratch(spark, "io03"))
+    wh.write(rows, "orders", "overwrite")
+    wh.merge(changes, "orders", ["order_id"], ["version"])
+    return wh.read("orders")
+
+
+def _versions(spark, root):
     o = E.raw_orders(spark, root).select("order_id", "customer_id", "status")
     upd = o.filter("order_id % 7 = 0").withColumn("status", F.lit("archived")).withColumn("version", F.lit(2))
     stale = o.filter("order_id % 14 = 0").withColumn("status", F.lit("stale")).withColumn("version", F.lit(1))
     new = o.filter("order_id % 100 = 0").select((F.col("order_id") + 100000000).alias("order_id"), "customer_id", F.lit("new").alias("status"), F.lit(1).alias("version"))
-    return WH.merge_rows(o.withColumn("version", F.lit(0)), upd.unionByName(stale).unionByName(new), ["order_id"], ["version"])
+    return o.withColumn("version", F.lit(0)), upd.unionByName(stale).unionByName(new)
 
 
 @query("io07_newer_than_watermark", "order_id:i updated_at:t",

@@ -32,27 +32,24 @@ def get_session(app_name: str = "bazaarlens", master: str | None = None, **extra
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Checkpoint folder named by the cluster; ``fallback`` only where unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, also set for checkpoints.
+
+    It is ``spark.checkpoint.dir``, or the checkpoint folder set before. Only a local
+    master may do without: it gets a temporary folder of this machine, once.
+    """
     current = spark.sparkContext.getCheckpointDir()
-    if configured:
-        if not current:
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    if current:
-        return current
-    if fallback:
-        spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    folder = configured or current
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="bazaarlens-")
+    if not current:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder for intermediate tables, below the cluster's shared folder.
-
-    Only where no shared folder is configured (local runs, tests) is a temporary
-    folder of this machine used.
-    """
-    shared = checkpoint_dir(spark)
-    base = shared if shared else tempfile.mkdtemp(prefix="bazaarlens-")
-    return f"{base.rstrip('/')}/{name}-{uuid4().hex[:12]}"
+    """A fresh folder for intermediate tables below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex[:12]}"

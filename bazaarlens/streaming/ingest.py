@@ -29,10 +29,14 @@ def deduplicated(events: DataFrame, keys: Sequence[str] = ("event_id",), ts: str
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, order: Sequence[str] = (), cluster: Sequence[str] = ()) -> None:
-    """Write one micro-batch idempotently, optionally clustered and ordered inside files."""
+    """Write one micro-batch idempotently, optionally clustered and ordered inside files.
+
+    Clusters are ranges of (cluster, order), so one key with most of the rows is
+    split by its order and files still follow each other.
+    """
     out = df.withColumn("batch_id", F.lit(batch_id))
     if cluster:
-        out = out.repartition(*cluster)
+        out = out.repartitionByRange(*cluster, *[c for c in order if c not in cluster])
     if order:
         out = out.sortWithinPartitions(*order)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
@@ -70,9 +74,11 @@ def upsert(stream: DataFrame, warehouse: Warehouse, table: str, keys: Sequence[s
 
 
 def split_late(batch: DataFrame, ts: str = "ts", allowed_seconds: int = 3600) -> tuple[DataFrame, DataFrame]:
-    """On-time and late rows of a batch, late being far behind the batch's newest event."""
+    """On-time and late rows of a batch, late being far behind the batch's newest event.
+
+    Every row is in exactly one part; one without a time is late.
+    """
     newest = batch.agg(F.max(ts)).first()[0]
-    if newest is None:
-        return batch, batch
     limit = F.lit(newest) - F.make_interval(secs=F.lit(allowed_seconds).cast("decimal(18,6)"))
-    return batch.filter(F.col(ts) >= limit), batch.filter(F.col(ts) < limit)
+    on_time = F.coalesce(F.col(ts) >= limit, F.lit(False)) if newest is not None else F.lit(False)
+    return batch.filter(on_time), batch.filter(~on_time)

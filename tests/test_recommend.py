@@ -36,7 +36,7 @@ def test_giant_baskets_count_like_small_ones(spark):
         for i in held:
             for j in held - {i}:
                 want[i, j] = want.get((i, j), 0) + 1
-    split = {(r.item_id, r.other_id): r.together for r in SIM.bought_together(b, b, giant=5).collect()}
+    split = {(r.item_id, r.other_id): r.together for r in SIM.bought_together(b.repartition(5), b).collect()}
     whole = {(r.item_id, r.other_id): r.together for r in SIM.bought_together(b, b).collect()}
     assert split == want and whole == want
 
@@ -44,7 +44,7 @@ def test_giant_baskets_count_like_small_ones(spark):
 def test_cart_completion_excludes_the_cart(spark):
     b, _ = _baskets(spark)
     carts = spark.createDataFrame([(1, 3), (1, 4), (2, 39)], "cart_id int, item_id long")
-    out = SIM.complete_carts(carts, b, 5, giant=5)
+    out = SIM.complete_carts(carts, b, 5)
     assert out.join(carts.withColumnRenamed("item_id", "candidate_id"), ["cart_id", "candidate_id"]).isEmpty()
     assert out.groupBy("cart_id").count().filter("count <> 5").isEmpty()
 
@@ -58,6 +58,16 @@ def test_negatives_are_never_positives_and_repeatable(spark):
     assert not {(u, i) for u, _, i in a} & {tuple(r) for r in rows(pos)}
 
 
+def test_negatives_are_complete_for_users_who_like_nearly_everything(spark):
+    pos = spark.createDataFrame([(1, i) for i in range(95)] + [(2, i) for i in range(98)] + [(3, i) for i in range(100)], "user_id long, item_id long")
+    a = rows(RC.negatives(pos, spark.range(100).withColumnRenamed("id", "item_id")), "user_id", "positive_id", "item_id")
+    by = {}
+    for u, p, i in a:
+        by.setdefault((u, p), set()).add(i)
+    assert {len(v) for (u, _), v in by.items() if u == 1} == {4} and len([k for k in by if k[0] == 1]) == 95
+    assert all(v == {98, 99} for (u, _), v in by.items() if u == 2) and not [k for k in by if k[0] == 3]
+
+
 def test_item_numbers_are_dense(spark):
     nums = rows(RC.indexed(spark.range(500).withColumnRenamed("id", "item_id"), buckets=16), "item_no")
     assert sorted(n for n, in nums) == list(range(500))
@@ -84,7 +94,7 @@ def test_factor_model_invariants(spark):
 def test_ranking_metrics_by_hand(spark):
     ranked = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3), (2, 13, 1)], "user_id int, item_id int, rank int")
     actual = spark.createDataFrame([(1, 11), (1, 12), (2, 99), (3, 10)], "user_id int, item_id int")
-    m = RC.evaluate(ranked, actual, 8, ks=(2,)).first()
+    m = RC.evaluate(ranked, actual, spark.range(8).withColumnRenamed("id", "item_id"), ks=(2,)).first()
     dcg = (1 / np.log2(3)) / (1 + 1 / np.log2(3))
     assert m.users == 3 and np.isclose(m.mrr, 0.5 / 3) and np.isclose(m.hr_at_2, 1 / 3) and np.isclose(m.ndcg_at_2, dcg / 3) and m.coverage == 0.5
 
@@ -132,7 +142,6 @@ def test_usage_number_across_days(spark):
     df = spark.createDataFrame(data, "order_id int, promotion_id string, customer_id int, d string").withColumns({
         "created_at": F.col("d").cast("timestamp_ntz"), "total_usage_limit": F.lit(5), "per_customer_limit": F.lit(2)})
     promotions = df.select("promotion_id", "total_usage_limit", "per_customer_limit").distinct()
-    for pushed in (1000, 1):
-        assert rows(PM.within_usage(df, promotions, pushed=pushed), "order_id", "use_number") == [(i, i + 1) for i in range(5)]
+    assert rows(PM.within_usage(df, promotions), "order_id", "use_number") == [(i, i + 1) for i in range(5)]
     free = df.withColumn("total_usage_limit", F.lit(None).cast("int"))
-    assert rows(PM.within_usage(free, promotions, pushed=1), "order_id", "use_number") == [(i, None) for i in range(6)]
+    assert rows(PM.within_usage(free, promotions), "order_id", "use_number") == [(i, None) for i in range(6)]

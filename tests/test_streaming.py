@@ -143,6 +143,11 @@ def test_late_rows_go_aside(spark):
     df = spark.createDataFrame([(1, T0), (2, T0 + timedelta(hours=2)), (3, T0 + timedelta(minutes=70))], "i int, ts timestamp")
     fresh, late = SI.split_late(df)
     assert rows(fresh, "i") == [(2,), (3,)] and rows(late, "i") == [(1,)]
+    gaps = spark.createDataFrame([(1, T0), (2, None)], "i int, ts timestamp")
+    fresh, late = SI.split_late(gaps)
+    assert rows(fresh, "i") == [(1,)] and rows(late, "i") == [(2,)]
+    fresh, late = SI.split_late(gaps.filter("i = 2"))
+    assert rows(fresh, "i") == [] and rows(late, "i") == [(2,)]
 
 
 def test_over_limit_reports(spark):

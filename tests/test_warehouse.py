@@ -38,6 +38,42 @@ def test_merge_insert_update_duplicates_and_rerun(wh, spark):
     assert wh.read("t").count() == 3
 
 
+@pytest.mark.parametrize("at", ["before the note", "while replacing"])
+def test_merge_survives_a_crash(wh, spark, monkeypatch, at):
+    wh.merge(ids(spark, ("a", 1, 1), ("b", 2, 1)), "t", ["id"], ["version"])
+    batch, write = ids(spark, ("a", 10, 2), ("c", 3, 1)), Warehouse.write
+    writes = []
+
+    def failing(self, df, table, *args, **kwargs):
+        writes.append(table)
+        if at == "before the note" or len(writes) == 2:
+            if len(writes) == 2:  # the live files are gone when the job dies
+                fs, p = self._file(self.path("t"))
+                fs.delete(p, True)
+            raise RuntimeError("lost")
+        write(self, df, table, *args, **kwargs)
+    monkeypatch.setattr(Warehouse, "write", failing)
+    with pytest.raises(RuntimeError):
+        wh.merge(batch, "t", ["id"], ["version"])
+    monkeypatch.setattr(Warehouse, "write", write)
+    if at == "while replacing":
+        assert rows(wh.read("t"), "id", "value") == [("a", 10), ("b", 2), ("c", 3)]
+    else:
+        assert rows(wh.read("t"), "id", "value") == [("a", 1), ("b", 2)]
+    wh.merge(batch, "t", ["id"], ["version"])
+    assert rows(wh.read("t"), "id", "value") == [("a", 10), ("b", 2), ("c", 3)]
+
+
+def test_shared_folder_is_required_off_local():
+    from types import SimpleNamespace
+
+    from bazaarlens.session import shared_folder
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        session = SimpleNamespace(sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None), conf=SimpleNamespace(get=lambda *a: None))
+        with pytest.raises(ValueError):
+            shared_folder(session)
+
+
 def test_partitioned_merge_leaves_other_partitions_alone(wh, spark):
     base = spark.createDataFrame([(i, date(2024, 1, 1 + i % 3), 0) for i in range(9)], "id int, day date, v int")
     wh.write(base, "p", "overwrite", ["day"])
