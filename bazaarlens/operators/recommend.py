@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.recommendation import ALS, ALSModel
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,18 +86,31 @@ def negatives(positives: DataFrame, catalogue: DataFrame, per_positive: int = 4,
     return placed.select("user_id", "positive_id", (F.col("place") + F.col("_shift")).alias("item_no")).join(numbered, "item_no").select("user_id", "positive_id", "item_id")
 
 
+@dataclass(frozen=True)
+class Factors:
+    """Factor tables (id, features) of users and items, under the ids of the ratings."""
+
+    userFactors: DataFrame
+    itemFactors: DataFrame
+    rank: int
+
+
 def fit_factors(ratings: DataFrame, rank: int = 64, reg: float = 0.01, iterations: int = 15, alpha: float = 40.0, seed: int = 42,
-                blocks: int | None = None) -> ALSModel:
-    """Implicit-feedback ALS; deep lineage is cut in the session's shared folder.
+                blocks: int | None = None) -> Factors:
+    """Implicit-feedback ALS over ids of any type; deep lineage is cut in the session's shared folder.
 
     As many blocks as the session has shuffle partitions, unless given.
     """
     from ..session import shared_folder
     shared_folder(ratings.sparkSession)
     blocks = blocks or int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    users = indexed(ratings, "user_id").select("user_id", F.col("item_no").cast("int").alias("_u"))
+    items = indexed(ratings, "item_id").select("item_id", F.col("item_no").cast("int").alias("_i"))
     als = ALS(rank=rank, regParam=reg, maxIter=iterations, alpha=alpha, implicitPrefs=True, seed=seed, numUserBlocks=blocks, numItemBlocks=blocks,
-              userCol="user_id", itemCol="item_id", ratingCol="weight", coldStartStrategy="nan", checkpointInterval=5)
-    return als.fit(ratings.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), F.col("weight").cast("float")))
+              userCol="_u", itemCol="_i", ratingCol="weight", coldStartStrategy="nan", checkpointInterval=5)
+    model = als.fit(ratings.join(users, "user_id").join(items, "item_id").select("_u", "_i", F.col("weight").cast("float")))
+    named = lambda factors, names, key, no: factors.join(names, factors["id"] == names[no]).select(names[key].alias("id"), "features")
+    return Factors(named(model.userFactors, users, "user_id", "_u"), named(model.itemFactors, items, "item_id", "_i"), rank)
 
 
 def score_pairs(pairs: DataFrame, user_factors: DataFrame, item_factors: DataFrame) -> DataFrame:
@@ -107,21 +121,21 @@ def score_pairs(pairs: DataFrame, user_factors: DataFrame, item_factors: DataFra
         "score", F.coalesce(dot("_u", "_i"), F.lit(0.0))).drop("_u", "_i")
 
 
-def recommend(model: ALSModel, users: DataFrame, n: int = 10, exclude: DataFrame | None = None) -> DataFrame:
-    """Best ``n`` per known user without excluded (user, item) pairs; unknown users get none.
+def recommend(user_factors: DataFrame, item_factors: DataFrame, users: DataFrame, n: int = 10, exclude: DataFrame | None = None) -> DataFrame:
+    """Best ``n`` items per known user without excluded (user, item) pairs; unknown users get none.
 
-    The model's blocked top-k is asked for n plus the longest exclusion list, so
-    dropping exclusions can never leave a user short.
+    A user is asked for n plus the number of their own exclusions, so dropping these
+    leaves nobody short and one long list costs the others nothing.
     """
-    extra = 0
+    from .similarity import block_top_n, dot_score
+    u = user_factors.select(F.col("id").alias("user_id"), F.col("features").alias("source_vector")).join(users.select("user_id").distinct(), "user_id")
     if exclude is not None:
-        longest = exclude.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        extra = int(longest or 0)
-    got = model.recommendForUserSubset(users.select(F.col("user_id").cast("int")).distinct(), n + extra)
-    flat = got.select("user_id", F.explode("recommendations").alias("r")).select(
-        "user_id", F.col("r.item_id").alias("item_id"), F.col("r.rating").cast("double").alias("score"))
+        own = exclude.groupBy("user_id").agg(F.count(F.lit(1)).alias("_x"))
+        u = u.join(own, "user_id", "left").withColumn("need", (F.lit(n) + F.coalesce("_x", F.lit(0))).cast("int")).drop("_x")
+    i = item_factors.select(F.col("id").alias("item_id"), F.col("features").alias("vector"))
+    flat = block_top_n(u, i, dot_score(), n, source_key="user_id").drop("rank")
     if exclude is not None:
-        flat = flat.join(exclude.select(F.col("user_id").cast("int"), F.col("item_id").cast("int")), ["user_id", "item_id"], "left_anti")
+        flat = flat.join(exclude.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     return top_k(flat, ["user_id"], [F.desc("score"), F.asc("item_id")], n)
 
 

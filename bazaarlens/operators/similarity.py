@@ -13,7 +13,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scale import top_k
@@ -40,11 +40,11 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return m / length
 
 
-def _best(scores: np.ndarray, items: np.ndarray, n: int) -> list[np.ndarray]:
-    """Column positions of the best n per row: score descending, then item ascending."""
+def _best(scores: np.ndarray, items: np.ndarray, wanted: np.ndarray) -> list[np.ndarray]:
+    """Column positions of each row's best ``wanted`` ones: score descending, then item ascending."""
     order = np.argsort(items, kind="stable")
     picks = []
-    for row in scores:
+    for row, n in zip(scores, wanted.tolist()):
         ranked = order[np.argsort(-row[order], kind="stable")][:n]
         picks.append(ranked[np.isfinite(row[ranked])])
     return picks
@@ -52,7 +52,11 @@ def _best(scores: np.ndarray, items: np.ndarray, n: int) -> list[np.ndarray]:
 
 def block_top_n(sources: DataFrame, items: DataFrame, score: Score, n: int, source_key: str = "source_id",
                 item_key: str = "item_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Best ``n`` items per source as (source, item, score, rank), over all pairs."""
+    """Best ``n`` items per source as (source, item, score, rank), over all pairs.
+
+    A source may ask for its own number in a column ``need``.
+    """
+    own = "need" in sources.columns
     src_blocks = max(1, ceil(sources.count() / block_rows))
     item_blocks = max(1, ceil(items.count() / block_rows))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
@@ -66,7 +70,7 @@ def block_top_n(sources: DataFrame, items: DataFrame, score: Score, n: int, sour
         if left.empty or right.empty:
             return pd.DataFrame({source_key: [], item_key: [], "score": []})
         table, ids = score(left, right), right[item_key].to_numpy()
-        picks = _best(table, ids, n)
+        picks = _best(table, ids, left["need"].to_numpy() if own else np.full(len(left), n))
         rows = np.repeat(np.arange(len(left)), [len(p) for p in picks])
         cols = np.concatenate(picks) if len(rows) else np.array([], dtype=int)
         return pd.DataFrame({source_key: left[source_key].to_numpy()[rows], item_key: ids[cols], "score": table[rows, cols]})
@@ -74,7 +78,18 @@ def block_top_n(sources: DataFrame, items: DataFrame, score: Score, n: int, sour
     kinds = {f.name: f.dataType.simpleString() for f in [*sources.schema, *items.schema]}
     schema = f"{source_key} {kinds[source_key]}, {item_key} {kinds[item_key]}, score double"
     best = s.groupBy("_sb", "_ib").cogroup(i.groupBy("_sb", "_ib")).applyInPandas(cell, schema)
-    return top_k(best, [source_key], [F.desc("score"), F.asc(item_key)], n)
+    if not own:
+        return top_k(best, [source_key], [F.desc("score"), F.asc(item_key)], n)
+    w = Window.partitionBy(source_key).orderBy(F.desc("score"), F.asc(item_key))
+    ranked = best.join(sources.select(source_key, "need"), source_key).withColumn("rank", F.row_number().over(w))
+    return ranked.filter("rank <= need").drop("need")
+
+
+def dot_score(source_vector: str = "source_vector", vector: str = "vector") -> Score:
+    """Inner product of the vectors."""
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+        return np.array([np.asarray(v, dtype=float) for v in left[source_vector]]) @ np.array([np.asarray(v, dtype=float) for v in right[vector]]).T
+    return score
 
 
 def cosine_score(vector: str = "embedding", source_vector: str | None = None, source_key: str = "source_id", item_key: str = "item_id") -> Score:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from ..operators import recommend as RC
 class Trained:
     """A fitted model with its evaluation row (lazy)."""
 
-    model: ALSModel
+    model: RC.Factors
     metrics: DataFrame
 
 
@@ -28,7 +27,7 @@ def train(events: DataFrame, start: str, asof: str, n: int = 20, minimum_hr: flo
     test = parts.filter("split = 'test' AND item_id IS NOT NULL").select("user_id", "item_id").distinct()
     known = fitted.select("user_id").distinct()
     test = test.join(known, "user_id", "left_semi")
-    ranked = RC.recommend(model, test.select("user_id").distinct(), n)
+    ranked = RC.recommend(model.userFactors, model.itemFactors, test.select("user_id").distinct(), n)
     return Trained(model, RC.gate(RC.evaluate(ranked, test, fitted.select("item_id")), minimum=minimum_hr))
 
 

@@ -80,7 +80,7 @@ def test_factor_model_invariants(spark):
     model = RC.fit_factors(ratings, rank=8, iterations=3, blocks=2)
     seen = ratings.select("user_id", "item_id")
     users = spark.createDataFrame([(0,), (1,), (9999,)], "user_id int")
-    out = RC.recommend(model, users, 5, seen)
+    out = RC.recommend(model.userFactors, model.itemFactors, users, 5, seen)
     assert out.join(seen, ["user_id", "item_id"]).isEmpty() and out.filter("user_id = 9999").isEmpty()
     for u in (0, 1):
         got = out.filter(F.col("user_id") == u).orderBy("rank").collect()
