@@ -57,6 +57,9 @@ def _code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 FIRST, SIZE, NODES, PATH_BITS = _code()
 DEPTH = np.concatenate([np.arange(n) for n in SIZE]).astype(np.int64)
 
+_GATE = np.minimum(DEPTH, 3)
+_AWAY = np.where(PATH_BITS > 0, -1, 1).astype(np.float32)
+
 # ---- predictors
 
 PREDICTORS = ("two bytes", "four bytes", "word so far")
@@ -105,7 +108,7 @@ class BitCounts:
     """Bits seen per predictor slot, as (slot, bit) counts."""
 
     def __init__(self):
-        self.table = np.zeros((len(PREDICTORS), 2 << SLOT_BITS), dtype=np.int64)
+        self.table = np.zeros((len(PREDICTORS), 2 << SLOT_BITS), dtype=np.int32)
 
     def add(self, low: np.ndarray, context: list[np.ndarray], use: np.ndarray) -> None:
         """Learn the bytes that ``use`` marks; equal (context, byte) pairs are counted first."""
@@ -113,7 +116,7 @@ class BitCounts:
             pair, times = np.unique((c << np.uint32(8) | low)[use], return_counts=True)
             owner, step = _expand((pair & np.uint32(255)).astype(np.int64))
             slot = _slots((pair >> np.uint32(8))[owner], _STEP_KEY[step])
-            self.table[k] += np.bincount(slot * 2 + PATH_BITS[step], weights=times[owner], minlength=2 << SLOT_BITS).astype(np.int64)
+            self.table[k] += np.bincount(slot * 2 + PATH_BITS[step], weights=times[owner], minlength=2 << SLOT_BITS).astype(np.int32)
 
     def slices(self) -> list[tuple[int, int, bytes]]:
         """(predictor, slice, packed counts), of slices with counts."""
@@ -121,7 +124,7 @@ class BitCounts:
         for k, t in enumerate(self.table):
             for i, part in enumerate(t.reshape(-1, SLICE)):
                 if part.any():
-                    out.append((k, i, codec.compress(part.tobytes(), asbytes=True)))
+                    out.append((k, i, codec.compress(part.tobytes(), asbytes=True)))  # of one task, so far below 2**31
         return out
 
 
@@ -130,7 +133,7 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codec, total = pa.Codec("zstd"), {}
     for b in batches:
         for k, i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            part = np.frombuffer(codec.decompress(data, SLICE * 8, asbytes=True), dtype=np.int64)
+            part = np.frombuffer(codec.decompress(data, SLICE * 4, asbytes=True), dtype=np.int32).astype(np.int64)
             total[k, i] = total[k, i] + part if (k, i) in total else part
     keys = sorted(total)
     values = []
@@ -145,7 +148,7 @@ class Mixer:
 
     A text is cut into segments of ``SEGMENT`` bytes that start from the same weights.
     Weights are gated by the depth of the decision; after every ``BLOCK`` bytes of a
-    segment they move along the mean error times input, and so does the last
+    segment they move along the mean of error times input, and so does the last
     stage, a scale and shift of the mixed stretch. A result depends on the text
     and the tables alone, not on which texts are scored together.
     """
@@ -154,6 +157,7 @@ class Mixer:
 
     def __init__(self, tables: np.ndarray):
         self.tables = tables
+        self.values = (np.arange(256, dtype=np.uint8).view(np.int8) / STRETCH).astype(np.float32)
 
     def bits(self, low: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n, texts_ = len(low), len(ends) - 1
@@ -169,39 +173,44 @@ class Mixer:
         order = np.argsort(block.astype(np.uint8), kind="stable")
         cuts = np.searchsorted(block[order], np.arange(self.SEGMENT // self.BLOCK + 1))
         lanes, inputs = int(lane[-1]) + 1, len(PREDICTORS)
-        weights = np.full((lanes * self.GATES, inputs), 0.4, dtype=np.float32)
-        last = np.tile(np.array([1.0, 0.0], dtype=np.float32), (lanes, 1))
+        weights = [np.full(lanes * self.GATES, 0.4, dtype=np.float32) for _ in range(inputs)]
+        scale, shift = np.ones(lanes, dtype=np.float32), np.zeros(lanes, dtype=np.float32)
         cost = np.zeros(lanes)
         for a, b in zip(cuts, cuts[1:]):
             if a == b:
                 break
             at = order[a:b]
-            owner, step = _expand(low[at].astype(np.int64))
-            key = _STEP_KEY[step]
-            x = [self.tables[k].take(_slots(context[k][at][owner], key)).astype(np.float32) * np.float32(1 / STRETCH) for k in range(inputs)]
-            lane_bit = lane[at][owner]
-            gate = lane_bit * self.GATES + np.minimum(DEPTH[step], self.GATES - 1)
-            mixed = sum(weights[:, k].take(gate) * x[k] for k in range(inputs))
-            y = PATH_BITS[step].astype(np.float32)
-            final = np.clip(last[:, 0].take(lane_bit) * mixed + last[:, 1].take(lane_bit), -12, 12)
-            loss = np.logaddexp(np.float32(0), np.where(y > 0, -final, final))
+            owner, step = _expand(low.take(at).astype(np.int64))
+            at = at.take(owner)
+            key = _STEP_KEY.take(step)
+            x = [self.values.take(self.tables[k].take(_slots(context[k].take(at), key)).view(np.uint8)) for k in range(inputs)]
+            lane_bit = lane.take(at)
+            gate = lane_bit * self.GATES + _GATE.take(step)
+            mixed = weights[0].take(gate) * x[0]
+            for k in range(1, inputs):
+                mixed += weights[k].take(gate) * x[k]
+            away = _AWAY.take(step)
+            z = np.clip(scale.take(lane_bit) * mixed + shift.take(lane_bit), -12, 12) * away
+            small = np.exp(-np.abs(z))
+            loss = np.maximum(z, 0) + np.log(1 + small)
+            error = -away * np.where(z >= 0, np.float32(1), small) / (1 + small)
             here = np.append(np.flatnonzero(np.append(True, lane_bit[1:] != lane_bit[:-1])), len(lane_bit))
-            who, many = lane_bit[here[:-1]], np.diff(here).astype(np.float32)
+            who, many = lane_bit[here[:-1]], np.diff(here)
             cost[who] += np.add.reduceat(loss.astype(np.float64), here[:-1])
-            e = y - 1 / (1 + np.exp(-np.clip(mixed, -12, 12)))
-            seen = np.maximum(np.bincount(gate, minlength=len(weights)), 1)
+            rate = np.zeros(lanes)
+            rate[who] = self.RATE / many
+            rate = np.repeat(rate, self.GATES)
             for k in range(inputs):
-                weights[:, k] += (self.RATE * np.bincount(gate, weights=e * x[k], minlength=len(weights)) / seen / 4).astype(np.float32)
-            e = y - 1 / (1 + np.exp(-final))
-            last[who, 0] += self.LAST_RATE * np.add.reduceat(e * mixed, here[:-1]) / many / 4
-            last[who, 1] += self.LAST_RATE * np.add.reduceat(e, here[:-1]) / many
+                weights[k] += (rate * np.bincount(gate, weights=error * x[k], minlength=len(gate) and len(rate))).astype(np.float32)
+            scale[who] += self.LAST_RATE / 4 * np.add.reduceat(error * mixed, here[:-1]) / many
+            shift[who] += self.LAST_RATE * np.add.reduceat(error, here[:-1]) / many
         return np.bincount(text_of[new_lane], weights=cost, minlength=texts_) / math.log(2)
 
 
 # ---- one pass over the texts: words of each chunk, and bits of training texts
 
 BUCKETS = 256
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
 _END = np.uint64(0x5851F42D4C957F2D)  # the end token, no hash of a word's bytes but by chance
 _GATHER = "kind int, chunk bigint, bucket int, a binary, b binary, ids array<bigint>"
 
@@ -233,7 +242,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     size = 0
-    for rows, data, ends in byte_chunks(batches, limit=2 << 20):
+    for rows, data, ends in byte_chunks(batches):
         low = LOWER[data]
         use = rows.column("train").to_numpy(zero_copy_only=False)
         counts.add(low, contexts(low, ends), np.repeat(use, np.diff(ends)))
