@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import as_date, day_window
 from ..functions.guards import count_if, pct_change, ratio, sum_if
 from ..functions.scoring import merchant_tier
+from .scale import value_band
 
 CHANNELS = ("web", "mobile_web", "ios_app", "android_app", "api")
 TIERS = ("platinum", "gold", "silver", "bronze")
@@ -73,9 +74,24 @@ def daily_core(orders: DataFrame, channels: Sequence[str] = (), tiers: Sequence[
 
 
 def daily_median(orders: DataFrame, exact: bool = False, value: str = "gmv", name: str = "median_order_gmv") -> DataFrame:
-    """Median per day; approximate picks an element, exact interpolates."""
-    fn = F.percentile(value, 0.5) if exact else F.percentile_approx(value, 0.5)
-    return orders.groupBy(*DAY).agg(fn.alias(name))
+    """Median per day; approximate picks an element, exact interpolates.
+
+    The exact one counts equal values first, finds by the sizes of value bands which
+    band holds the middle, and orders only the values of that band.
+    """
+    if not exact:
+        return orders.groupBy(*DAY).agg(F.percentile_approx(value, 0.5).alias(name))
+    counts = orders.filter(F.col(value).isNotNull()).groupBy(*DAY, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_band", value_band(F.col("_v")))
+    day = Window.partitionBy(*DAY)
+    bands = counts.groupBy(*DAY, "_band").agg(F.sum("_n").alias("_size"))
+    bands = bands.withColumn("_total", F.sum("_size").over(day)).withColumn("_before", F.sum("_size").over(day.orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)
+    middle = bands.filter((F.col("_before") < high) & (F.col("_before") + F.col("_size") >= low)).drop("_size")
+    upto = Window.partitionBy(*DAY, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    near = counts.join(middle, [*DAY, "_band"]).withColumn("_to", F.col("_before") + F.sum("_n").over(upto))
+    holds = lambda at: F.max(F.when((F.col("_to") >= at) & (F.col("_to") - F.col("_n") < at), F.col("_v")))
+    return near.groupBy(*DAY).agg(((holds(low) + holds(high)) / 2).alias(name))
 
 
 def daily_gmv(orders: DataFrame) -> DataFrame:
@@ -202,7 +218,7 @@ def merchant_daily_orders(fact: DataFrame) -> DataFrame:
         count_if((F.col("first") == 1) & F.col("customer_id").isNotNull()).alias("new_customers"),
         F.sum("n_gmv").alias("_n"), F.max("top").alias("max_order_value"))
     day = day.withColumn("avg_order_value", ratio("gmv", "_n", None)).drop("_n")
-    return day.join(daily_median(fact, exact=True, value="subtotal", name="median_order_value"), list(DAY))
+    return day.join(daily_median(fact, exact=True, value="subtotal", name="median_order_value"), list(DAY), "left")
 
 
 def daily_sessions(sessions: DataFrame) -> DataFrame:

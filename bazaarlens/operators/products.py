@@ -70,7 +70,7 @@ def with_rankings(df: DataFrame) -> DataFrame:
     """Dense ranks per merchant and the performance tier, without one task per merchant."""
     ranked = with_dense_ranks(df, ["merchant_id"], {
         "revenue_rank": "total_revenue", "units_rank": "total_units_sold",
-        "conversion_rank": "overall_conversion_rate", "velocity_rank": "avg_daily_units"})
+        "conversion_rank": "overall_conversion_rate", "velocity_rank": "avg_daily_units"}, ["product_id"])
     r = F.col("revenue_rank")
     return ranked.withColumn("performance_tier", F.when(r <= 10, "top_10").when(r <= 50, "top_50")
                              .when(r <= 100, "top_100").otherwise("long_tail"))

@@ -61,35 +61,30 @@ def value_band(v: Column) -> Column:
     return F.when(v > 0, mag).when(v < 0, -mag).when(v == 0, F.lit(0)).cast("int")
 
 
-def with_dense_ranks(df: DataFrame, group: Sequence[str], ranks: dict[str, str]) -> DataFrame:
+def with_dense_ranks(df: DataFrame, group: Sequence[str], ranks: dict[str, str], key: Sequence[str]) -> DataFrame:
     """Descending dense ranks per group, nulls last: ``{rank column: measure column}``.
 
     rank(v) = distinct values in higher bands + position inside v's band. Ties
     collapse before any ordering, so a value shared by millions of rows is one row.
+    All measures are ranked in one long table (row ``key``, measure, value), meet
+    their values in one join and come back to the rows in one more; ``key`` names the
+    columns that tell rows apart.
     """
-    group = list(group)
-    long = df.select(*group, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v"))
-        for i, c in enumerate(ranks.values())
-    ])).alias("_x")).select(*group, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v")).distinct()
+    group, key = list(group), list(dict.fromkeys([*group, *key]))
+    cells = df.select(*key, F.posexplode(F.array(*[F.col(c).cast("double") for c in ranks.values()])).alias("_m", "_v"))
     # Null ranks last: below every finite band.
-    long = long.withColumn("_band", F.coalesce(value_band(F.col("_v")), F.lit(-200000)))
+    cells = cells.withColumn("_band", F.coalesce(value_band(F.col("_v")), F.lit(-200000))).withColumn("_v", F.coalesce("_v", F.lit(0.0)))
     band_key = [*group, "_m", "_band"]
+    values = cells.select(*band_key, "_v").distinct()
     above = Window.partitionBy(*group, "_m").orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = long.groupBy(*band_key).agg(F.count(F.lit(1)).alias("_n")).select(
+    offsets = values.groupBy(*band_key).agg(F.count(F.lit(1)).alias("_n")).select(
         *band_key, F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*band_key).orderBy(F.desc_nulls_last("_v"))
-    placed = long.withColumn("_pos", F.row_number().over(inside)).join(offsets, band_key).select(
-        *group, "_m", "_v", (F.col("_offset") + F.col("_pos")).cast("int").alias("_rank"))
-    out = df
-    for i, (name, measure) in enumerate(ranks.items()):
-        lookup = placed.filter(F.col("_m") == i).select(
-            *[F.col(g).alias(f"_g_{g}") for g in group], F.col("_v").alias("_gv"), F.col("_rank").alias(name))
-        cond = F.col(measure).cast("double").eqNullSafe(F.col("_gv"))
-        for g in group:
-            cond = cond & (F.col(g) == F.col(f"_g_{g}"))
-        out = out.join(lookup, cond, "left").drop("_gv", *[f"_g_{g}" for g in group])
-    return out
+    inside = Window.partitionBy(*band_key).orderBy(F.desc("_v"))
+    placed = values.withColumn("_pos", F.row_number().over(inside)).join(offsets, band_key).select(
+        *band_key, "_v", (F.col("_offset") + F.col("_pos")).cast("int").alias("_rank"))
+    folded = cells.join(placed, [*band_key, "_v"]).groupBy(*key).agg(
+        *[F.max(F.when(F.col("_m") == i, F.col("_rank"))).alias(name) for i, name in enumerate(ranks)])
+    return df.join(folded, key)
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -42,7 +42,7 @@ def test_dense_ranks_with_ties_nulls_and_negatives(spark):
     df = spark.createDataFrame([(i, i % 2 if i % 5 else 0, v, float(i % 4)) for i, v in enumerate(values)], "id int, g int, a double, b double")
     w = Window.partitionBy("g")
     want = df.withColumn("ra", F.dense_rank().over(w.orderBy(F.desc_nulls_last("a")))).withColumn("rb", F.dense_rank().over(w.orderBy(F.desc_nulls_last("b"))))
-    assert rows(X.with_dense_ranks(df, ["g"], {"ra": "a", "rb": "b"}), "id", "ra", "rb") == rows(want, "id", "ra", "rb")
+    assert rows(X.with_dense_ranks(df, ["g"], {"ra": "a", "rb": "b"}, ["id"]), "id", "ra", "rb") == rows(want, "id", "ra", "rb")
 
 
 def test_top_k_limits_before_the_shuffle(spark):
