@@ -253,7 +253,7 @@ def _(spark, root):
     return marts.merchant_performance(CM._mfact(spark, root), sessions)
 
 
-for _w, _step in (("5 minutes", "5 MINUTE"), ("1 hour", "1 HOUR"), ("1 day", "1 DAY")):
+for _w, _step in (("5 minutes", "5 MINUTE"), ("1 hour", "1 HOUR"), ("1 day", "1 DAY"), ("7 days", "7 DAY"), ("30 days", "30 DAY")):
     query(f"st04_tumbling_{_w.replace(' ', '_')}", "merchant_id:i window_start:t events:i revenue:m",
           f"SELECT merchant_id, time_bucket(INTERVAL {_step}, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS events, sum(value) AS revenue FROM ev GROUP BY 1, 2", (Q.EVENTS,))(
         lambda spark, root, w=_w: E.events(spark, root).groupBy("merchant_id", F.window("ts", w)["start"].alias("window_start")).agg(
@@ -283,6 +283,33 @@ def _(spark, root):
     return over_limit(E.events(spark, root), "ts", "1 minute", 1)
 
 
+@query("st09_over_limit_each_second", "merchant_id:i bucket:t events:i",
+       "SELECT merchant_id, date_trunc('second', ts) AS bucket, count(*) AS events FROM ev GROUP BY 1, 2 HAVING count(*) > 0", (Q.EVENTS,))
+def _(spark, root):
+    from ..streaming.reports import over_limit
+    return over_limit(E.events(spark, root), "ts", "1 second", 0)
+
+
+@query("st09_over_tier_limit", "merchant_id:i bucket:t events:i",
+       """SELECT merchant_id, bucket, events FROM (SELECT merchant_id, date_trunc('minute', ts) AS bucket, count(*) AS events FROM ev GROUP BY 1, 2)
+          JOIN (SELECT merchant_id, CASE merchant_tier WHEN 'bronze' THEN 1 WHEN 'silver' THEN 2 ELSE 3 END AS m FROM merchants) USING (merchant_id) WHERE events > m""", (Q.EVENTS, Q.MERCHANTS))
+def _(spark, root):
+    from ..streaming.reports import over_tier_limit
+    tier = F.col("merchant_tier")
+    share = E.merchants(spark, root).select("merchant_id", F.when(tier == "bronze", 1).when(tier == "silver", 2).otherwise(3).alias("rate_multiplier"))
+    return over_tier_limit(E.events(spark, root), share, per_minute=1)
+
+
+@query("st07_late_rows", "merchant_id:i late:i on_time:i",
+       """SELECT merchant_id, count(*) FILTER (ts < cut) AS late, count(*) FILTER (ts >= cut) AS on_time FROM ev,
+          (SELECT max(ts) - INTERVAL 10 DAY AS cut FROM ev) GROUP BY 1""", (Q.EVENTS,))
+def _(spark, root):
+    from ..streaming.ingest import split_late
+    fresh, late = split_late(E.events(spark, root).select("merchant_id", "ts"), allowed_seconds=10 * 86400)
+    both = late.withColumn("late", F.lit(1)).unionByName(fresh.withColumn("late", F.lit(0)))
+    return both.groupBy("merchant_id").agg(F.sum("late").alias("late"), F.sum(1 - F.col("late")).alias("on_time"))
+
+
 @query("st10_retained_events", "event_month:s n:i",
        "SELECT strftime(ts, '%Y-%m') AS event_month, count(*) AS n FROM ev WHERE CAST(ts AS DATE) >= DATE '2024-04-10' - 90 GROUP BY 1", (Q.EVENTS,))
 def _(spark, root):
@@ -365,7 +392,7 @@ def _(spark, root):
     return MX.realtime(E.events(spark, root), "2024-01-15 12:00:00")
 
 
-for _g, _i in (("hour", "1 HOUR"), ("day", "1 DAY"), ("week", "7 DAY")):
+for _g, _i in (("minute", "1 MINUTE"), ("hour", "1 HOUR"), ("day", "1 DAY"), ("week", "7 DAY")):
     query(f"mx11_gmv_timeseries_{_g}", "merchant_id:i bucket:t gmv:m orders:i",
           f"""SELECT merchant_id, bucket, coalesce(gmv, 0) AS gmv, coalesce(orders, 0) AS orders FROM ((SELECT DISTINCT merchant_id FROM ev) CROSS JOIN
               (SELECT unnest(generate_series(date_trunc('{_g}', TIMESTAMP '2024-01-10 06:00:00'), date_trunc('{_g}', TIMESTAMP '2024-01-24 18:00:00'), INTERVAL {_i})) AS bucket))

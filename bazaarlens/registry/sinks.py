@@ -186,6 +186,24 @@ def _(spark, root):
     return _run(SW.tumbling(e, "1 hour"), spark, "st04")
 
 
+@query("st05_streamed_sessions", "merchant_id:i customer_id:i session_start:t event_count:i page_views:i product_views:i cart_adds:i",
+       """SELECT merchant_id, customer_id, session_start, event_count, page_views, product_views, cart_adds FROM sess
+          WHERE session_end + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""", (Q.EVENTS, B.SESSIONS))
+def _(spark, root):
+    e = E.canonical_events(_event_stream(spark, root)).join(E.customer_merchant(spark, root), "customer_id")
+    return _run(SW.sessions(e), spark, "st05")
+
+
+@query("st10_partitioned_retention", "event_month:s n:i",
+       "SELECT strftime(ts, '%Y-%m') AS event_month, count(*) AS n FROM ev WHERE CAST(ts AS DATE) >= DATE '2024-04-10' - 90 GROUP BY 1", (Q.EVENTS,))
+def _(spark, root):
+    from ..streaming.reports import retained
+    wh = Warehouse(spark, scratch(spark, "st10"))
+    kept = retained(E.raw_events(spark, root), "2024-04-10", 90).withColumn("event_month", F.date_format("ts", "yyyy-MM"))
+    wh.write(kept.select("event_id", "ts", "event_month"), "events", "overwrite_partitions", ["event_month"])
+    return wh.read("events").groupBy("event_month").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("st08_streamed_alert_state", "rule_id:s merchant_id:i ts:t change:s",
        """SELECT 'zero_orders' AS rule_id, merchant_id, ts, change FROM (SELECT *, CASE WHEN is_breached AND NOT was THEN 'triggered' WHEN NOT is_breached AND was THEN 'resolved' END AS change FROM (
           SELECT *, coalesce(lag(is_breached) OVER (PARTITION BY merchant_id ORDER BY ts), false) AS was FROM checks)) WHERE change IS NOT NULL""", (Q.EVENTS, B.HOURS))

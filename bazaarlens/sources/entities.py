@@ -154,9 +154,12 @@ def merchant_products(spark: SparkSession, root: str) -> DataFrame:
 
 
 def raw_events(spark: SparkSession, root: str) -> DataFrame:
-    """Events under canonical names, without merchant (no join)."""
-    e, k = table(spark, root, "events"), F.col("event_id")
-    kind = F.col("event_type")
+    return canonical_events(table(spark, root, "events"))
+
+
+def canonical_events(e: DataFrame) -> DataFrame:
+    """(Streamed) events under canonical names, without merchant (no join)."""
+    k, kind = F.col("event_id"), F.col("event_type")
     return e.select(
         "event_id", F.col("user_id").alias("customer_id"),
         F.when(kind == "view", "product_view").when(kind == "click", "add_to_cart").when(kind == "purchase", "purchase")
