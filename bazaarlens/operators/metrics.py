@@ -181,8 +181,14 @@ def rule_metrics(events: DataFrame, merchants: DataFrame, end: str) -> DataFrame
     return out
 
 
-def dashboard(events: DataFrame, end: str, window: str, widgets: Sequence[str] = ("summary", "funnel", "traffic", "series")) -> DataFrame:
+# The widgets of a dashboard unless others are asked for.
+WIDGETS = ("summary", "realtime", "series", "funnel", "top_products", "traffic")
+
+
+def dashboard(events: DataFrame, end: str, window: str, widgets: Sequence[str] = WIDGETS, product_path: str = "$.product_id") -> DataFrame:
     """One row per merchant with a struct (or array) per widget."""
+    if unknown := set(widgets) - set(WIDGETS):
+        raise ValueError(f"unknown widgets {sorted(unknown)}")
     now = in_window(events, end, window)
     parts = {}
     if "summary" in widgets:
@@ -202,6 +208,13 @@ def dashboard(events: DataFrame, end: str, window: str, widgets: Sequence[str] =
         parts["series"] = now.filter(F.col("event_type") == "purchase").groupBy("merchant_id", bucket.alias("bucket")).agg(
             F.sum("revenue").alias("gmv")).groupBy("merchant_id").agg(
             F.array_sort(F.collect_list(F.struct("bucket", "gmv"))).alias("series"))
+    if "realtime" in widgets:
+        r = realtime(events, end)
+        parts["realtime"] = r.select("merchant_id", F.struct(*[c for c in r.columns if c != "merchant_id"]).alias("realtime"))
+    if "top_products" in widgets:
+        sold = now.filter(F.col("event_type") == "purchase").withColumn("product_id", F.get_json_object("properties", product_path)).filter("product_id is not null")
+        best = top_k(sold.groupBy("merchant_id", "product_id").agg(F.sum("revenue").alias("revenue")), ["merchant_id"], [F.desc("revenue"), F.asc("product_id")], 10)
+        parts["top_products"] = best.groupBy("merchant_id").agg(F.array_sort(F.collect_list(F.struct("rank", "product_id", "revenue"))).alias("top_products"))
     out = None
     for part in parts.values():
         out = part if out is None else out.join(part, "merchant_id", "left")

@@ -12,9 +12,9 @@ from ..operators import metrics as MX
 
 
 def snapshot(events: DataFrame, end: str, window: str = "daily",
-             widgets: Sequence[str] = ("summary", "funnel", "traffic", "series")) -> DataFrame:
+             widgets: Sequence[str] = MX.WIDGETS, product_path: str = "$.product_id") -> DataFrame:
     """All merchants' dashboards in one job."""
-    return MX.dashboard(events, end, window, widgets)
+    return MX.dashboard(events, end, window, widgets, product_path)
 
 
 def check_alerts(series: DataFrame, rules: DataFrame) -> DataFrame:

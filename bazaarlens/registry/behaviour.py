@@ -457,6 +457,20 @@ def _(spark, root):
                     F.aggregate("series", F.lit(0).cast("decimal(22,2)"), lambda a, x: (a + x["gmv"]).cast("decimal(22,2)")).alias("series_gmv"))
 
 
+@query("mx15_realtime_and_top_products", "merchant_id:i visitors_now:i orders:i top_product:s top_revenue:m products:i",
+       f"""SELECT m.merchant_id, visitors_now, r.orders, top_product, top_revenue, products FROM met m
+          LEFT JOIN (SELECT merchant_id, count(DISTINCT order_id) FILTER (event_type = 'purchase') AS orders, count(DISTINCT session_id) FILTER (received_at >= TIMESTAMP '{END}' - INTERVAL 1 MINUTE) AS visitors_now
+            FROM ev WHERE received_at BETWEEN TIMESTAMP '{END}' - INTERVAL 5 MINUTE AND TIMESTAMP '{END}' GROUP BY 1) r USING (merchant_id)
+          LEFT JOIN (SELECT merchant_id, max(p) FILTER (rn = 1) AS top_product, max(revenue) FILTER (rn = 1) AS top_revenue, count(*) AS products FROM (
+            SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY revenue DESC, p) AS rn FROM (
+              SELECT merchant_id, json_extract_string(properties, '$.k') AS p, sum(revenue) AS revenue FROM win WHERE event_type = 'purchase' GROUP BY 1, 2) WHERE p IS NOT NULL) WHERE rn <= 10 GROUP BY 1) t USING (merchant_id)""", MET_CTES)
+def _(spark, root):
+    d = dashboards.snapshot(E.events(spark, root), END, "weekly", product_path="$.k")
+    top = F.element_at("top_products", 1)
+    return d.select("merchant_id", F.col("realtime.visitors_now").alias("visitors_now"), F.col("realtime.orders").alias("orders"), top["product_id"].alias("top_product"),
+                    top["revenue"].alias("top_revenue"), F.nullif(F.size("top_products"), F.lit(-1)).alias("products"))
+
+
 @query("mx16_metrics_long", "merchant_id:i metric_name:s value:r2 metric_window:s timestamp:t",
        f"""SELECT merchant_id, name AS metric_name, value, 'weekly' AS metric_window, TIMESTAMP '{END}' AS timestamp FROM (
            SELECT merchant_id, CAST(gmv AS DOUBLE) AS gmv, CAST(orders AS DOUBLE) AS orders, CAST(aov AS DOUBLE) AS aov, CAST(conversion_rate AS DOUBLE) AS conversion_rate,
