@@ -7,6 +7,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 12, 3
 #: Sketched agreement below which a candidate is not compared: 2.8 standard errors under 0.8 of 36 samples.
 LEAST_AGREEMENT = 22
-#: In a bucket each text meets this many before it in a random order of the bucket's own: all, up to one more.
-BEFORE = 15
+#: Buckets of up to SMALL texts are paired in full; in larger ones a text first meets the FEW before it in
+#: a random order of the bucket's own, and then the texts of other classes in its part of about PART texts.
+SMALL, FEW, PART = 16, 3, 300
 IDF_SHARE = 0.25
 DF_BITS, DF_SLICE = 20, 1 << 16
 _ID_BITS = np.uint64(52)
@@ -175,25 +177,58 @@ def sketches(rows: DataFrame, weight: "np.ndarray") -> DataFrame:
     return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, bands array<bigint>, marks binary")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Pairs (a < b) that share a bucket: all of one with up to BEFORE + 1 texts, a linear number in larger ones.
+def buckets(reps: DataFrame) -> DataFrame:
+    """Members of every bucket with at least two texts: key, part, n, id, place and the ids before it.
 
     Buckets are counted first (partial sums) and single ones dropped. A bucket of over
-    a thousand is dealt by hash into parts of about that size, whose first members
-    are paired across parts. Order inside a bucket is a hash of id and bucket, so a text
-    of a large group meets other members in each of its buckets.
+    PART texts is dealt by hash into parts of about that size. Order inside a bucket is
+    a hash of id and bucket, so a text of a large group meets other members in each
+    of its buckets.
     """
     keyed = reps.select("id", F.explode("bands").alias("key"))
     many = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    placed = keyed.join(many, "key").withColumn("h", F.xxhash64("id", "key")).withColumn("part", F.pmod("h", F.ceil(F.col("n") / 1000)))
+    placed = keyed.join(many, "key").withColumn("h", F.xxhash64("id", "key")).withColumn("part", F.pmod("h", F.ceil(F.col("n") / PART)))
     inside = Window.partitionBy("key", "part").orderBy("h", "id")
-    near = placed.withColumn("before", F.collect_list("id").over(inside.rowsBetween(-BEFORE, -1))).withColumn("place", F.row_number().over(inside))
-    near = stage(near.select("key", "part", "n", "id", "place", "before"), "near-buckets")
-    heads = near.filter("place = 1 and n > 1000").withColumn("before", F.collect_list("id").over(Window.partitionBy("key").orderBy("part").rowsBetween(-1, -1)))
+    before = lambda k: F.collect_list("id").over(inside.rowsBetween(-k, -1))
+    near = placed.withColumn("before", F.when(F.col("n") > SMALL, before(FEW)).otherwise(before(SMALL - 1)))
+    return near.withColumn("place", F.row_number().over(inside)).select("key", "part", "n", "id", "place", "before")
+
+
+def candidates(near: DataFrame) -> DataFrame:
+    """First pairs (a < b): a number linear in the bucket's size, with parts of a bucket chained by their first members."""
+    heads = near.filter(f"place = 1 and n > {PART}").withColumn("before", F.collect_list("id").over(Window.partitionBy("key").orderBy("part").rowsBetween(-1, -1)))
     both = near.select("id", F.explode("before").alias("o")).unionByName(heads.select("id", F.explode("before").alias("o")))
     return both.filter("id <> o").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 
+def across_classes(near: DataFrame, root: DataFrame | None, marks: DataFrame) -> DataFrame:
+    """Further pairs of larger buckets: in each part that still holds several classes, those of texts outside its largest class.
+
+    A part is bounded, so its samples are compared as one table; parts that
+    links have already joined into one class are not looked at.
+    """
+    kind = near.schema["id"].dataType.simpleString()
+    near = near.filter(f"n > {SMALL}").select("key", "part", "id")
+    near = near.withColumn("root", F.col("id")) if root is None else near.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_ = near.groupBy("key", "part").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "part")
+
+    def pairs(frame):
+        n, size = len(frame), BANDS * BAND_ROWS
+        table = np.frombuffer(b"".join(frame["m"]), dtype=np.uint8).reshape(n, size)
+        names, roots = frame["id"].to_numpy(), frame["root"].to_numpy()
+        classes, number, members = np.unique(roots, return_inverse=True, return_counts=True)
+        outside = number != np.argmax(members)
+        a, b = [], []
+        for i in np.flatnonzero(outside):
+            same = (table == table[i]).sum(axis=1)
+            j = np.flatnonzero((same >= LEAST_AGREEMENT) & (number != number[i]) & (~outside | (np.arange(n) > i)))
+            a.append(np.minimum(names[j], names[i]))
+            b.append(np.maximum(names[j], names[i]))
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return near.join(open_, ["key", "part"]).join(marks, "id").groupBy("key", "part").applyInPandas(pairs, f"a {kind}, b {kind}").distinct()
+
+
 def _agreement(marks_a: pa.Array, marks_b: pa.Array) -> np.ndarray:
     size = BANDS * BAND_ROWS
     view = lambda m: np.frombuffer(b"".join(m.to_pylist()), dtype=np.uint8).reshape(-1, size)
@@ -247,7 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weight = idf_table(*document_frequencies(rows))
     sketch = stage(sketches(rows, weight), "near-sketches")
     reps = stage(sketch.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands"), F.min("marks").alias("marks")), "near-texts")
-    marks = reps.groupBy("id").agg(F.min("marks").alias("m"))
+    marks = stage(reps.groupBy("id").agg(F.min("marks").alias("m")), "near-marks")
     kind = reps.schema["id"].dataType.simpleString()
 
     def agreeing(batches):
@@ -257,27 +292,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ok = pa.array(same >= LEAST_AGREEMENT)
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok), pa.array(same.astype(np.int32)).filter(ok)], names=["a", "b", "same"])
 
-    pairs = (candidates(reps).join(marks.select(F.col("id").alias("a"), F.col("m").alias("ma")), "a").join(marks.select(F.col("id").alias("b"), F.col("m").alias("mb")), "b")
+    near = stage(buckets(reps), "near-buckets")
+    pairs = (candidates(near).join(marks.select(F.col("id").alias("a"), F.col("m").alias("ma")), "a").join(marks.select(F.col("id").alias("b"), F.col("m").alias("mb")), "b")
              .select("a", "b", "ma", "mb").mapInArrow(agreeing, f"a {kind}, b {kind}, same int"))
     pairs = stage(pairs, "near-pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    members = stage(rows.withColumnRenamed("doc_id", "id").join(ids, "id"), "near-members").dropDuplicates(["id"])
-    links, left, root = None, pairs, None
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(near.filter(f"n > {SMALL}").select("id")).distinct()
+    # One shuffle of the texts at every size, so that a small run tells what a large one does.
+    members = stage(rows.withColumnRenamed("doc_id", "id").join(ids.hint("merge"), "id"), "near-members").dropDuplicates(["id"])
+    left, root = pairs, None
     for turn in range(3):
-        if left.isEmpty():
-            break
-        if turn < 2:
-            likeliest = Window.partitionBy("b").orderBy(F.col("same").desc(), F.xxhash64("a", F.lit(turn)))
-            tested = stage(left.withColumn("k", F.row_number().over(likeliest)).filter("k = 1").select("a", "b"), "near-tested")
-        else:
-            tested = left.select("a", "b")
-        found = stage(verify(tested, members, weight, similarity), "near-links")
-        links = found if links is None else links.unionByName(found)
-        root = components(links)
+        if turn == 2:  # what is left, and pairs of larger buckets whose classes are still apart
+            tested = stage(left.select("a", "b").unionByName(across_classes(near, root, marks)).distinct(), "near-tested")
+        else:  # each text's likeliest partner; the two likeliest pairs that could join two classes
+            likeliest = Window.partitionBy(*(["b"] if turn == 0 else ["root_low", "root_high"])).orderBy(F.col("same").desc(), F.xxhash64("a", "b"))
+            tested = stage(left.withColumn("k", F.row_number().over(likeliest)).filter(F.col("k") <= 1 + turn).select("a", "b"), "near-tested")
+        if not tested.isEmpty():
+            found = stage(verify(tested, members, weight, similarity), "near-links")
+            root = components(found if root is None else found.unionByName(root.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         if turn < 2:
             of = lambda x: root.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-            left = (left.join(tested, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-                    .filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "same"))
+            left = left.select("a", "b", "same").join(tested, ["a", "b"], "left_anti")
+            left = left.join(of("a"), "a", "left").join(of("b"), "b", "left") if root is not None else left.withColumns({"root_a": F.col("a"), "root_b": F.col("b")})
+            left = (left.withColumns({"root_a": F.coalesce("root_a", "a"), "root_b": F.coalesce("root_b", "b")}).filter("root_a <> root_b")
+                    .select("a", "b", "same", F.least("root_a", "root_b").alias("root_low"), F.greatest("root_a", "root_b").alias("root_high")))
             left = stage(left, "near-left")
     stands = sketch.join(reps.select("digest", "id"), "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("id"))
     if root is None:

@@ -66,7 +66,11 @@ def test_large_group_hot_passage_and_odd_rows(spark):
     got = [(r["doc_id"], r["class_id"]) for r in N.near_duplicates(df).collect()]
     assert len(got) == len(rows)
     by = dict(got)
-    assert {by[i] for i in range(300)} == {0}
+    group = {i: t for i, t in rows[:300]}
+    strict, loose = brute(group, N.SIMILARITY + 0.01), brute(group, N.SIMILARITY - 0.01)
+    assert len(set(strict.values())) < 30
+    assert all(by[i] == by[j] for i, j in strict.items())
+    assert all(loose[i] == loose[by[i]] for i in group)
     assert all(by[1000 + i] == 1000 + i for i in range(200))
     assert [by[i] for i in (2000, 2001, 2002, 2003, 2004, None, 2005, 2006)] == [2000, 2001, 2002, 2003, 2003, None, 2005, 2006]
     assert N.near_duplicates(df.limit(0)).count() == 0
