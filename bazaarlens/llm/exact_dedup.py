@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from .shared import stage, texts
 
 
-def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, prefix: int = 32) -> DataFrame:
     """Groups of equal texts (A-Z lower-cased), with the row of the largest id kept.
 
     Returns, per input row, doc_id, keep_id, group_size, kept, text_sha256.
 
     Normalised bytes are range-partitioned by sampled splitters and sorted
     externally, so equal texts lie side by side and neighbours are compared in full.
+    Splitters are sampled from the first ``prefix`` characters and a hash of the whole
+    text, so that a sample of long texts does not pass through the driver.
     The sort key ends in a salt taken from the id: a text that owns a third of all
     rows is cut into ``salts`` runs that splitters can part; what is left of a run
     (digest, largest id, count) meets the other runs of its text by digest.
@@ -28,9 +30,10 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = texts(docs, id_col, text_col)
     rows = rows.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
                        F.translate("text", ascii_uppercase, ascii_lowercase).alias("norm"))
+    rows = rows.withColumn("head", F.substring("norm", 1, prefix)).withColumn("hash", F.xxhash64("norm"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    run = Window.partitionBy("norm", "salt")
-    placed = (rows.repartitionByRange(parts, "norm", "salt")
+    run = Window.partitionBy("head", "hash", "norm", "salt")
+    placed = (rows.repartitionByRange(parts, "head", "hash", "salt")
               .withColumn("place", F.row_number().over(run.orderBy(F.col("doc_id").desc_nulls_last())))
               .withColumn("run_size", F.count("*").over(run))
               .select("doc_id", "place", "run_size", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")))
