@@ -97,11 +97,10 @@ def _slots(context: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _expand(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbol number, place in the path table) of each bit."""
+    """Bits per symbol, and the place of each bit in the path table."""
     size = SIZE[symbols]
-    owner = np.repeat(np.arange(len(symbols)), size)
     upto = np.cumsum(size)
-    return owner, np.arange(len(owner)) + (FIRST[symbols] - upto + size)[owner]
+    return size, np.arange(upto[-1] if len(upto) else 0) + np.repeat(FIRST[symbols] - upto + size, size)
 
 
 class BitCounts:
@@ -114,9 +113,9 @@ class BitCounts:
         """Learn the bytes that ``use`` marks; equal (context, byte) pairs are counted first."""
         for k, c in enumerate(context):
             pair, times = np.unique((c << np.uint32(8) | low)[use], return_counts=True)
-            owner, step = _expand((pair & np.uint32(255)).astype(np.int64))
-            slot = _slots((pair >> np.uint32(8))[owner], _STEP_KEY[step])
-            self.table[k] += np.bincount(slot * 2 + PATH_BITS[step], weights=times[owner], minlength=2 << SLOT_BITS).astype(np.int32)
+            size, step = _expand((pair & np.uint32(255)).astype(np.int64))
+            slot = _slots(np.repeat(pair >> np.uint32(8), size), _STEP_KEY.take(step))
+            self.table[k] += np.bincount(slot * 2 + PATH_BITS.take(step), weights=np.repeat(times, size), minlength=2 << SLOT_BITS).astype(np.int32)
 
     def slices(self) -> list[tuple[int, int, bytes]]:
         """(predictor, slice, packed counts), of slices with counts."""
@@ -157,7 +156,6 @@ class Mixer:
 
     def __init__(self, tables: np.ndarray):
         self.tables = tables
-        self.values = (np.arange(256, dtype=np.uint8).view(np.int8) / STRETCH).astype(np.float32)
 
     def bits(self, low: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n, texts_ = len(low), len(ends) - 1
@@ -173,37 +171,37 @@ class Mixer:
         order = np.argsort(block.astype(np.uint8), kind="stable")
         cuts = np.searchsorted(block[order], np.arange(self.SEGMENT // self.BLOCK + 1))
         lanes, inputs = int(lane[-1]) + 1, len(PREDICTORS)
-        weights = [np.full(lanes * self.GATES, 0.4, dtype=np.float32) for _ in range(inputs)]
+        weights = [np.full(lanes * self.GATES, 0.4 / STRETCH, dtype=np.float32) for _ in range(inputs)]
         scale, shift = np.ones(lanes, dtype=np.float32), np.zeros(lanes, dtype=np.float32)
         cost = np.zeros(lanes)
         for a, b in zip(cuts, cuts[1:]):
             if a == b:
                 break
             at = order[a:b]
-            owner, step = _expand(low.take(at).astype(np.int64))
-            at = at.take(owner)
+            symbol, own = low.take(at).astype(np.int64), lane.take(at)
+            begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            size, step = _expand(symbol)
+            who, many = own[begin], np.add.reduceat(size, begin)
+            here = np.cumsum(many) - many
             key = _STEP_KEY.take(step)
-            x = [self.values.take(self.tables[k].take(_slots(context[k].take(at), key)).view(np.uint8)) for k in range(inputs)]
-            lane_bit = lane.take(at)
-            gate = lane_bit * self.GATES + _GATE.take(step)
+            x = [self.tables[k].take(_slots(np.repeat(context[k].take(at), size), key)).astype(np.float32) for k in range(inputs)]
+            gate = np.repeat(who * self.GATES, many) + _GATE.take(step)
             mixed = weights[0].take(gate) * x[0]
             for k in range(1, inputs):
                 mixed += weights[k].take(gate) * x[k]
             away = _AWAY.take(step)
-            z = np.clip(scale.take(lane_bit) * mixed + shift.take(lane_bit), -12, 12) * away
+            z = np.clip(np.repeat(scale[who], many) * mixed + np.repeat(shift[who], many), -12, 12) * away
             small = np.exp(-np.abs(z))
             loss = np.maximum(z, 0) + np.log(1 + small)
             error = -away * np.where(z >= 0, np.float32(1), small) / (1 + small)
-            here = np.append(np.flatnonzero(np.append(True, lane_bit[1:] != lane_bit[:-1])), len(lane_bit))
-            who, many = lane_bit[here[:-1]], np.diff(here)
-            cost[who] += np.add.reduceat(loss.astype(np.float64), here[:-1])
+            cost[who] += np.add.reduceat(loss.astype(np.float64), here)
             rate = np.zeros(lanes)
-            rate[who] = self.RATE / many
+            rate[who] = self.RATE / many / STRETCH**2
             rate = np.repeat(rate, self.GATES)
             for k in range(inputs):
-                weights[k] += (rate * np.bincount(gate, weights=error * x[k], minlength=len(gate) and len(rate))).astype(np.float32)
-            scale[who] += self.LAST_RATE / 4 * np.add.reduceat(error * mixed, here[:-1]) / many
-            shift[who] += self.LAST_RATE * np.add.reduceat(error, here[:-1]) / many
+                weights[k] += (rate * np.bincount(gate, weights=error * x[k], minlength=len(rate))).astype(np.float32)
+            scale[who] += self.LAST_RATE / 4 * np.add.reduceat(error * mixed, here) / many
+            shift[who] += self.LAST_RATE * np.add.reduceat(error, here) / many
         return np.bincount(text_of[new_lane], weights=cost, minlength=texts_) / math.log(2)
 
 
