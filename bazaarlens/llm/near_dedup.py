@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +20,11 @@ BANDS, BAND_ROWS = 12, 3
 #: Sketched agreement below which a candidate is not compared: 2.8 standard errors under 0.8 of 36 samples.
 LEAST_AGREEMENT = 22
 #: Buckets of up to SMALL texts are paired in full; in larger ones a text first meets the FEW before it in
-#: a random order of the bucket's own, and then the texts of other classes in its part of about PART texts.
+#: a random order of its part of about PART texts, and then the texts of other classes in all of the bucket.
 SMALL, FEW, PART = 16, 3, 300
+#: Further samples of texts in larger buckets, the agreement of all samples below which these are not compared
+#: (again 2.8 standard errors under 0.8), and texts to a block when all pairs of a bucket are looked at.
+FURTHER, LEAST_OF_ALL, BLOCK = 128, 116, 2048
 IDF_SHARE = 0.25
 DF_BITS, DF_SLICE = 20, 1 << 16
 _ID_BITS = np.uint64(52)
@@ -125,22 +129,23 @@ _GAMMA = _gamma2_quantiles()
 _R, _INV_R, _LN_C = _GAMMA.astype(np.float32), (1 / _GAMMA).astype(np.float32), np.log(_GAMMA).astype(np.float32)
 _BETA = _grid.astype(np.float32)
 _MULT = np.random.default_rng(11).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULT_FURTHER = np.random.default_rng(12).integers(1, 2**63, FURTHER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def samples(owner: np.ndarray, ids: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+def samples(owner: np.ndarray, ids: np.ndarray, weights: np.ndarray, n: int, mult: np.ndarray = _MULT) -> np.ndarray:
     """One 32-bit value per text and sample; two texts share each with the chance of their weighted Jaccard similarity.
 
     Per shingle and sample: r and c from the gamma(2, 1) distribution, b uniform, all
     read from one hash; t = floor(ln w / r + b), ln y = r (t - b), ln a = ln c - ln y - r.
     The shingle and t of the least a are the sample. Texts without shingles get zeros.
     """
-    out = np.zeros((n, len(_MULT)), dtype=np.uint32)
+    out = np.zeros((n, len(mult)), dtype=np.uint32)
     if not len(owner):
         return out
     first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
     who, lnw = owner[first], np.log(weights).astype(np.float32)
     low = np.uint64(0xFFFF)
-    for k, m in enumerate(_MULT):
+    for k, m in enumerate(mult):
         h = ids * m
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -201,32 +206,74 @@ def candidates(near: DataFrame) -> DataFrame:
     return both.filter("id <> o").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 
-def across_classes(near: DataFrame, root: DataFrame | None, marks: DataFrame) -> DataFrame:
-    """Further pairs of larger buckets: in each part that still holds several classes, those of texts outside its largest class.
+def further_marks(members: DataFrame, weight: np.ndarray) -> DataFrame:
+    """id and one byte per further sample of each text."""
+    shared = members.sparkSession.sparkContext.broadcast(weight)
 
-    A part is bounded, so its samples are compared as one table; parts that
-    links have already joined into one class are not looked at.
+    def work(batches):
+        cell_weight = shared.value
+        for part, data, ends in _chunks(batches):
+            owner, ids, times, _ = shingles(data, ends)
+            got = samples(owner, ids, times * cell_weight[_df_cell(ids)], part.num_rows, _MULT_FURTHER)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in (got & 255).astype(np.uint8)], type=pa.binary())], names=["id", "more"])
+
+    return members.select("id", "text").mapInArrow(work, f"id {members.schema['id'].dataType.simpleString()}, more binary")
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of two blocks (texts outside the bucket's largest class, any texts) of different classes that agree in most samples."""
+    first = BANDS * BAND_ROWS
+    for batch in batches:
+        col = lambda name, r: batch.column(name)[r].values
+        for r in range(batch.num_rows):
+            ids = pa.concat_arrays([col("outer_id", r), col("id", r)])
+            class_ = pa.concat_arrays([col("outer_root", r), col("root", r)]).dictionary_encode().indices.to_numpy()
+            n = len(col("outer_id", r))
+            outer, table = (np.frombuffer(b"".join(col(k, r).to_pylist()), dtype=np.uint8).reshape(-1, first + FURTHER) for k in ("outer_marks", "marks"))
+            place = np.empty(len(ids), dtype=np.int64)
+            place[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
+            inner = ~col("outside", r).to_numpy(zero_copy_only=False)
+            head = np.ascontiguousarray(table[:, :first].T)
+            i_, j_, same_ = [], [], []
+            for i in range(n):
+                agree = (head == outer[i, :first, None]).view(np.uint8).sum(axis=0, dtype=np.uint8)
+                j = np.flatnonzero((agree >= LEAST_AGREEMENT) & (class_[n:] != class_[i]) & (inner | (place[n:] > place[i])))
+                same = agree[j] + (table[j, first:] == outer[i, first:]).sum(axis=1)
+                ok = same >= LEAST_OF_ALL
+                i_.append(np.full(ok.sum(), i))
+                j_.append(n + j[ok])
+                same_.append(same[ok])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(i_))), ids.take(pa.array(np.concatenate(j_))), pa.array(np.concatenate(same_).astype(np.int32))], names=["a", "b", "same"])
+
+
+def across_classes(near: DataFrame, root: DataFrame | None, marks: DataFrame, members: DataFrame, weight: np.ndarray) -> DataFrame:
+    """Further pairs (a, b, same) of larger buckets: in each bucket that still holds several classes, those of texts outside its largest class.
+
+    Texts of a bucket are dealt by hash into blocks of about BLOCK, and every block of
+    texts outside the largest class meets every block of the bucket in a task of
+    its own, whatever the bucket's size. More samples than the bands need keep texts
+    that are alike only by what all of the bucket shares from being compared in
+    full. Buckets that links have already joined into one class are not looked at.
     """
     kind = near.schema["id"].dataType.simpleString()
-    near = near.filter(f"n > {SMALL}").select("key", "part", "id")
+    near = near.filter(f"n > {SMALL}").select("key", "id")
     near = near.withColumn("root", F.col("id")) if root is None else near.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_ = near.groupBy("key", "part").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "part")
+    classes = near.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", "n").alias("top"))
+    many = lambda n: F.ceil(n / BLOCK).cast("int")
+    open_ = classes.filter("n > most").select("key", "top", many(F.col("n")).alias("blocks"), many(F.col("n") - F.col("most")).alias("outer_blocks"))
+    placed = stage(near.join(open_, "key").withColumn("outside", F.col("root") != F.col("top")).drop("top"), "near-open")
+    more = further_marks(members.join(placed.select("id").distinct(), "id", "left_semi"), weight)
+    placed = placed.join(stage(marks.join(more, "id").select("id", F.concat("m", "more").alias("marks")), "near-further"), "id")
 
-    def pairs(frame):
-        n, size = len(frame), BANDS * BAND_ROWS
-        table = np.frombuffer(b"".join(frame["m"]), dtype=np.uint8).reshape(n, size)
-        names, roots = frame["id"].to_numpy(), frame["root"].to_numpy()
-        classes, number, members = np.unique(roots, return_inverse=True, return_counts=True)
-        outside = number != np.argmax(members)
-        a, b = [], []
-        for i in np.flatnonzero(outside):
-            same = (table == table[i]).sum(axis=1)
-            j = np.flatnonzero((same >= LEAST_AGREEMENT) & (number != number[i]) & (~outside | (np.arange(n) > i)))
-            a.append(np.minimum(names[j], names[i]))
-            b.append(np.maximum(names[j], names[i]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+    def packed(rows, block, blocks, others, prefix, names):
+        rows = rows.withColumn(block, F.pmod(F.xxhash64("id", "key"), F.col(blocks)).cast("int"))
+        rows = rows.groupBy("key", block, others).agg(F.collect_list(F.struct(*names)).alias("t"))
+        return rows.select("key", block, F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias("o" if block == "m" else "m"), *[F.col(f"t.{k}").alias(prefix + k) for k in names])
 
-    return near.join(open_, ["key", "part"]).join(marks, "id").groupBy("key", "part").applyInPandas(pairs, f"a {kind}, b {kind}").distinct()
+    outer = packed(placed.filter("outside"), "o", "outer_blocks", "blocks", "outer_", ["id", "root", "marks"])
+    every = packed(placed, "m", "blocks", "outer_blocks", "", ["id", "root", "marks", "outside"])
+    pairs = outer.join(every.hint("merge"), ["key", "o", "m"]).drop("key", "o", "m").mapInArrow(_apart, f"a {kind}, b {kind}, same int")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same").distinct()
 
 
 def _agreement(marks_a: pa.Array, marks_b: pa.Array) -> np.ndarray:
@@ -264,6 +311,13 @@ def verify(pairs: DataFrame, members: DataFrame, weight: np.ndarray, similarity:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(work, f"a {kind}, b {kind}")
 
 
+def _still_apart(pairs: DataFrame, of) -> DataFrame:
+    """Pairs (a, b, same) of different classes, with the smaller and larger class; ``of`` gives the classes by node."""
+    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left") if of else pairs.withColumns({"root_a": F.col("a"), "root_b": F.col("b")})
+    return (pairs.withColumns({"root_a": F.coalesce("root_a", "a"), "root_b": F.coalesce("root_b", "b")}).filter("root_a <> root_b")
+            .select("a", "b", "same", F.least("root_a", "root_b").alias("root_low"), F.greatest("root_a", "root_b").alias("root_high")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Class of near-duplicate texts of every row: doc_id, class_id (the smallest id of the class).
 
@@ -300,22 +354,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One shuffle of the texts at every size, so that a small run tells what a large one does.
     members = stage(rows.withColumnRenamed("doc_id", "id").join(ids.hint("merge"), "id"), "near-members").dropDuplicates(["id"])
     left, root = pairs, None
-    for turn in range(3):
+    of = lambda x: root.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    for turn in range(4):
         if turn == 2:  # what is left, and pairs of larger buckets whose classes are still apart
-            tested = stage(left.select("a", "b").unionByName(across_classes(near, root, marks)).distinct(), "near-tested")
-        else:  # each text's likeliest partner; the two likeliest pairs that could join two classes
-            likeliest = Window.partitionBy(*(["b"] if turn == 0 else ["root_low", "root_high"])).orderBy(F.col("same").desc(), F.xxhash64("a", "b"))
-            tested = stage(left.withColumn("k", F.row_number().over(likeliest)).filter(F.col("k") <= 1 + turn).select("a", "b"), "near-tested")
+            others = stage(across_classes(near, root, marks, members, weight), "near-others")
+            untried, left = left.select("a", "b"), stage(_still_apart(others, of if root is not None else None), "near-left")
+        # each text's likeliest partner; the likeliest pairs that could join two classes; all others
+        likeliest = Window.partitionBy(*(["b"] if turn == 0 else ["root_low", "root_high"])).orderBy(F.col("same").desc(), F.xxhash64("a", "b"))
+        tested = left if turn == 3 else left.withColumn("k", F.row_number().over(likeliest)).filter(F.col("k") <= (1, 2, 8)[turn])
+        tested = tested.select("a", "b")
+        tested = stage(tested.unionByName(untried).distinct() if turn == 2 else tested, "near-tested")
         if not tested.isEmpty():
             found = stage(verify(tested, members, weight, similarity), "near-links")
             root = components(found if root is None else found.unionByName(root.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        if turn < 2:
-            of = lambda x: root.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-            left = left.select("a", "b", "same").join(tested, ["a", "b"], "left_anti")
-            left = left.join(of("a"), "a", "left").join(of("b"), "b", "left") if root is not None else left.withColumns({"root_a": F.col("a"), "root_b": F.col("b")})
-            left = (left.withColumns({"root_a": F.coalesce("root_a", "a"), "root_b": F.coalesce("root_b", "b")}).filter("root_a <> root_b")
-                    .select("a", "b", "same", F.least("root_a", "root_b").alias("root_low"), F.greatest("root_a", "root_b").alias("root_high")))
-            left = stage(left, "near-left")
+        if turn < 3:
+            left = stage(_still_apart(left.select("a", "b", "same").join(tested, ["a", "b"], "left_anti"), of if root is not None else None), "near-left")
     stands = sketch.join(reps.select("digest", "id"), "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("id"))
     if root is None:
         return stands.select("doc_id", F.col("id").alias("class_id"))

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from bazaarlens.llm import near_dedup as N
 from bazaarlens.llm.shared import components
@@ -98,3 +99,16 @@ def test_components_of_chains_and_hubs(spark):
     assert all(got[i] == 100 for i in range(101, 181))
     assert all(got[i] == 0 for i in range(1, 50))
     assert all(got[i] == 200 for i in (201, 202, 203))
+
+
+def test_pairs_that_share_only_one_bucket_of_thousands(spark, monkeypatch):
+    rnd = random.Random(5)
+    new = lambda n: [f"w{rnd.randint(0, 10**5)}" for _ in range(n)]
+    passage, own = new(60), [new(40) for _ in range(2500)]
+    rows = [(i, " ".join(passage + w)) for i, w in enumerate(own)]
+    rows += [(5000 + i, " ".join(passage + own[i][:-3] + new(3))) for i in range(60)]
+    plain = N.sketches
+    monkeypatch.setattr(N, "sketches", lambda r, w: plain(r, w).withColumn("bands", F.when(F.col("bands").isNotNull(), F.array(F.lit(7).cast("bigint")))))
+    got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert sum(got[5000 + i] == i for i in range(60)) >= 59
+    assert all(got[i] == i for i in range(2500))
