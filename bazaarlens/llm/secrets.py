@@ -15,11 +15,15 @@ HEX = r"[0-9a-f]{32,}"
 MIN_ASSIGNED = 8
 KINDS = ("assign", "access", "hex", "random")
 
-#: A string that could be a coded random value: a run of coding symbols with a digit.
-CODED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: A string that could be a coded random value: a run of coding symbols with a digit, of 20 symbols with the
+#: padding. A sign ``=`` is padding only where no symbol follows, so the value of name=value is a run of its own.
+CODED = (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?:[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?"
+         r"|(?=[A-Za-z0-9+/_-]{16,19}+=++(?![A-Za-z0-9+/_-]))(?=[A-Za-z0-9+/_=-]{20})[A-Za-z0-9+/_-]{16,19}=++)")
 # fixed values: alphabets by encoding
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
              "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+# the same symbols in upper case, or in groups parted by dashes or underscores (not symbols then)
+ALPHABETS |= {"upper36": ALPHABETS["base36"], "parted_hex": ALPHABETS["hex"], "parted36": ALPHABETS["base36"], "parted_upper36": ALPHABETS["base36"]}
 GRID = (0.001, *(k / 50 for k in range(1, 25)))
 UPPER_PART = 0.5
 
@@ -70,9 +74,13 @@ def randomness(coded: DataFrame) -> DataFrame:
     """
     c = F.col("coded")
     digit, letters = c.rlike("[0-9]"), c.rlike("[A-Za-z]")
-    encoding = (F.when(c.rlike("^([0-9a-f]+|[0-9A-F]+)$") & digit & letters, "hex").when(c.rlike("^[A-Z2-7]+=*$") & c.rlike("[2-7]"), "base32")
-                .when(c.rlike("^[0-9a-z]+$") & letters, "base36").when(c.rlike("^[A-Za-z0-9+/_-]+=*$") & c.rlike("[a-z]") & c.rlike("[A-Z]"), "base64"))
-    body = F.when(F.col("encoding") == "hex", F.lower(c)).otherwise(F.translate(F.rtrim(c, F.lit("=")), "-_", "+/"))
+    bare = F.rtrim(c, F.lit("="))
+    encoding = (F.when(bare.rlike("^([0-9a-f]+|[0-9A-F]+)$") & digit & letters, "hex").when(c.rlike("^[A-Z2-7]+=*$") & c.rlike("[2-7]"), "base32")
+                .when(bare.rlike("^[0-9a-z]+$") & letters, "base36").when(bare.rlike("^[0-9A-Z]+$") & letters, "upper36")
+                .when(bare.rlike("^([0-9a-f_-]+|[0-9A-F_-]+)$") & digit & letters, "parted_hex").when(bare.rlike("^[0-9a-z_-]+$") & letters, "parted36")
+                .when(bare.rlike("^[0-9A-Z_-]+$") & letters, "parted_upper36").when(c.rlike("^[A-Za-z0-9+/_-]+=*$") & c.rlike("[a-z]") & c.rlike("[A-Z]"), "base64"))
+    one = F.col("encoding").isin("base32", "base64")
+    body = F.when(one, F.translate(bare, "-_", "+/")).otherwise(F.lower(F.translate(bare, "-_", "")))
     alphabet = F.coalesce(*[F.when(F.col("encoding") == k, F.lit(v)) for k, v in ALPHABETS.items()])
     rows = coded.withColumn("encoding", encoding).filter("encoding is not null").withColumn("body", body).withColumn("alphabet", alphabet)
     rows = rows.withColumn("n", F.length("body")).withColumn("k", F.length("alphabet").cast("double")).filter("n >= 16")
@@ -106,7 +114,7 @@ def thresholds(tested: DataFrame, false_share: float = 0.05) -> DataFrame:
     longer they are. The upper half of p tells how many are random; what the part
     above a threshold holds beyond that (by two standard errors) is taken as false.
     The least threshold with at most ``false_share`` of these is used; a band where
-    none will do accepts nothing. At most four encodings times 31 bands.
+    none will do accepts nothing. At most eight encodings times 31 bands.
     """
     above = [F.count_if(F.col("p") > t).cast("double").alias(f"a{i}") for i, t in enumerate((*GRID, UPPER_PART))]
     got = tested.groupBy("encoding", "band").agg(*above)
@@ -129,7 +137,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     found = stage(found_forms(docs, id_col, text_col), "secret-forms")
     tested = stage(randomness(found.filter("kind = 3").select("row", "start", "coded")).select("row", "start", "encoding", "band", "p"), "secret-tests")
-    # At most 124 rows, whatever the input.
+    # At most 248 rows, whatever the input.
     least = stage(thresholds(tested, false_share), "secret-thresholds")
     chosen = tested.join(F.broadcast(least), ["encoding", "band"]).filter("p > least").select("row", "start", F.lit(3).alias("kind"), F.lit(True).alias("chosen"))
     rows = found.join(chosen, ["row", "start", "kind"], "left").withColumn("ok", F.when(F.col("kind") == 3, F.coalesce("chosen", F.lit(False))).otherwise(F.col("ok")))

@@ -54,3 +54,29 @@ def test_battery_finds_random_strings_and_leaves_words(spark):
     assert sum(got[i]["n_random"] for i in planted) > 380
     assert sum(got[1000 + i]["n_random"] for i in range(400)) < 20
     assert got[0]["spans"] in ("", "random:3:43")
+
+
+def test_battery_finds_values_of_names_upper_case_and_dashed_keys(spark):
+    rnd = random.Random(4)
+    some = lambda symbols, n: "".join(rnd.choice(symbols) for _ in range(n))
+    upper = S.ALPHABETS["base36"].upper()
+    forms = {"auth=": lambda: some(S.ALPHABETS["base64"][:62], 40), "DB_PASS=": lambda: some(upper, 40), "id ": lambda: some(upper, 40),
+             "uuid ": lambda: "-".join(some("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)), "key ": lambda: "-".join(some(S.ALPHABETS["base36"], 8) for _ in range(4))}
+    rows, places = [], {}
+    for k, (name, make) in enumerate(forms.items()):
+        for i in range(300):
+            key = make()
+            places[1000 * k + i] = f"random:{len(name)}:{len(name) + len(key)}"
+            rows.append((1000 * k + i, name + key))
+    rows += [(9000 + i, "see " + "-".join(rnd.choice(["report", "annual", "2024", "sales", "final", "draft", "version", "list"]) for _ in range(8))) for i in range(300)]
+    got = {r["doc_id"]: r for r in S.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for k in range(len(forms)):
+        assert sum(places[1000 * k + i] in got[1000 * k + i]["spans"].split(",") for i in range(300)) > 270
+    assert sum(got[9000 + i]["n_random"] for i in range(300)) < 15
+
+
+def test_padding_is_the_end_of_a_coded_string():
+    found = lambda t: [m.group() for m in re.finditer(S.CODED, t)]
+    assert found("x=abcdefghij0123456789== y") == ["abcdefghij0123456789=="]
+    assert found("abcdefghij01234567== y") == ["abcdefghij01234567=="]
+    assert found("abcdefghij01234567=abcdefghij0123456789z") == ["abcdefghij0123456789z"]
