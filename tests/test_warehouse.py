@@ -38,30 +38,127 @@ def test_merge_insert_update_duplicates_and_rerun(wh, spark):
     assert wh.read("t").count() == 3
 
 
-@pytest.mark.parametrize("at", ["before the note", "while replacing"])
-def test_merge_survives_a_crash(wh, spark, monkeypatch, at):
+class Lost(RuntimeError):
+    pass
+
+
+@pytest.mark.parametrize("at", ["staging the updates", "writing the merged rows", "before the commit"])
+def test_merge_that_dies_leaves_the_table(wh, spark, monkeypatch, at):
     wh.merge(ids(spark, ("a", 1, 1), ("b", 2, 1)), "t", ["id"], ["version"])
-    batch, write = ids(spark, ("a", 10, 2), ("c", 3, 1)), Warehouse.write
+    batch, write = ids(spark, ("a", 10, 2), ("c", 3, 1)), Warehouse._write_files
     writes = []
 
     def failing(self, df, table, *args, **kwargs):
-        writes.append(table)
-        if at == "before the note" or len(writes) == 2:
-            if len(writes) == 2:  # the live files are gone when the job dies
-                fs, p = self._file(self.path("t"))
-                fs.delete(p, True)
-            raise RuntimeError("lost")
-        write(self, df, table, *args, **kwargs)
-    monkeypatch.setattr(Warehouse, "write", failing)
-    with pytest.raises(RuntimeError):
-        wh.merge(batch, "t", ["id"], ["version"])
-    monkeypatch.setattr(Warehouse, "write", write)
-    if at == "while replacing":
-        assert rows(wh.read("t"), "id", "value") == [("a", 10), ("b", 2), ("c", 3)]
-    else:
-        assert rows(wh.read("t"), "id", "value") == [("a", 1), ("b", 2)]
+        done = write(self, df, table, *args, **kwargs)
+        writes.append(done)
+        if len(writes) == {"staging the updates": 1, "writing the merged rows": 2}.get(at):
+            raise Lost
+        return done
+
+    def dying(*_):
+        raise Lost
+    with monkeypatch.context() as m:
+        m.setattr(Warehouse, "_write_files", failing)
+        if at == "before the commit":
+            m.setattr(Warehouse, "_link", dying)
+        with pytest.raises(Lost):
+            wh.merge(batch, "t", ["id"], ["version"])
+    assert wh.versions("t") == [1] and rows(wh.read("t"), "id", "value") == [("a", 1), ("b", 2)]
     wh.merge(batch, "t", ["id"], ["version"])
     assert rows(wh.read("t"), "id", "value") == [("a", 10), ("b", 2), ("c", 3)]
+    assert wh.vacuum("t", older_than_hours=0) > 0 and wh.versions("t") == [2]
+    assert rows(wh.read("t"), "id", "value") == [("a", 10), ("b", 2), ("c", 3)]
+
+
+def test_reader_inside_a_replacement(wh, spark, monkeypatch):
+    """A reader between the files and the commit, one that keeps its version, and one of an old version."""
+    wh.write(ids(spark, ("a", 1, 1)), "t", "overwrite")
+    pinned, seen, claim = wh.read("t"), [], Warehouse._claim
+
+    def looking(self, *args):
+        seen.append((self.exists("t"), rows(self.read("t"), "id")))
+        return claim(self, *args)
+    monkeypatch.setattr(Warehouse, "_claim", looking)
+    wh.write(ids(spark, ("b", 2, 1)), "t", "overwrite")
+    wh.merge(ids(spark, ("c", 3, 1)), "t", ["id"], ["version"])
+    assert seen == [(True, [("a",)]), (True, [("b",)])]
+    assert rows(wh.read("t"), "id") == [("b",), ("c",)]
+    assert rows(pinned, "id") == [("a",)] and rows(wh.read("t", version=2), "id") == [("b",)]
+    assert rows(wh.history("t"), "version", "operation") == [(1, "overwrite"), (2, "overwrite"), (3, "merge")]
+    with pytest.raises(ValueError):
+        wh.read("t", version=9)
+
+
+@pytest.mark.parametrize("partitioned", [False, True])
+def test_second_writer_in_between_loses_nothing(wh, spark, monkeypatch, partitioned):
+    """Another writer commits after the merged rows are written: the same partition, and another one."""
+    by = ["value"] if partitioned else []
+    wh.write(ids(spark, ("a", 1, 1), ("b", 2, 1)), "t", "overwrite", by)
+    claim, writes, write = Warehouse._claim, [], Warehouse._write_files
+    others = [ids(spark, ("c", 1, 1)), ids(spark, ("d", 3, 1))]
+
+    def later(self, *args):
+        if others:
+            self.merge(others.pop(), "t", ["id"], ["version"])
+        return claim(self, *args)
+
+    def counted(self, df, table, by, **options):
+        writes.append(1)
+        return write(self, df, table, by, **options)
+    monkeypatch.setattr(Warehouse, "_claim", later)
+    monkeypatch.setattr(Warehouse, "_write_files", counted)
+    wh.merge(ids(spark, ("a", 1, 9), ("e", 1, 1)), "t", ["id"], ["version"])
+    assert rows(wh.read("t"), "id", "value", "version") == [("a", 1, 9), ("b", 2, 1), ("c", 1, 1), ("d", 3, 1), ("e", 1, 1)]
+    assert wh.versions("t") == [1, 2, 3, 4]
+
+
+def test_writers_at_once(wh, spark):
+    from concurrent.futures import ThreadPoolExecutor
+    wh.write(ids(spark, ("a", 0, 0)), "t", "overwrite")
+    jobs = [lambda i=i: wh.merge(ids(spark, (f"m{i}", i, 1), ("a", i, i)), "t", ["id"], ["version"]) for i in range(3)]
+    jobs += [lambda i=i: wh.write(ids(spark, (f"w{i}", i, 1)), "t", "append") for i in range(3)]
+    with ThreadPoolExecutor(6) as pool:
+        done = [f.result() for f in [pool.submit(j) for j in jobs]]
+    assert sorted(done) == [2, 3, 4, 5, 6, 7]
+    assert rows(wh.read("t").filter("id <> 'a'"), "id") == [("m0",), ("m1",), ("m2",), ("w0",), ("w1",), ("w2",)]
+    assert wh.read("t").filter("id = 'a'").count() == 1
+
+
+def test_rename_never_replaces(wh, spark):
+    """The commit by rename, which other file systems than local disks use."""
+    from types import MethodType
+    wh.write(ids(spark, ("a", 1, 1)), "t", "overwrite")
+    object.__setattr__(wh, "_link", MethodType(Warehouse._rename, wh))
+    assert not wh._claim("t", 1, "{}") and wh._claim("t", 2, wh.snapshot("t").to_json())
+    assert wh.versions("t") == [1, 2] and rows(wh.read("t"), "id") == [("a",)]
+
+
+def test_null_partitions_and_keys_are_kept(wh, spark):
+    schema = "id int, day date, v int"
+    wh.merge(spark.createDataFrame([(1, None, 1), (2, None, 1), (None, None, 1), (3, date(2024, 1, 1), 1)], schema), "n", ["id"], ["v"], ["day"])
+    wh.merge(spark.createDataFrame([(9, None, 2), (2, None, 5), (None, None, 7)], schema), "n", ["id"], ["v"], ["day"])
+    assert rows(wh.read("n"), "id", "v") == [(1, 1), (2, 5), (3, 1), (9, 2), (None, 7)]
+    wh.merge(spark.createDataFrame([], schema), "n", ["id"], ["v"])
+    wh.merge(spark.createDataFrame([], schema), "empty", ["id"], ["v"], ["day"])
+    assert wh.read("n").count() == 5 and wh.read("empty").count() == 0 and wh.read("empty").columns == ["id", "day", "v"]
+
+
+def test_schema_of_a_table(wh, spark):
+    wh.write(ids(spark, ("a", 1, 1)), "s", "append")
+    wh.write(ids(spark, ("b", 1, 1)).withColumn("more", F.lit(5)), "s", "append")
+    assert rows(wh.read("s"), "id", "more") == [("a", None), ("b", 5)]
+    wh.merge(ids(spark, ("a", 7, 2)), "s", ["id"], ["version"])
+    assert rows(wh.read("s"), "id", "value", "more") == [("a", 7, None), ("b", 1, 5)]
+    with pytest.raises(ValueError, match="value"):
+        wh.write(ids(spark, ("a", 1, 1)).withColumn("value", F.lit("x")), "s", "append")
+    with pytest.raises(ValueError, match="partitioned"):
+        wh.write(ids(spark, ("a", 1, 1)), "s", "append", ["version"])
+    ids(spark, ("p", 1, 1)).write.parquet(wh.path("plain"))
+    assert wh.exists("plain") and rows(wh.read("plain"), "id") == [("p",)]
+    with pytest.raises(ValueError, match="plain"):
+        wh.write(ids(spark, ("a", 1, 1)), "plain")
+    with pytest.raises(ValueError, match="no table"):
+        wh.read("nowhere")
 
 
 def test_shared_folder_is_required_off_local():
@@ -77,10 +174,10 @@ def test_shared_folder_is_required_off_local():
 def test_partitioned_merge_leaves_other_partitions_alone(wh, spark):
     base = spark.createDataFrame([(i, date(2024, 1, 1 + i % 3), 0) for i in range(9)], "id int, day date, v int")
     wh.write(base, "p", "overwrite", ["day"])
-    import os
-    before = {d: sorted(os.listdir(f"{wh.path('p')}/{d}")) for d in os.listdir(wh.path("p")) if d.startswith("day=")}
+    before = wh.snapshot("p").parts
     wh.merge(spark.createDataFrame([(1, date(2024, 1, 2), 9), (50, date(2024, 1, 2), 9)], "id int, day date, v int"), "p", ["id"], ["v"], ["day"])
-    after = {d: sorted(os.listdir(f"{wh.path('p')}/{d}")) for d in os.listdir(wh.path("p")) if d.startswith("day=")}
+    after = wh.snapshot("p").parts
+    assert sorted(before) == ["day=2024-01-01", "day=2024-01-02", "day=2024-01-03"]
     assert [d for d in before if before[d] != after[d]] == ["day=2024-01-02"]
     assert rows(wh.read("p").filter("v = 9"), "id") == [(1,), (50,)] and wh.read("p").count() == 10
 
