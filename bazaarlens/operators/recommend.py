@@ -121,19 +121,23 @@ def score_pairs(pairs: DataFrame, user_factors: DataFrame, item_factors: DataFra
         "score", F.coalesce(dot("_u", "_i"), F.lit(0.0))).drop("_u", "_i")
 
 
-def recommend(user_factors: DataFrame, item_factors: DataFrame, users: DataFrame, n: int = 10, exclude: DataFrame | None = None) -> DataFrame:
+def recommend(user_factors: DataFrame, item_factors: DataFrame, users: DataFrame, n: int = 10, exclude: DataFrame | None = None, **search) -> DataFrame:
     """Best ``n`` items per known user without excluded (user, item) pairs; unknown users get none.
 
+    Large item tables are searched by norm: blocks whose largest norm times the user's cannot reach the user's n-th
+    score so far are left out (``neighbours``). ``search``: block_rows, visits.
+
     A user is asked for n plus the number of their own exclusions, so dropping these
     leaves nobody short and one long list costs the others nothing.
     """
-    from .similarity import block_top_n, dot_score
+    from .neighbours import Bounds, nearest
+    from .similarity import dot_score
     u = user_factors.select(F.col("id").alias("user_id"), F.col("features").alias("source_vector")).join(users.select("user_id").distinct(), "user_id")
     if exclude is not None:
         own = exclude.groupBy("user_id").agg(F.count(F.lit(1)).alias("_x"))
         u = u.join(own, "user_id", "left").withColumn("need", (F.lit(n) + F.coalesce("_x", F.lit(0))).cast("int")).drop("_x")
     i = item_factors.select(F.col("id").alias("item_id"), F.col("features").alias("vector"))
-    flat = block_top_n(u, i, dot_score(), n, source_key="user_id").drop("rank")
+    flat = nearest(u, i, dot_score(), Bounds("vector", "source_vector", unit=False), n, source_key="user_id", **search).drop("rank")
     if exclude is not None:
         flat = flat.join(exclude.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     return top_k(flat, ["user_id"], [F.desc("score"), F.asc("item_id")], n)

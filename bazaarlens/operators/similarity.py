@@ -1,9 +1,9 @@
-"""Exact top-n scoring of sources against items, in bounded blocks.
+"""Exact top-n scoring of sources against items, in bounded blocks, and co-purchases.
 
-Nothing here is a cross join: each side is hashed into blocks of a bounded size,
-every (source block, item block) cell becomes one cogroup, and a cell emits only
-its own best n per source. The final n come from those. No side passes through the
-driver or is broadcast.
+``block_top_n`` hashes each side into blocks of a bounded size, makes every (source block, item block) cell
+one cogroup, and lets a cell emit only its own best n per source; the final n come from those. It serves up to a few
+blocks of items. Larger item tables go through the index of ``neighbours``, which leaves out the blocks that
+cannot hold one of the best n.
 """
 
 from __future__ import annotations
@@ -50,6 +50,17 @@ def _best(scores: np.ndarray, items: np.ndarray, wanted: np.ndarray) -> list[np.
     return picks
 
 
+def best_of_cell(left: pd.DataFrame, right: pd.DataFrame, score: Score, need: str, source_key: str, item_key: str) -> pd.DataFrame:
+    """(source, item, score) of the best items of every source of one cell; column ``need`` says how many."""
+    if left.empty or right.empty:
+        return pd.DataFrame({source_key: [], item_key: [], "score": []})
+    table, ids = score(left, right), right[item_key].to_numpy()
+    picks = _best(table, ids, left[need].to_numpy())
+    rows = np.repeat(np.arange(len(left)), [len(p) for p in picks])
+    cols = np.concatenate(picks) if len(rows) else np.array([], dtype=int)
+    return pd.DataFrame({source_key: left[source_key].to_numpy()[rows], item_key: ids[cols], "score": table[rows, cols]})
+
+
 def block_top_n(sources: DataFrame, items: DataFrame, score: Score, n: int, source_key: str = "source_id",
                 item_key: str = "item_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Best ``n`` items per source as (source, item, score, rank), over all pairs.
@@ -67,13 +78,7 @@ def block_top_n(sources: DataFrame, items: DataFrame, score: Score, n: int, sour
     i = items.withColumn("_ib", block(item_key, item_blocks)).withColumn("_sb", every(src_blocks))
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({source_key: [], item_key: [], "score": []})
-        table, ids = score(left, right), right[item_key].to_numpy()
-        picks = _best(table, ids, left["need"].to_numpy() if own else np.full(len(left), n))
-        rows = np.repeat(np.arange(len(left)), [len(p) for p in picks])
-        cols = np.concatenate(picks) if len(rows) else np.array([], dtype=int)
-        return pd.DataFrame({source_key: left[source_key].to_numpy()[rows], item_key: ids[cols], "score": table[rows, cols]})
+        return best_of_cell(left if own else left.assign(need=n), right, score, "need", source_key, item_key)
 
     kinds = {f.name: f.dataType.simpleString() for f in [*sources.schema, *items.schema]}
     schema = f"{source_key} {kinds[source_key]}, {item_key} {kinds[item_key]}, score double"
@@ -153,21 +158,27 @@ def with_price_z(items: DataFrame, stats: tuple[float, float]) -> DataFrame:
 
 
 def similar_content(sources: DataFrame, items: DataFrame, n: int = 10, stats: tuple[float, float] | None = None,
-                    weights: Sequence[float] = (0.5, 0.2, 0.15, 0.15)) -> DataFrame:
+                    weights: Sequence[float] = (0.5, 0.2, 0.15, 0.15), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Content neighbours of the ``source_id`` rows. ``stats`` frozen: items can be added later."""
+    from .neighbours import Bounds, nearest
+    total = float(sum(weights))
+    text, category, brand, price = (w / total for w in weights)
     ready = with_price_z(items, stats or price_stats(items)).select("item_id", "category", "brand", "price_z", "embedding")
     s = ready.withColumnRenamed("item_id", "source_id").join(sources.select("source_id").distinct(), "source_id", "left_semi")
-    return block_top_n(s, ready, content_score(weights), n)
+    bounds = Bounds(weight=text, same=(("category", category), ("brand", brand)), near=("price_z", price))
+    return nearest(s, ready, content_score(weights), bounds, n, block_rows=block_rows)
 
 
-def search(queries: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
+def search(queries: DataFrame, items: DataFrame, n: int = 10, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Items for query vectors; a category or brand no item has is ignored."""
+    from .neighbours import Bounds, nearest
     def known(name: str) -> DataFrame:
         return items.select(F.col(name).alias(f"_{name}")).distinct()
     q = queries
     for name in ("category", "brand"):
         q = q.join(known(name), F.col(name) == F.col(f"_{name}"), "left").withColumn(name, F.col(f"_{name}")).drop(f"_{name}")
-    return block_top_n(q, items.select("item_id", "category", "brand", "price", "embedding"), search_score(), n, source_key="query_id")
+    bounds = Bounds(must=("category", "brand"), between=("price", "price_min", "price_max"))
+    return nearest(q, items.select("item_id", "category", "brand", "price", "embedding"), search_score(), bounds, n, source_key="query_id", block_rows=block_rows)
 
 
 # ------------------------------------------------------------------ co-occurrence

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import neighbours as NB
 from ..operators import products as P
 from ..operators import recommend as RC
 from ..operators import similarity as SIM
@@ -109,7 +110,7 @@ def _(spark, root):
           FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 10""")
 def _(spark, root):
     v = RC.embeddings(_known_factors(spark, root))
-    return SIM.block_top_n(v.withColumnRenamed("item_id", "source_id"), v, SIM.cosine_score(), 10)
+    return NB.nearest(v.withColumnRenamed("item_id", "source_id"), v, SIM.cosine_score(), NB.Bounds(), 10)
 
 
 @query("jb17_training_invariants", "users:i in_bounds:b gate_agrees:b",
