@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -87,26 +89,79 @@ def step(active: bool, last: datetime | None, at: datetime, breach: bool, cooldo
     return active, last, None
 
 
-def _walk(frame: pd.DataFrame) -> pd.DataFrame:
-    rows, active, last = [], False, None
-    frame = frame.sort_values("ts")
-    for at, value, breach, cool in zip(frame["ts"], frame["value"], frame["is_breached"], frame["cooldown_minutes"]):
-        active, last, change = step(active, last, at, bool(breach), int(cool))
-        if change:
-            rows.append((frame["rule_id"].iloc[0], frame["merchant_id"].iloc[0], at, value, change))
-    return pd.DataFrame(rows, columns=["rule_id", "merchant_id", "ts", "value", "change"])
+def jumps(at: np.ndarray, breach: np.ndarray, cool: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where a state moves on within a run of ordered ticks, whatever state the run is entered in.
 
-
-def with_cooldown(checks: DataFrame) -> DataFrame:
+    Per tick (and for the end of the run): the next breach, the next tick without one, and the first
+    tick that is evaluated again after a trigger here. From these every entry state leads to its exit state and its
+    changes in as many steps as there are changes.
+    """
+    m = len(at)
+    place = np.arange(m)
+    ahead = lambda flags: np.append(np.minimum.accumulate(np.where(flags, place, m)[::-1])[::-1], m).astype(np.int32)
+    return ahead(breach), ahead(~breach), np.maximum(np.searchsorted(at, at + cool, side="left"), place + 1).astype(np.int32)
+
+
+TABLE = ("series string, rule_id string, merchant_id bigint, segment timestamp, cool bigint, at array<bigint>, value array<double>, "
+         "next_breach array<int>, next_good array<int>, resume array<int>")
+
+
+def _tabulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per segment of ordered ticks; a segment may begin in one batch and end in the next."""
+    def table(own: pd.DataFrame) -> tuple:
+        at, cool, first = own["ts"].to_numpy().astype("datetime64[us]").astype(np.int64), int(own["cooldown_minutes"].iloc[0]) * 60_000_000, own.iloc[0]
+        return (first["series"], first["rule_id"], first["merchant_id"], first["segment"], cool, at, own["value"].to_numpy(dtype=float), *jumps(at, own["is_breached"].to_numpy(dtype=bool), cool))
+
+    names, held = [c.split()[0] for c in TABLE.split(", ")], None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if rows.empty:
+            continue
+        series, segment = rows["series"].to_numpy(), rows["segment"].to_numpy()
+        cuts = (np.flatnonzero((series[1:] != series[:-1]) | (segment[1:] != segment[:-1])) + 1).tolist()
+        held = rows.iloc[cuts[-1] if cuts else 0 :]
+        yield pd.DataFrame([table(rows.iloc[a:b]) for a, b in zip([0, *cuts], cuts)], columns=names)
+    if held is not None:
+        yield pd.DataFrame([table(held)], columns=names)
+
+
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Changes of every series, its segments following each other; the state between two of them is a flag and a time."""
+    series, active, until = None, False, None
+    for batch in batches:
+        rows = []
+        for t in batch.itertuples(index=False):
+            if t.series != series:
+                series, active, until = t.series, False, None
+            j, m = 0 if until is None else int(np.searchsorted(t.at, until, side="left")), len(t.at)
+            while True:
+                k = int((t.next_good if active else t.next_breach)[j])
+                if k == m:
+                    break
+                rows.append((t.rule_id, t.merchant_id, pd.Timestamp(int(t.at[k]), unit="us"), t.value[k], "resolved" if active else "triggered"))
+                if active:
+                    active, j = False, k + 1
+                else:
+                    active, j, until = True, int(t.resume[k]), int(t.at[k]) + t.cool
+        yield pd.DataFrame(rows, columns=["rule_id", "merchant_id", "ts", "value", "change"])
+
+
+def with_cooldown(checks: DataFrame, segment: str = "day") -> DataFrame:
     """Exact trigger / resolve history with cool-down.
 
-    The decision at a tick depends on the last trigger, so each (rule, merchant)
-    series is walked in order. Its length is the number of evaluation ticks, which
-    the calendar bounds whatever the event volume.
+    The decision at a tick depends on the last trigger, so a series has to be read in order; but a segment of it
+    (``segment``: a date_trunc unit) becomes a function of the state it is entered in before that state is known.
+    Segments are ordered and tabulated in parallel, however many ticks one series has; then each series is
+    folded over its segments, which takes a step per change instead of one per tick, and holds one segment at a time.
+
+    Ticks of one time go by value; an unknown outcome counts as no breach; a rule's cool-down is constant.
     """
-    cols = checks.select("rule_id", "merchant_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"),
-                         "is_breached", "cooldown_minutes")
-    return cols.groupBy("rule_id", "merchant_id").applyInPandas(_walk, CHANGE_SCHEMA)
+    cols = checks.select(F.concat_ws("|", F.coalesce(F.col("merchant_id").cast("string"), F.lit("")), "rule_id").alias("series"), "rule_id", F.col("merchant_id").cast("bigint").alias("merchant_id"),
+                         F.date_trunc(segment, F.col("ts").cast("timestamp")).alias("segment"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"),
+                         F.coalesce("is_breached", F.lit(False)).alias("is_breached"), F.col("cooldown_minutes").cast("int").alias("cooldown_minutes"))
+    ticks = cols.repartition("series", "segment").sortWithinPartitions("series", "segment", "ts", "value", "is_breached")
+    tables = ticks.mapInPandas(_tabulate, TABLE)
+    return tables.repartition("series").sortWithinPartitions("series", "segment").mapInPandas(_fold, CHANGE_SCHEMA)
 
 
 def outliers(daily: DataFrame, value: str, ts: str = "order_date", trailing: int = 30, limit: float = 3.0) -> DataFrame:
@@ -126,7 +181,13 @@ def trend(daily: DataFrame, value: str, ts: str = "order_date", trailing: int =
     return daily.withColumn("slope", F.regr_slope(F.col(value).cast("double"), x).over(frame))
 
 
-def missing_heartbeats(events: DataFrame, start: str, end: str, ts: str = "ts", merchants: DataFrame | None = None) -> DataFrame:
+def covered(events: DataFrame, unit: str = "hour", ts: str = "ts") -> tuple[datetime, datetime]:
+    """First and last bucket of the events there are (two values reach the driver)."""
+    bucket = F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz")
+    return tuple(events.agg(F.min(bucket), F.max(bucket)).first())
+
+
+def missing_heartbeats(events: DataFrame, start: str | datetime, end: str | datetime, ts: str = "ts", merchants: DataFrame | None = None) -> DataFrame:
     """Merchant-hours without a single event, of ``merchants`` or else of all that have events."""
     s, e = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
     everyone = (events if merchants is None else merchants).select("merchant_id").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from ..functions.guards import count_if
@@ -499,14 +501,18 @@ def _(spark, root):
 
 # ------------------------------------------------------------------ alerts
 
-HOURS = """hours AS (SELECT merchant_id, ts, coalesce(n, 0) AS value FROM ((SELECT DISTINCT merchant_id FROM ev) CROSS JOIN
-  (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS ts))
-  LEFT JOIN (SELECT merchant_id, date_trunc('hour', received_at) AS ts, count(DISTINCT order_id) AS n FROM ev WHERE event_type = 'purchase' AND received_at <= TIMESTAMP '2024-01-30 23:59:59' GROUP BY 1, 2) USING (merchant_id, ts)),
+HOURS = """span AS (SELECT date_trunc('hour', min(received_at)) AS first_hour, date_trunc('hour', max(received_at)) AS last_hour FROM ev),
+hours AS (SELECT merchant_id, ts, coalesce(n, 0) AS value FROM ((SELECT DISTINCT merchant_id FROM ev) CROSS JOIN
+  (SELECT unnest(generate_series(first_hour, last_hour, INTERVAL 1 HOUR)) AS ts FROM span))
+  LEFT JOIN (SELECT merchant_id, date_trunc('hour', received_at) AS ts, count(DISTINCT order_id) AS n FROM ev WHERE event_type = 'purchase' GROUP BY 1, 2) USING (merchant_id, ts)),
 checks AS (SELECT *, value = 0 AS is_breached FROM hours)"""
 
 
 def _hourly_checks(spark, root):
-    ts = MX.timeseries(E.events(spark, root), "hour", "2024-01-01 00:00:00", END)
+    """The zero-orders rule at every hour that the events span, for every merchant."""
+    e = E.events(spark, root)
+    first, last = A.covered(E.raw_events(spark, root), "hour", "received_at")
+    ts = MX.timeseries(e, "hour", first, last + timedelta(hours=1) - timedelta(microseconds=1))
     series = ts.select("merchant_id", F.lit("order_count").alias("metric_name"), F.col("bucket").alias("ts"), F.col("orders").cast("double").alias("value"))
     return A.evaluate(series, A.default_rules(spark))
 
@@ -536,7 +542,7 @@ def _(spark, root):
 INC = """inc AS (SELECT merchant_id, run, min(ts) AS triggered_at, max(nxt) AS resolved_at, count(*) AS ticks FROM (
   SELECT *, sum(CASE WHEN is_breached AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY merchant_id ORDER BY ts) AS run FROM (
     SELECT *, coalesce(lag(is_breached) OVER w, false) AS was, lead(ts) OVER w AS nxt FROM checks WINDOW w AS (PARTITION BY merchant_id ORDER BY ts))) WHERE is_breached GROUP BY 1, 2),
-inc1 AS (SELECT 'zero_orders' AS rule_id, merchant_id, triggered_at, CASE WHEN resolved_at IS NULL OR triggered_at + to_hours(ticks) > TIMESTAMP '2024-01-30 23:00:00' THEN NULL ELSE triggered_at + to_hours(ticks) END AS resolved_at, ticks FROM inc)"""
+inc1 AS (SELECT 'zero_orders' AS rule_id, merchant_id, triggered_at, CASE WHEN resolved_at IS NULL OR triggered_at + to_hours(ticks) > (SELECT last_hour FROM span) THEN NULL ELSE triggered_at + to_hours(ticks) END AS resolved_at, ticks FROM inc)"""
 
 
 @query("jb15_alert_incidents", "rule_id:s merchant_id:i triggered_at:t resolved_at:t ticks:i", "SELECT * FROM inc1", (Q.EVENTS, HOURS, INC))
@@ -548,10 +554,35 @@ def _(spark, root):
        """SELECT 'zero_orders' AS rule_id, merchant_id, ts, value, change FROM (SELECT *, CASE WHEN is_breached AND NOT was THEN 'triggered' WHEN NOT is_breached AND was THEN 'resolved' END AS change FROM (
           SELECT *, coalesce(lag(is_breached) OVER (PARTITION BY merchant_id ORDER BY ts), false) AS was FROM checks)) WHERE change IS NOT NULL""", (Q.EVENTS, HOURS))
 def _(spark, root):
-    # Hourly ticks lie further apart than the 15-minute cool-down.
+    # Hourly ticks lie further apart than the 15-minute cool-down; al03_minute_cooldown has ticks inside it.
     return A.with_cooldown(_hourly_checks(spark, root))
 
 
+#: One tick per merchant and minute with events; a breach is a minute without a purchase; the cool-down is twelve hours.
+MINUTES = """ticks AS (SELECT *, value = 0 AS is_breached, row_number() OVER (PARTITION BY merchant_id ORDER BY ts) AS n FROM (
+  SELECT merchant_id, date_trunc('minute', received_at) AS ts, CAST(count(*) FILTER (event_type = 'purchase') AS DOUBLE) AS value FROM ev GROUP BY 1, 2))"""
+COOLED = """WITH RECURSIVE seen AS (
+  SELECT merchant_id, n, ts, value, is_breached AS active, CASE WHEN is_breached THEN ts END AS last_alert, CASE WHEN is_breached THEN 'triggered' END AS change FROM ticks WHERE n = 1
+  UNION ALL SELECT t.merchant_id, t.n, t.ts, t.value,
+    CASE WHEN s.last_alert IS NOT NULL AND t.ts < s.last_alert + INTERVAL 12 HOUR THEN s.active ELSE t.is_breached END,
+    CASE WHEN NOT s.active AND t.is_breached AND (s.last_alert IS NULL OR t.ts >= s.last_alert + INTERVAL 12 HOUR) THEN t.ts ELSE s.last_alert END,
+    CASE WHEN s.last_alert IS NOT NULL AND t.ts < s.last_alert + INTERVAL 12 HOUR THEN NULL WHEN t.is_breached AND NOT s.active THEN 'triggered' WHEN s.active AND NOT t.is_breached THEN 'resolved' END
+  FROM seen s JOIN ticks t ON t.merchant_id = s.merchant_id AND t.n = s.n + 1)
+SELECT 'quiet' AS rule_id, merchant_id, ts, value, change FROM seen WHERE change IS NOT NULL"""
+
+
+def _minute_checks(spark, root):
+    e = E.events(spark, root)
+    ticks = e.groupBy("merchant_id", F.date_trunc("minute", "received_at").cast("timestamp_ntz").alias("ts")).agg(F.sum(F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0)).alias("value"))
+    rule = spark.createDataFrame([("quiet", "Minutes without purchase", "purchases", "eq", 0.0, "realtime", "info", 720, True, None)], A.RULE_SCHEMA)
+    return A.evaluate(ticks.withColumn("metric_name", F.lit("purchases")), rule)
+
+
+@query("al03_minute_cooldown", "rule_id:s merchant_id:i ts:t value:r change:s", COOLED, (Q.EVENTS, MINUTES))
+def _(spark, root):
+    return A.with_cooldown(_minute_checks(spark, root))
+
+
 @query("al05_acknowledged_alerts", "rule_id:s merchant_id:i triggered_at:t status:s acknowledged_by:s",
        """SELECT rule_id, merchant_id, triggered_at, CASE WHEN resolved_at IS NOT NULL THEN 'resolved' WHEN merchant_id % 2 = 0 THEN 'acknowledged' ELSE 'active' END AS status,
           CASE WHEN resolved_at IS NULL AND merchant_id % 2 = 0 THEN 'oncall' END AS acknowledged_by FROM inc1""", (Q.EVENTS, HOURS, INC))
@@ -582,10 +613,11 @@ def _(spark, root):
 
 
 @query("al04_missing_heartbeats", "merchant_id:i hour:t",
-       """SELECT merchant_id, hour FROM (SELECT DISTINCT merchant_id FROM ev), (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS hour)
+       """SELECT merchant_id, hour FROM (SELECT DISTINCT merchant_id FROM ev), (SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS hour FROM ev)
           EXCEPT SELECT merchant_id, date_trunc('hour', ts) FROM ev""", (Q.EVENTS,))
 def _(spark, root):
-    return A.missing_heartbeats(E.events(spark, root), "2024-01-01 00:00:00", "2024-01-30 23:00:00")
+    e = E.events(spark, root)
+    return A.missing_heartbeats(e, *A.covered(E.raw_events(spark, root)))
 
 
 @query("al02_gmv_change", "merchant_id:i gmv_change_pct:r2", SUMMARY, MET_CTES)
