@@ -214,6 +214,26 @@ def _(spark, root):
     return _run(SA.changes(CX.from_stream(spark, path, checks.schema)), spark, "st08")
 
 
+@query("st06_streamed_active_sessions", "merchant_id:i window_start:t active_sessions:i",
+       """SELECT merchant_id, window_start, count(DISTINCT session_id) AS active_sessions FROM (
+            SELECT merchant_id, session_id, time_bucket(INTERVAL 1 MINUTE, ts, TIMESTAMP '1970-01-01') - to_minutes(n) AS window_start FROM ev, generate_series(0, 4) AS g(n)) GROUP BY 1, 2
+          HAVING window_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""", (Q.EVENTS,))
+def _(spark, root):
+    e = E.canonical_events(_event_stream(spark, root)).join(E.customer_merchant(spark, root), "customer_id")
+    return _run(SW.exact_active_sessions(e), spark, "st06")
+
+
+@query("st07_streamed_late_rows", "sink:s merchant_id:i n:i",
+       """WITH placed AS (SELECT merchant_id, ts, max(ts) OVER (PARTITION BY merchant_id) AS newest FROM ev)
+          SELECT CASE WHEN ts >= newest - INTERVAL 10 DAY THEN 'on_time' ELSE 'late' END AS sink, merchant_id, count(*) AS n FROM placed GROUP BY 1, 2""", (Q.EVENTS,))
+def _(spark, root):
+    base = scratch(spark, "st07")
+    e = E.canonical_events(_event_stream(spark, root)).join(E.customer_merchant(spark, root), "customer_id").select("merchant_id", "ts")
+    SI.divert_late(e, base, f"{base}/cp", allowed_seconds=10 * 86400).awaitTermination()
+    read = lambda sink: spark.read.parquet(f"{base}/{sink}").select(F.lit(sink).alias("sink"), "merchant_id")
+    return read("on_time").unionByName(read("late")).groupBy("sink", "merchant_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("st11_stream_upsert", "customer_id:i order_id:i status:s", LAST, (Q.ORDERS,))
 def _(spark, root):
     base = scratch(spark, "st11")

@@ -82,3 +82,31 @@ def split_late(batch: DataFrame, ts: str = "ts", allowed_seconds: int = 3600) ->
     limit = F.lit(newest) - F.make_interval(secs=F.lit(allowed_seconds).cast("decimal(18,6)"))
     on_time = F.coalesce(F.col(ts) >= limit, F.lit(False)) if newest is not None else F.lit(False)
     return batch.filter(on_time), batch.filter(~on_time)
+
+
+def divert_late(stream: DataFrame, path: str, checkpoint: str, key: str = "merchant_id", ts: str = "ts", allowed_seconds: int = 3600) -> StreamingQuery:
+    """A stream parted into ``path/on_time`` and ``path/late``: late is far behind the newest time of the row's key so far.
+
+    The newest time per key, batch by batch, is a table in ``path/newest``: a batch reads what the one before it left, adds its own
+    rows' times by a map-side maximum, and joins that small table (a row per key) with its rows, so a hot key is split and nothing
+    passes through the driver. Each batch writes its own partition of all three, so a replay gives the same rows. Every
+    row is in exactly one part; one without a time is late; a null key is a key.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            known = rows.select(F.col(key).alias("_key"), F.col(ts).alias("_newest"))
+            if batch_id:
+                before = spark.read.parquet(f"{path}/newest/batch_id={batch_id - 1}")
+                known = known.unionByName(before)
+            write = lambda df, part: df.write.mode("overwrite").parquet(f"{path}/{part}/batch_id={batch_id}")
+            write(known.groupBy("_key").agg(F.max("_newest").alias("_newest")), "newest")
+            newest = spark.read.parquet(f"{path}/newest/batch_id={batch_id}")
+            limit = F.col("_newest") - F.make_interval(secs=F.lit(allowed_seconds).cast("decimal(18,6)"))
+            judged = rows.join(newest, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_on_time", F.coalesce(F.col(ts) >= limit, F.lit(False))).drop("_key", "_newest")
+            write(judged.filter("_on_time").drop("_on_time"), "on_time")
+            write(judged.filter("NOT _on_time").drop("_on_time"), "late")
+        finally:
+            rows.unpersist()
+    return start(stream, handle, checkpoint)

@@ -35,3 +35,14 @@ def active_sessions(events: DataFrame, width: str = "5 minutes", slide: str = "1
     return event_time(events, ts).withWatermark(ts, delay).groupBy("merchant_id", F.window(ts, width, slide).alias("w")).agg(
         F.approx_count_distinct("session_id").alias("active_sessions")).select(
         "merchant_id", F.col("w.start").alias("window_start"), "active_sessions")
+
+
+def exact_active_sessions(events: DataFrame, width: str = "5 minutes", slide: str = "1 minute", ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
+    """Distinct sessions per merchant and sliding window, exactly: two stateful operators in a row.
+
+    The first keeps the (merchant, window, session) combinations of the windows still open and passes each on once; the
+    second counts them by window. Both forget a window when the watermark passes its end, when its count is emitted.
+    """
+    marked = event_time(events, ts).withWatermark(ts, delay).filter(F.col("session_id").isNotNull())
+    seen = marked.select("merchant_id", "session_id", F.window(ts, width, slide).alias("w")).dropDuplicates(["merchant_id", "session_id", "w"])
+    return seen.groupBy("merchant_id", "w").agg(F.count(F.lit(1)).alias("active_sessions")).select("merchant_id", F.col("w.start").alias("window_start"), "active_sessions")

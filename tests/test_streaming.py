@@ -128,6 +128,62 @@ def test_cooldown_in_batch_and_stream_agree(spark, tmp_path):
     assert rows(drain(SA.changes(stream), tmp_path, "out"), "ts", "change") == batch
 
 
+def test_alert_state_survives_a_restart_and_idle_keys_vanish(spark, tmp_path):
+    """Two runs over one checkpoint; the key that falls silent expires, the resolved one leaves no state."""
+    path, out = str(tmp_path / "c"), str(tmp_path / "o")
+    first = [("r", 1, 0, True), ("r", 2, 0, True), ("q", 1, 3, True)]
+    later = [("r", 1, 10, False), ("r", 1, 20, True), ("q", 1, 30, False)]
+    much_later = [("r", 1, 600, True), ("z", 9, 900, False)]
+    end = [("z", 9, 1200, False)]
+
+    def add(rows):
+        spark.createDataFrame([(k, m, T0 + timedelta(minutes=t), 1.0, b, 15) for k, m, t, b in rows], "rule_id string, merchant_id long, ts timestamp, value double, is_breached boolean, cooldown_minutes int").coalesce(
+            1).write.mode("append").parquet(path)
+
+    def run():
+        stream = from_stream(spark, path, "rule_id string, merchant_id long, ts timestamp, value double, is_breached boolean, cooldown_minutes int")
+        q = SA.changes(stream, idle="5 hours").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        progress = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        return progress[-1] if progress else None
+    for rows_ in (first, later, much_later, end):
+        add(rows_)
+        left = run()
+    got = rows(spark.read.parquet(out), "rule_id", "merchant_id", "ts", "change")
+    at = lambda m: T0 + timedelta(minutes=m)
+    assert [g for g in got if g[0] == "q"] == [("q", 1, at(3), "triggered"), ("q", 1, at(30), "resolved")]
+    assert [g for g in got if g[1] == 2] == [("r", 2, at(0), "triggered"), ("r", 2, at(300), "expired")]
+    # r/1 ticked at 20 inside no cool-down of its own: still active from 0, so nothing new; silent until 600, it expires at 320.
+    assert [g[2:] for g in got if g[:2] == ("r", 1)][:1] == [(at(0), "triggered")]
+    assert left is not None and left <= 3
+
+
+def test_streamed_sessions_are_exact(spark, tmp_path):
+    data = [(1, f"s{i % 5}", T0 + timedelta(seconds=37 * i)) for i in range(60)] + [(2, "s0", T0), (2, None, T0), (1, "s0", T0 + timedelta(hours=5))]
+    path = str(tmp_path / "a")
+    spark.createDataFrame(data, "merchant_id int, session_id string, ts timestamp").repartition(3).write.parquet(path)
+    stream = from_stream(spark, path, "merchant_id int, session_id string, ts timestamp")
+    got = {(r.merchant_id, r.window_start): r.active_sessions for r in drain(SW.exact_active_sessions(stream), tmp_path, "act").collect()}
+    want = {}
+    for m, s, t in data:
+        for k in range(5):
+            start_ = t.replace(second=0, microsecond=0) - timedelta(minutes=k)
+            if s is not None and start_ + timedelta(minutes=5) <= T0 + timedelta(hours=5) - timedelta(minutes=10):
+                want.setdefault((m, start_), set()).add(s)
+    assert got == {k: len(v) for k, v in want.items()}
+
+
+def test_late_rows_by_state_of_earlier_batches(spark, tmp_path):
+    path, out = str(tmp_path / "l"), str(tmp_path / "lo")
+    batches = [[(1, 0), (2, 0)], [(1, 200), (None, 5)], [(1, 10), (2, 10), (1, 199), (None, 3), (2, None)]]
+    for batch in batches:
+        spark.createDataFrame([(m, t, None if t is None else T0 + timedelta(minutes=t)) for m, t in batch], "merchant_id int, minute int, ts timestamp").coalesce(1).write.mode("append").parquet(path)
+        SI.divert_late(from_stream(spark, path, "merchant_id int, minute int, ts timestamp"), out, str(tmp_path / "lcp")).awaitTermination()
+    both = {s: rows(spark.read.parquet(f"{out}/{s}"), "merchant_id", "minute") for s in ("on_time", "late")}
+    assert both["late"] == [(1, 10), (2, None)]
+    assert len(both["on_time"]) + len(both["late"]) == sum(map(len, batches))
+
+
 def test_rule_operators(spark):
     df = spark.createDataFrame([("gt", 1.0), ("gte", 2.0), ("lt", 3.0), ("lte", 2.0), ("eq", 2.0), ("neq", 2.0), ("odd", 2.0)], "o string, t double")
     assert [r[0] for r in df.select(A.breached(F.lit(2.0), F.col("o"), F.col("t"))).collect()] == [True, True, True, True, True, False, None]
