@@ -23,10 +23,11 @@ def tier_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TIER_TABLE), "tier string, sla double, rate_multiplier int, take_rate double, rank int")
 
 
-def tier_variants(gmv: DataFrame, column: str = "gmv_12m") -> DataFrame:
+def tier_variants(gmv: DataFrame, annual: str = "gmv_12m", month: str = "gmv_mtd") -> DataFrame:
+    """Tier on each basis: the year's value, its monthly mean, and the value of the month to date."""
     return gmv.withColumns({
-        "tier_annual": merchant_tier(column, "annual_12m"), "tier_monthly": merchant_tier(column, "monthly_avg"),
-        "tier_mtd": merchant_tier(column, "mtd")})
+        "tier_annual": merchant_tier(annual, "annual_12m"), "tier_monthly": merchant_tier(annual, "monthly_avg"),
+        "tier_mtd": merchant_tier(month, "mtd")})
 
 
 def with_tier_attributes(df: DataFrame, tiers: DataFrame, tier: str = "merchant_tier") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.guards import count_if, pct_change, ratio, sum_if, zero
-from .scale import top_k
+from .scale import asof_latest, top_k
 
 # Window lengths in seconds and funnel stages in order.
 WINDOWS = {"realtime": 300, "hourly": 3600, "daily": 86400, "weekly": 604800, "monthly": 2592000}
@@ -143,6 +143,26 @@ def recommendation_ctr(events: DataFrame) -> DataFrame:
         F.sum(shown).alias("impressions"), F.sum(clicks).alias("clicks")).withColumn("ctr", ratio("clicks", "impressions"))
 
 
+def recommendation_revenue(events: DataFrame, hours: int = 24, ts: str = "received_at") -> DataFrame:
+    """Click rate by placement and strategy, with the orders and revenue that recommendation clicks led to.
+
+    A purchase belongs to its user's latest recommendation click of the ``hours`` before it. Purchases without user,
+    without a positive revenue or without such a click are not attributed.
+    """
+    p = lambda f: F.get_json_object("properties", f"$.{f}")
+    known = events.filter(F.col("user_id").isNotNull())
+    clicks = known.filter(F.col("event_type") == "recommendation_click").select(
+        "user_id", F.col(ts).alias("click_ts"), F.col("event_id").alias("click_id"), p("placement").alias("placement"), p("strategy").alias("strategy"))
+    orders = known.filter(F.col("event_type") == "purchase").select("event_id", "user_id", F.col(ts).alias("order_ts"), p("revenue").try_cast("decimal(12,2)").alias("revenue")).filter("revenue > 0")
+    led = asof_latest(orders, clicks, "user_id", "order_ts", "click_ts", ["placement", "strategy"], "click_id")
+    led = led.filter(F.col("touch_at") >= F.col("order_ts") - F.make_interval(hours=F.lit(hours)))
+    earned = led.groupBy("placement", "strategy").agg(F.count(F.lit(1)).alias("_orders"), F.sum("revenue").alias("_revenue")).select(
+        F.col("placement").alias("_p"), F.col("strategy").alias("_s"), "_orders", "_revenue")
+    shown = recommendation_ctr(events)
+    both = shown.join(earned, F.col("placement").eqNullSafe(F.col("_p")) & F.col("strategy").eqNullSafe(F.col("_s")), "left")
+    return both.select(*shown.columns, F.coalesce("_orders", F.lit(0)).alias("attributed_orders"), zero("_revenue").alias("attributed_revenue"))
+
+
 def search_ctr(events: DataFrame) -> DataFrame:
     """Searches, clicks, click rate and mean click position per query."""
     p = lambda f: F.get_json_object("properties", f"$.{f}")

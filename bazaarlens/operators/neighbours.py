@@ -15,8 +15,9 @@ block are cut into chunks of ``block_rows``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 from math import ceil
 
 import numpy as np
@@ -92,7 +93,7 @@ def _stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def upper_bounds(rows: pd.DataFrame, b: Bounds, pivots: np.ndarray, blocks: pd.DataFrame) -> np.ndarray:
+def upper_bounds(rows: pd.DataFrame, blocks: pd.DataFrame, b: Bounds, pivots: np.ndarray) -> np.ndarray:
     """Upper bound of the score of every source row with any item of every block; -inf where none can match."""
     unit, norm = _unit(rows[b.source_vector], pivots.shape[1])
     angle = _angles(unit, norm, pivots)[:, blocks["_pivot"].to_numpy()]
@@ -119,69 +120,24 @@ def upper_bounds(rows: pd.DataFrame, b: Bounds, pivots: np.ndarray, blocks: pd.D
     return out
 
 
-class Index:
-    """Blocks of an item table for one ``Bounds``; ``top_n`` may be asked again with other sources."""
-
-    def __init__(self, items: DataFrame, bounds: Bounds, item_key: str = "item_id", block_rows: int = BLOCK_ROWS):
-        self.bounds, self.key = bounds, item_key
-        n = items.count()
-        self.block_rows = max(block_rows, ceil(n / BLOCKS))
-        first = items.filter(F.col(bounds.vector).isNotNull()).select(bounds.vector, item_key).orderBy(F.xxhash64(item_key), item_key).limit(min(PIVOTS, max(1, ceil(n / self.block_rows)))).toPandas()
-        self.width = len(first[bounds.vector].iloc[0]) if len(first) else 1
-        self.pivots = _unit(first[bounds.vector], self.width)[0] if len(first) else np.zeros((1, 1))
-        placed = _stage(self._placed(items), "index-items")
-        self.items, self.blocks = self._cut(placed)
-
-    def _placed(self, items: DataFrame) -> DataFrame:
-        """Items with their nearest pivot, the angle to it and the norm."""
-        bounds, pivots, width = self.bounds, self.pivots, self.width
+class Search:
+    """Blocks of items (``items`` with a column ``_block``), a row of numbers for each, and an upper bound of a source's scores in them.
 
-        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for rows in batches:
-                unit, norm = _unit(rows[bounds.vector], width)
-                angle = _angles(unit, norm, pivots)
-                near = angle.argmin(axis=1)
-                yield rows.assign(_pivot=near.astype("int32"), _angle=angle[np.arange(len(rows)), near], _norm=np.where(norm > 0, 1.0, 0.0) if bounds.unit else norm)
+    Where ``blocks`` has a column ``first``, it is the smallest (numeric) id of the block, and bounds are exact.
+    """
 
-        extra = "_pivot int, _angle double, _norm double"
-        spec = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema], extra])
-        return items.mapInPandas(place, spec)
+    def __init__(self, items: DataFrame, blocks: pd.DataFrame, bound: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], key: str, block_rows: int):
+        self.items, self.blocks, self.bound, self.key, self.block_rows = items, blocks, bound, key, block_rows
 
-    def _cut(self, placed: DataFrame) -> tuple[DataFrame, pd.DataFrame]:
-        """Blocks of about ``block_rows``: neighbouring bands of a pivot together, a band of more rows by hash."""
-        band = F.floor(F.col("_angle") * (BANDS / np.pi)) if self.bounds.unit else F.floor(F.log2(F.greatest("_norm", F.lit(1e-12))) * 8)
-        placed = placed.withColumn("_band", band.cast("int"))
-        # Pivots and bands are few whatever the items are, so this table is small.
-        sizes = placed.groupBy("_pivot", "_band").agg(F.count(F.lit(1)).alias("_n"))
-        before = F.sum("_n").over(Window.partitionBy("_pivot").orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1))
-        cuts = sizes.select(F.col("_pivot").alias("_p"), F.col("_band").alias("_b"), F.floor(F.coalesce(before, F.lit(0)) / self.block_rows).alias("_group"),
-                            F.ceil(F.col("_n") / self.block_rows).alias("_parts"))
-        cells = placed.join(cuts, (F.col("_pivot") == F.col("_p")) & (F.col("_band") == F.col("_b"))).withColumn(
-            "_cell", F.struct("_pivot", "_group", F.when(F.col("_parts") > 1, F.col("_band")).alias("_wide"), F.pmod(F.xxhash64(self.key), F.col("_parts")).alias("_part")))
-        b = self.bounds
-        stats = {"lo": F.min("_angle"), "hi": F.max("_angle"), "nlo": F.min("_norm"), "nhi": F.max("_norm"), "size": F.count(F.lit(1))}
-        for name in {c for c, _ in b.same} | set(b.must):
-            stats[f"bits_{name}"] = F.bit_or(_bits(name))
-        for name in ({b.near[0]} if b.near else set()) | ({b.between[0]} if b.between else set()):
-            stats |= {f"min_{name}": F.min(F.col(name).cast("double")), f"max_{name}": F.max(F.col(name).cast("double"))}
-        blocks = cells.groupBy("_cell").agg(*[v.alias(k) for k, v in stats.items()]).select("_cell.*", *stats).toPandas()
-        blocks = blocks.sort_values(["_pivot", "_group", "_wide", "_part"]).reset_index(drop=True)
-        numbers = placed.sparkSession.createDataFrame([(int(r[0]), int(r[1]), None if pd.isna(r[2]) else int(r[2]), int(r[3]), i) for i, r in enumerate(blocks[["_pivot", "_group", "_wide", "_part"]].itertuples(index=False))],
-                                                      "p int, g bigint, w int, q bigint, _block int")
-        named = cells.join(numbers, (F.col("_cell._pivot") == F.col("p")) & (F.col("_cell._group") == F.col("g")) & F.col("_cell._wide").eqNullSafe(F.col("w")) & (F.col("_cell._part") == F.col("q")))
-        plain = [c for c in placed.columns if not c.startswith("_")]
-        return _stage(named.select("_block", *plain), "index-blocks"), blocks
-
-    def top_n(self, sources: DataFrame, score: Score, n: int, source_key: str = "source_id", visits: Visits | None = None) -> DataFrame:
+    def top_n(self, sources: DataFrame, score: Score, n: int, source_key: str = "source_id", visits: Visits | None = None, start: DataFrame | None = None) -> DataFrame:
         """(source, item, score, rank): the best ``n`` items of every source, ties by item.
 
         A source may ask for its own number in a column ``need``. ``score`` gives the matrix of a cell, -inf where a pair
-        does not count; it must not exceed what ``Bounds`` says.
+        does not count; it must not exceed what ``bound`` says. ``start``: scored pairs known already, which
+        count where they are better than what a cell says of the same pair.
         """
         key, n_blocks = self.key, len(self.blocks)
         visits = visits if visits is not None else Visits()
-        for name in {c for c, _ in self.bounds.same} | set(self.bounds.must):
-            sources = sources.withColumn(f"_bits_{name}", _bits(name))
         sources = sources.withColumn("_need", F.col("need").cast("int") if "need" in sources.columns else F.lit(n))
         kinds = {f.name: f.dataType.simpleString() for f in [*sources.schema, *self.items.schema]}
         count = sources.count()
@@ -189,7 +145,11 @@ class Index:
         visits.possible += count * n_blocks
         sources = _stage(sources.withColumn("_chunk", F.pmod(F.xxhash64(source_key), F.lit(chunks)).cast("int")), "index-sources")
         found = f"{source_key} {kinds[source_key]}, {key} {kinds[key]}, score double"
-        best, visited = sources.sparkSession.createDataFrame([], found), None
+        best = sources.sparkSession.createDataFrame([], found)
+        self._twice = start is not None
+        if start is not None:
+            best = _stage(self._kept(start.select(source_key, key, "score"), sources, source_key).drop("rank"), "index-best")
+        visited = None
         upto = min(FIRST, n_blocks)
         while n_blocks:
             wanted = self._wanted(sources, best, source_key, upto)
@@ -217,31 +177,97 @@ class Index:
 
     def _kept(self, best: DataFrame, sources: DataFrame, source_key: str) -> DataFrame:
         order = Window.partitionBy(source_key).orderBy(F.desc("score"), F.asc(self.key))
+        if self._twice:
+            best = best.groupBy(source_key, self.key).agg(F.max("score").alias("score"))
         ranked = best.join(sources.select(source_key, "_need"), source_key).withColumn("rank", F.row_number().over(order))
         return ranked.filter(F.col("rank") <= F.col("_need")).drop("_need")
 
     def _wanted(self, sources: DataFrame, best: DataFrame, source_key: str, upto: int) -> DataFrame:
         """(source, chunk, block): of the ``upto`` blocks of a source's best bounds, those that its n-th score does not rule out."""
         kind = sources.schema[source_key].dataType.simpleString()
-        state = best.groupBy(source_key).agg(F.count(F.lit(1)).alias("_have"), F.min("score").alias("_least"))
-        bounds, pivots, blocks = self.bounds, self.pivots, self.blocks
+        worst = F.max(F.struct((-F.col("score")).alias("score"), F.col(self.key).alias("item")))
+        state = best.groupBy(source_key).agg(F.count(F.lit(1)).alias("_have"), F.min("score").alias("_least"), worst["item"].alias("_last"))
+        bound_of, blocks = self.bound, self.blocks
         step = max(1, 2_000_000 // max(len(blocks), 1))
 
         def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for at in range(0, len(batch), step):
                     rows = batch.iloc[at : at + step]
-                    bound = upper_bounds(rows, bounds, pivots, blocks)
+                    bound = bound_of(rows, blocks)
                     enough = rows["_have"].fillna(0).to_numpy() >= rows["_need"].to_numpy()
                     least = np.where(enough, rows["_least"].to_numpy(dtype=float), -np.inf)
                     order = np.argsort(-bound, axis=1, kind="stable")[:, :upto]
                     own = np.take_along_axis(bound, order, axis=1)
-                    row, col = np.nonzero((own >= least[:, None]) & (own > -np.inf) & (rows["_need"].to_numpy() > 0)[:, None])
+                    reach = own >= least[:, None]
+                    if "first" in blocks:  # items of a block that only ties the n-th score come after it when all of their ids do
+                        last = rows["_last"].to_numpy(dtype=float)[:, None]
+                        reach &= (own > least[:, None]) | ~enough[:, None] | (blocks["first"].to_numpy(dtype=float)[order] < last)
+                    row, col = np.nonzero(reach & (own > -np.inf) & (rows["_need"].to_numpy() > 0)[:, None])
                     yield pd.DataFrame({source_key: rows[source_key].to_numpy()[row], "_chunk": rows["_chunk"].to_numpy()[row], "_block": order[row, col].astype("int32")})
 
         return sources.join(state, source_key, "left").mapInPandas(visit, f"{source_key} {kind}, _chunk int, _block int")
 
 
+class Index(Search):
+    """Blocks of an item table for one ``Bounds``; ``top_n`` may be asked again with other sources."""
+
+    def __init__(self, items: DataFrame, bounds: Bounds, item_key: str = "item_id", block_rows: int = BLOCK_ROWS):
+        self.bounds, self.key = bounds, item_key
+        n = items.count()
+        self.block_rows = max(block_rows, ceil(n / BLOCKS))
+        first = items.filter(F.col(bounds.vector).isNotNull()).select(bounds.vector, item_key).orderBy(F.xxhash64(item_key), item_key).limit(min(PIVOTS, max(1, ceil(n / self.block_rows)))).toPandas()
+        self.width = len(first[bounds.vector].iloc[0]) if len(first) else 1
+        self.pivots = _unit(first[bounds.vector], self.width)[0] if len(first) else np.zeros((1, 1))
+        placed = _stage(self._placed(items), "index-items")
+        super().__init__(*self._cut(placed), partial(upper_bounds, b=bounds, pivots=self.pivots), item_key, self.block_rows)
+
+    def _placed(self, items: DataFrame) -> DataFrame:
+        """Items with their nearest pivot, the angle to it and the norm."""
+        bounds, pivots, width = self.bounds, self.pivots, self.width
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                unit, norm = _unit(rows[bounds.vector], width)
+                angle = _angles(unit, norm, pivots)
+                near = angle.argmin(axis=1)
+                yield rows.assign(_pivot=near.astype("int32"), _angle=angle[np.arange(len(rows)), near], _norm=np.where(norm > 0, 1.0, 0.0) if bounds.unit else norm)
+
+        extra = "_pivot int, _angle double, _norm double"
+        spec = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema], extra])
+        return items.mapInPandas(place, spec)
+
+    def _cut(self, placed: DataFrame) -> tuple[DataFrame, pd.DataFrame]:
+        """Blocks of about ``block_rows``: neighbouring bands of a pivot together, a band of more rows by hash."""
+        band = F.floor(F.col("_angle") * (BANDS / np.pi)) if self.bounds.unit else F.floor(F.log2(F.greatest("_norm", F.lit(1e-12))) * 8)
+        placed = placed.withColumn("_band", band.cast("int"))
+        # Pivots and bands are few whatever the items are, so this table is small.
+        sizes = placed.groupBy("_pivot", "_band").agg(F.count(F.lit(1)).alias("_n"))
+        before = F.sum("_n").over(Window.partitionBy("_pivot").orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1))
+        cuts = sizes.select(F.col("_pivot").alias("_p"), F.col("_band").alias("_b"), F.floor(F.coalesce(before, F.lit(0)) / self.block_rows).alias("_group"),
+                            F.ceil(F.col("_n") / self.block_rows).alias("_parts"))
+        cells = placed.join(cuts, (F.col("_pivot") == F.col("_p")) & (F.col("_band") == F.col("_b"))).withColumn(
+            "_cell", F.struct("_pivot", "_group", F.when(F.col("_parts") > 1, F.col("_band")).alias("_wide"), F.pmod(F.xxhash64(self.key), F.col("_parts")).alias("_part")))
+        b = self.bounds
+        stats = {"lo": F.min("_angle"), "hi": F.max("_angle"), "nlo": F.min("_norm"), "nhi": F.max("_norm"), "size": F.count(F.lit(1))}
+        for name in {c for c, _ in b.same} | set(b.must):
+            stats[f"bits_{name}"] = F.bit_or(_bits(name))
+        for name in ({b.near[0]} if b.near else set()) | ({b.between[0]} if b.between else set()):
+            stats |= {f"min_{name}": F.min(F.col(name).cast("double")), f"max_{name}": F.max(F.col(name).cast("double"))}
+        blocks = cells.groupBy("_cell").agg(*[v.alias(k) for k, v in stats.items()]).select("_cell.*", *stats).toPandas()
+        blocks = blocks.sort_values(["_pivot", "_group", "_wide", "_part"]).reset_index(drop=True)
+        numbers = placed.sparkSession.createDataFrame([(int(r[0]), int(r[1]), None if pd.isna(r[2]) else int(r[2]), int(r[3]), i) for i, r in enumerate(blocks[["_pivot", "_group", "_wide", "_part"]].itertuples(index=False))],
+                                                      "p int, g bigint, w int, q bigint, _block int")
+        named = cells.join(numbers, (F.col("_cell._pivot") == F.col("p")) & (F.col("_cell._group") == F.col("g")) & F.col("_cell._wide").eqNullSafe(F.col("w")) & (F.col("_cell._part") == F.col("q")))
+        plain = [c for c in placed.columns if not c.startswith("_")]
+        return _stage(named.select("_block", *plain), "index-blocks"), blocks
+
+    def top_n(self, sources: DataFrame, score: Score, n: int, source_key: str = "source_id", visits: Visits | None = None, start: DataFrame | None = None) -> DataFrame:
+        for name in {c for c, _ in self.bounds.same} | set(self.bounds.must):
+            sources = sources.withColumn(f"_bits_{name}", _bits(name))
+        return super().top_n(sources, score, n, source_key, visits, start)
+
+
 def nearest(sources: DataFrame, items: DataFrame, score: Score, bounds: Bounds, n: int, source_key: str = "source_id", item_key: str = "item_id",
             block_rows: int = BLOCK_ROWS, visits: Visits | None = None) -> DataFrame:
     """Best ``n`` items per source. A few blocks of items are compared in full; more are indexed first, with the same result."""

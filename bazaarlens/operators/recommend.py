@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -244,29 +245,91 @@ def filtered(candidates: DataFrame, requests: DataFrame, catalogue: DataFrame |
     return j.filter(ok).select(*out.columns)
 
 
-def _need() -> Column:
-    """Most candidates a request without catalogue filters can use up."""
-    return F.col("limit") + F.coalesce(F.size("exclude_product_ids"), F.lit(0)) + F.coalesce(F.size("cart_product_ids"), F.lit(0)) + F.lit(1)
+def _need(times: int = 1) -> Column:
+    """Most candidates a request can use up: its limit, and its own exclusions."""
+    return F.col("limit") * times + F.coalesce(F.size("exclude_product_ids"), F.lit(0)) + F.coalesce(F.size("cart_product_ids"), F.lit(0)) + F.lit(1)
 
 
-def _popular_for(requests: DataFrame, popular: DataFrame, deepest: int) -> DataFrame:
-    """Popularity candidates of each request.
+#: Price blocks: 4**level cents wide, up to 4**15 cents; dearer items count as that dear. Level -1 holds all items.
+LEVELS, TOP_CENTS = 16, 4**15 - 1
 
-    A request without catalogue filters can need at most its limit plus its own
-    exclusions, so it meets only the head of its merchant's list (a join on
-    merchant and position); filtered requests meet the whole list.
+
+def postings(popular: DataFrame, catalogue: DataFrame | None, deepest: int) -> DataFrame:
+    """Head of every posting list: merchant, scope (any, stock), level, block of prices, position, item, score.
+
+    An item stands in the block of its price on each of 16 levels, and in the list of all items. Any range of prices is a
+    union of a few whole blocks, so the best of a range are among the heads of its blocks; no list is
+    read beyond ``deepest`` entries. Prices are whole cents.
+    """
+    items = popular.select("merchant_id", "item_id", "score")
+    if catalogue is not None:
+        items = items.join(catalogue.select("item_id", F.col("price").alias("_price"), F.col("is_in_stock").alias("_stock")), "item_id", "left")
+    else:
+        items = items.withColumns({"_price": F.lit(None).cast("double"), "_stock": F.lit(None).cast("boolean")})
+    cents = F.least(F.round(F.col("_price") * 100).cast("bigint"), F.lit(TOP_CENTS).cast("bigint"))
+    places = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("block")), *[F.struct(F.lit(k).alias("level"), F.floor(F.col("_cents") / 4**k).alias("block")) for k in range(LEVELS)])
+    scopes = F.when(F.coalesce("_stock", F.lit(False)), F.array(F.lit("any"), F.lit("stock"))).otherwise(F.array(F.lit("any")))
+    listed = items.withColumn("_cents", cents).select("merchant_id", "item_id", "score", F.explode(scopes).alias("scope"), "_cents").select(
+        "merchant_id", "item_id", "score", "scope", F.inline(places)).filter("block IS NOT NULL")
+    return top_k(listed, ["merchant_id", "scope", "level", "block"], [F.desc("score"), F.asc("item_id")], deepest, "_pos")
+
+
+def price_blocks(low: Column, high: Column) -> Column:
+    """Whole blocks (level, block) that make up the prices from ``low`` to ``high``: six to a level at most, fewer at most levels."""
+    lo = F.greatest(F.coalesce(F.ceil(F.round(low * 100, 4)), F.lit(0)), F.lit(0)).cast("bigint")
+    hi = F.least(F.coalesce(F.floor(F.round(high * 100, 4)), F.lit(TOP_CENTS)), F.lit(TOP_CENTS)).cast("bigint")
+    lo = F.least(lo, F.lit(TOP_CENTS).cast("bigint"))  # a dearer lower limit meets what counts as that dear
+
+    def inside(level: int) -> tuple[Column, Column]:
+        return F.ceil(lo / 4**level).cast("bigint"), (F.floor((hi + 1) / 4**level) - 1).cast("bigint")
+
+    def run(level: int, first: Column, last: Column) -> Column:
+        blocks = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(blocks, lambda b: F.struct(F.lit(level).alias("level"), b.alias("block")))
+    runs = []
+    for level in range(LEVELS):
+        first, last = inside(level)
+        if level == LEVELS - 1:
+            runs.append(run(level, first, last))
+            continue
+        up_first, up_last = inside(level + 1)
+        covered = up_first <= up_last
+        runs.append(run(level, first, F.when(covered, F.least(last, up_first * 4 - 1)).otherwise(last)))
+        runs.append(run(level, F.when(covered, F.greatest(first, up_last * 4 + 4)).otherwise(last + 1), last))
+    return F.concat(*runs)
+
+
+def popular_for(requests: DataFrame, popular: DataFrame, catalogue: DataFrame | None = None, deepest: int | None = None) -> DataFrame:
+    """(request, item, score): popularity candidates, at most the limit plus the request's exclusions of each block of its prices.
+
+    A request meets the heads of the posting lists that its merchant, price range and stock filter name, and nothing
+    else of its merchant's list.
     """
-    plain = F.col("price_min").isNull() & F.col("price_max").isNull() & ~F.coalesce("in_stock_only", F.lit(False))
-    ranked = top_k(popular, ["merchant_id"], [F.desc("score"), F.asc("item_id")], deepest, "_pos")
-    head = requests.filter(plain).select("request_id", "merchant_id", F.explode(F.sequence(F.lit(1), _need())).alias("_pos")).join(
-        ranked, ["merchant_id", "_pos"])
-    whole = requests.filter(~plain).select("request_id", "merchant_id").join(popular, "merchant_id")
-    return head.select("request_id", "item_id", "score").unionByName(whole.select("request_id", "item_id", "score"))
+    deepest = deepest if deepest is not None else requests.agg(F.max(_need())).first()[0] or 0
+    if catalogue is None:
+        scope, blocks = F.lit("any"), None
+    else:
+        scope = F.when(F.coalesce("in_stock_only", F.lit(False)), "stock").otherwise("any")
+        blocks = F.when(F.col("price_min").isNotNull() | F.col("price_max").isNotNull(), price_blocks(F.col("price_min"), F.col("price_max")))
+    every = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("block")))
+    wanted = requests.select("request_id", "merchant_id", scope.alias("scope"), _need().alias("_need"), F.inline(F.coalesce(blocks, every) if blocks is not None else every))
+    heads = postings(popular, catalogue, deepest)
+    met = wanted.join(heads, ["merchant_id", "scope", "level", "block"]).filter(F.col("_pos") <= F.col("_need"))
+    return met.select("request_id", "item_id", "score")
+
+
+def _served(candidates: DataFrame, plan: DataFrame, catalogue: DataFrame | None, widest: int, model_version: str) -> DataFrame:
+    """Filters, and the best ``limit`` candidates of each request."""
+    kept = filtered(candidates, plan, catalogue)
+    # The widest limit is a constant, so the cap is applied before the shuffle as well.
+    ranked = top_k(kept, ["request_id"], [F.desc("score"), F.asc("item_id")], widest)
+    return ranked.join(plan.select("request_id", "placement", "strategy", F.col("limit").alias("_limit")), "request_id").filter(
+        F.col("rank") <= F.col("_limit")).drop("_limit").withColumn("model_version", F.lit(model_version))
 
 
 def batch(requests: DataFrame, collaborative: DataFrame, content: DataFrame, popular: DataFrame, counts: DataFrame,
           catalogue: DataFrame | None = None, model_version: str = "v1", minimum: int = MIN_SERVE) -> DataFrame:
-    """Recommendations of a request table in one job.
+    """Recommendations of a request table in one job, from given lists.
 
     ``collaborative`` is (user, item, score), ``content`` (source product, item,
     score), ``popular`` (merchant, item, score), ``counts`` (user, interactions).
@@ -277,12 +340,67 @@ def batch(requests: DataFrame, collaborative: DataFrame, content: DataFrame, pop
     by_user = lambda r: r.select("request_id", "user_id").join(collaborative, "user_id").select("request_id", "item_id", "score")
     by_item = lambda r: r.select("request_id", F.col("source_product_id")).join(content, "source_product_id").select("request_id", "item_id", "score")
     candidates = by_user(of("collaborative")).unionByName(by_item(of("content_based"))).unionByName(
-        blend(by_user(of("hybrid")), by_item(of("hybrid")))).unionByName(_popular_for(of("popularity"), popular, widest["need"] or 0))
-    kept = filtered(candidates, plan, catalogue)
-    # The widest limit is a constant, so the cap is applied before the shuffle as well.
-    ranked = top_k(kept, ["request_id"], [F.desc("score"), F.asc("item_id")], widest["limit"] or 0)
-    return ranked.join(plan.select("request_id", "placement", "strategy", F.col("limit").alias("_limit")), "request_id").filter(
-        F.col("rank") <= F.col("_limit")).drop("_limit").withColumn("model_version", F.lit(model_version))
+        blend(by_user(of("hybrid")), by_item(of("hybrid")))).unionByName(popular_for(of("popularity"), popular, catalogue, widest["need"] or 0))
+    return _served(candidates, plan, catalogue, widest["limit"] or 0, model_version)
+
+
+def _under_filters(score):
+    """A cell's scores without the pairs that the request's price range or stock filter rules out."""
+    def masked(left, right):
+        out = score(left, right)
+        price = right["price"].to_numpy(dtype=float)[None, :]
+        low, high = (left[c].to_numpy(dtype=float)[:, None] for c in ("price_min", "price_max"))
+        with np.errstate(invalid="ignore"):
+            out[((low == low) & ~(price >= low)) | ((high == high) & ~(price <= high))] = -np.inf
+        asked = left["stock"].notna().to_numpy()[:, None]
+        out[asked & (right["stock"].to_numpy()[None, :] != "yes")] = -np.inf
+        return out
+    return masked
+
+
+def model_lists(plan: DataFrame, factors: Factors, items: DataFrame, catalogue: DataFrame, **search) -> tuple[DataFrame, DataFrame]:
+    """Collaborative and content candidates (request, item, score) of every request that can have them.
+
+    Each request is a source of its own in an exact search under its own price range and stock filter: by inner
+    product with the fitted factors of its user, and by content similarity to its source product. It is asked for its
+    limit and exclusions, twice the limit where two lists are blended, so no more candidates are made than can be
+    used. An unknown user or source product has no list. ``items``: item_id, category, brand, price, embedding.
+    """
+    from .neighbours import Bounds, nearest
+    from .similarity import content_score, dot_score, price_stats, with_price_z
+    stock = lambda c: F.when(F.coalesce(c, F.lit(False)), F.lit("yes"))
+    asked = plan.select("request_id", "user_id", "source_product_id", F.col("price_min").cast("double").alias("price_min"), F.col("price_max").cast("double").alias("price_max"),
+                        stock(F.col("in_stock_only")).alias("stock"), "strategy", _need(2).cast("int").alias("need"))
+    shop = catalogue.select("item_id", F.col("price").cast("double").alias("price"), F.coalesce(stock(F.col("is_in_stock")), F.lit("no")).alias("stock"))
+    limits = {"must": ("stock",), "between": ("price", "price_min", "price_max")}
+    users = factors.userFactors.select(F.col("id").alias("user_id"), F.col("features").alias("source_vector"))
+    known = factors.itemFactors.select(F.col("id").alias("item_id"), F.col("features").alias("vector")).join(shop, "item_id", "left")
+    sources = asked.filter(F.col("strategy").isin("collaborative", "hybrid")).join(users, "user_id").drop("user_id", "source_product_id", "strategy")
+    collaborative = nearest(sources, known, _under_filters(dot_score()), Bounds("vector", "source_vector", unit=False, **limits), 0, "request_id", **search)
+    ready = with_price_z(items, price_stats(items)).select("item_id", "category", "brand", "price_z", "embedding")
+    like = asked.filter(F.col("strategy").isin("content_based", "hybrid")).join(ready.withColumnRenamed("item_id", "source_id"), F.col("source_product_id") == F.col("source_id"))
+    weights = (0.5, 0.2, 0.15, 0.15)
+    bounds = Bounds(weight=weights[0], same=(("category", weights[1]), ("brand", weights[2])), near=("price_z", weights[3]), **limits)
+    content = nearest(like.drop("user_id", "source_product_id", "strategy"), ready.join(shop, "item_id", "left"), _under_filters(content_score(weights)), bounds, 0, "request_id", **search)
+    return collaborative.drop("rank"), content.drop("rank")
+
+
+def batch_from_models(requests: DataFrame, factors: Factors, items: DataFrame, popular: DataFrame, counts: DataFrame, catalogue: DataFrame,
+                      model_version: str = "v1", minimum: int = MIN_SERVE, **search) -> DataFrame:
+    """Recommendations of a request table made from the models: fitted factors, content similarity, popularity.
+
+    As ``batch``, but the lists are searched for each request (``model_lists``). A hybrid request blends lists of twice its
+    limit plus its exclusions.
+    """
+    widest = requests.agg(F.max("limit").alias("limit"), F.max(_need()).alias("need")).first()
+    plan = with_fallback(requests.withColumn("strategy", strategy()), counts, minimum)
+    collaborative, content = model_lists(plan, factors, items, catalogue, **search)
+    hybrid = plan.filter("strategy = 'hybrid'").select("request_id")
+    one = lambda rows: rows.join(hybrid, "request_id", "left_anti").select("request_id", "item_id", "score")
+    two = lambda rows: rows.join(hybrid, "request_id", "left_semi").select("request_id", "item_id", "score")
+    popularity = popular_for(plan.filter("strategy = 'popularity'"), popular, catalogue, widest["need"] or 0)
+    candidates = one(collaborative).unionByName(one(content)).unionByName(blend(two(collaborative), two(content))).unionByName(popularity)
+    return _served(candidates, plan, catalogue, widest["limit"] or 0, model_version)
 
 
 def ab_assignment(user: Column | str, control: str, treatment: str, split: float | None) -> Column:

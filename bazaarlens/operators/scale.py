@@ -128,36 +128,37 @@ def sessionize(
 
 def asof_latest(
     left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str,
-    payload: Sequence[str], tie: str, slot_minutes: int = 60,
+    payload: Sequence[str], tie: str, slot_minutes: int = 60, piece_rows: int = 1 << 16,
 ) -> DataFrame:
     """Latest ``right`` row at or before each ``left`` row of the same key.
 
-    Both sides are cut into (key, slot) pieces. Inside a piece a running maximum
-    carries the latest touch; the last touch of each piece is carried over later
-    pieces in a table with one row per (key, slot), joined back on both columns.
-    A touch at the same instant counts; ties go to the greatest ``tie``.
+    Only instants are ordered: touches of one (key, instant) are reduced to the greatest ``tie`` and left rows to
+    their distinct instants, both map-side. Time is cut into pieces of ``slot_minutes``, and a piece of a key with
+    more than ``piece_rows`` rows is cut further, in proportion, so one key's busy hour is many tasks. Inside a
+    piece a running maximum carries the latest touch; the last touch of each piece is carried over later pieces in a
+    table with one row per piece. The outcome joins back on (key, instant), which is unique on its side.
+
+    A touch at the same instant counts. A row without key or time has no touch.
     """
     unit = slot_minutes * 60_000_000
-    def slot(c: str) -> Column:
-        return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(unit))
-    touch = F.struct(F.col(right_ts).alias("at"), F.col(tie).alias("tie"), *[F.col(p).alias(p) for p in payload])
-    touches = right.filter(F.col(right_ts).isNotNull()).select(
-        F.col(key), slot(right_ts).alias("_slot"), F.col(right_ts).alias("_at"),
-        F.lit(0).alias("_side"), touch.alias("_touch"))
-    rows = left.withColumns({"_slot": slot(left_ts), "_at": F.col(left_ts), "_side": F.lit(1)})
-    names = left.columns
-    both = rows.select(F.struct(*names).alias("_row"), F.col(key), "_slot", "_at", "_side").unionByName(
-        touches, allowMissingColumns=True)
-    inside = Window.partitionBy(key, "_slot").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("_here", F.max("_touch").over(inside)).filter(F.col("_side") == 1)
-    # Last touch of every earlier piece, per (key, slot) that holds left or right rows.
-    ends = touches.groupBy(key, "_slot").agg(F.max("_touch").alias("_end"))
-    marks = ends.unionByName(
-        rows.select(key, "_slot").distinct(), allowMissingColumns=True
-    ).groupBy(key, "_slot").agg(F.max("_end").alias("_end"))
-    before = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    marks = marks.select(key, "_slot", F.max("_end").over(before).alias("_earlier"))
-    found = F.coalesce(F.col("_here"), F.col("_earlier"))
-    return carried.join(marks, [key, "_slot"], "left").select(
-        *[F.col("_row")[n].alias(n) for n in names],
-        found["at"].alias("touch_at"), *[found[p].alias(p) for p in payload])
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    touches = right.filter(F.col(right_ts).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(right_ts).alias("_at"), F.struct(F.col(tie).alias("tie"), *[F.col(p).alias(p) for p in payload]).alias("_touch"))
+    instants = left.filter(F.col(left_ts).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(left_ts).alias("_at"))
+    slot = F.floor(micros("_at") / F.lit(unit))
+    sizes = touches.select("_key", slot.alias("_slot")).unionByName(instants.select("_key", slot.alias("_slot"))).groupBy("_key", "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    busy = sizes.filter(F.col("_n") > piece_rows).select(F.col("_key").alias("_k"), F.col("_slot").alias("_s"), F.least(F.ceil(F.col("_n") / piece_rows) * 4, F.lit(1 << 16)).alias("_parts"))
+    reduced = touches.groupBy("_key", "_at").agg(F.max("_touch").alias("_touch"))
+    both = reduced.select("_key", "_at", F.lit(0).alias("_side"), F.struct(F.col("_at").alias("at"), *[F.col(f"_touch.{n}").alias(n) for n in ("tie", *payload)]).alias("_touch")).unionByName(
+        instants.distinct().withColumn("_side", F.lit(1)), allowMissingColumns=True).withColumn("_slot", slot)
+    both = both.join(busy, (F.col("_key") == F.col("_k")) & (F.col("_slot") == F.col("_s")), "left")
+    within = F.floor((micros("_at") - F.col("_slot") * unit) * F.coalesce("_parts", F.lit(1)) / F.lit(unit))
+    both = both.withColumn("_piece", F.col("_slot") * (1 << 16) + within).select("_key", "_at", "_side", "_touch", "_piece")
+    inside = Window.partitionBy("_key", "_piece").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    here = both.withColumn("_here", F.max("_touch").over(inside))
+    # Last touch of every earlier piece, per piece that holds left or right rows.
+    ends = both.groupBy("_key", "_piece").agg(F.max("_touch").alias("_end"))
+    before = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    marks = ends.select(F.col("_key").alias("_k"), F.col("_piece").alias("_p"), F.max("_end").over(before).alias("_earlier"))
+    found = here.filter("_side = 1").join(marks, (F.col("_key") == F.col("_k")) & (F.col("_piece") == F.col("_p")), "left").select("_key", "_at", F.coalesce("_here", "_earlier").alias("_found"))
+    return left.join(found, (F.col(key) == F.col("_key")) & (F.col(left_ts) == F.col("_at")), "left").select(
+        *[left[n] for n in left.columns], F.col("_found.at").alias("touch_at"), *[F.col(f"_found.{p}").alias(p) for p in payload])

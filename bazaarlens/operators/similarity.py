@@ -197,16 +197,6 @@ def bought_together(baskets: DataFrame, anchors: DataFrame) -> DataFrame:
     return left.join(right, "order_id").filter(F.col("item_id") != F.col("other_id")).groupBy("item_id", "other_id").agg(F.count(F.lit(1)).alias("together"))
 
 
-def item_item(baskets: DataFrame, anchors: DataFrame, n: int = 10) -> DataFrame:
-    """Nearest items by cosine over co-purchases: together / sqrt(orders * orders)."""
-    freq = baskets.select("order_id", "item_id").distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("_f"))
-    pairs = bought_together(baskets, anchors)
-    other = freq.select(F.col("item_id").alias("other_id"), F.col("_f").alias("_g"))
-    scored = pairs.join(freq, "item_id").join(other, "other_id").withColumn(
-        "score", F.col("together") / F.sqrt(F.col("_f").cast("double") * F.col("_g")))
-    return top_k(scored.drop("_f", "_g"), ["item_id"], [F.desc("score"), F.asc("other_id")], n)
-
-
 def complete_carts(carts: DataFrame, baskets: DataFrame, n: int = 10) -> DataFrame:
     """Items most often bought with the items of each cart (``cart_id, item_id``)."""
     pairs = bought_together(baskets, carts)

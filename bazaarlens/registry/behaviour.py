@@ -490,6 +490,20 @@ def _(spark, root):
     return MX.recommendation_ctr(E.raw_payloads(spark, root))
 
 
+@query("mx18_recommendation_revenue", "placement:s strategy:s impressions:i clicks:i ctr:r attributed_orders:i attributed_revenue:m",
+       """SELECT r.*, coalesce(a.n, 0) AS attributed_orders, coalesce(a.revenue, 0) AS attributed_revenue FROM (
+            SELECT *, CASE WHEN impressions > 0 THEN CAST(clicks AS DOUBLE) / impressions ELSE 0 END AS ctr FROM (
+              SELECT json_extract_string(properties, '$.placement') AS placement, json_extract_string(properties, '$.strategy') AS strategy,
+                sum(CASE WHEN event_type = 'recommendation_view' THEN json_array_length(properties, '$.product_ids') ELSE 0 END) AS impressions, count(*) FILTER (event_type = 'recommendation_click') AS clicks
+              FROM payload WHERE event_type IN ('recommendation_view','recommendation_click') GROUP BY 1, 2)) r
+          LEFT JOIN (SELECT json_extract_string(c.properties, '$.placement') AS placement, json_extract_string(c.properties, '$.strategy') AS strategy, count(*) AS n, sum(p.revenue) AS revenue
+            FROM (SELECT user_id, received_at, TRY_CAST(json_extract_string(properties, '$.revenue') AS DECIMAL(12,2)) AS revenue FROM payload WHERE event_type = 'purchase' AND user_id IS NOT NULL) p,
+              LATERAL (SELECT properties, received_at FROM payload q WHERE q.user_id = p.user_id AND q.event_type = 'recommendation_click' AND q.received_at <= p.received_at ORDER BY q.received_at DESC, q.event_id DESC LIMIT 1) c
+            WHERE p.revenue > 0 AND c.received_at >= p.received_at - INTERVAL 720 HOUR GROUP BY 1, 2) a USING (placement, strategy)""", (Q.PAYLOADS,))
+def _(spark, root):
+    return MX.recommendation_revenue(E.raw_payloads(spark, root), hours=720)
+
+
 @query("mx19_search_ctr", "query:s searches:i clicks:i avg_click_position:r ctr:r",
        """SELECT *, CASE WHEN searches > 0 THEN CAST(clicks AS DOUBLE) / searches ELSE 0 END AS ctr FROM (
           SELECT json_extract_string(properties, '$.query') AS query, count(*) FILTER (event_type = 'search') AS searches, count(*) FILTER (event_type = 'search_click') AS clicks,

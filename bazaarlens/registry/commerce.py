@@ -51,10 +51,9 @@ def _(spark, root):
 
 
 @query("jn03_items_of_orders", "order_id:i product_id:i quantity:i line_subtotal:m",
-       "SELECT order_id, product_id, quantity, line_subtotal FROM items WHERE created_at >= DATE '2001-01-01'", (Q.ITEMS,))
+       "SELECT order_id, product_id, quantity, line_subtotal FROM items WHERE order_id IN (SELECT order_id FROM ord)", (Q.ITEMS,))
 def _(spark, root):
-    recent = E.raw_orders(spark, root).filter(F.col("created_at") >= F.lit("2001-01-01").cast("date"))
-    return O.items_of(E.raw_items(spark, root), recent)
+    return O.items_of(E.raw_items(spark, root), E.raw_orders(spark, root))
 
 
 SEQUENCE = """sequence AS (
@@ -561,10 +560,12 @@ def _(spark, root):
     return marts.merchant_tiers(_daily(spark, root), M.tier_table(spark), ASOF)
 
 
-@query("pr31_merchant_tier_bases", "merchant_id:i gmv_12m:m tier_annual:s tier_monthly:s tier_mtd:s",
-       f"SELECT *, {MTIER_SQL.format('gmv_12m')} AS tier_annual, {MTIER_SQL.format('gmv_12m / 12.0')} AS tier_monthly, {MTIER_SQL.format('gmv_12m')} AS tier_mtd FROM trail", (*DAILY_CTES, TRAIL))
+@query("pr31_merchant_tier_bases", "merchant_id:i gmv_12m:m gmv_mtd:m tier_annual:s tier_monthly:s tier_mtd:s",
+       f"""SELECT *, {MTIER_SQL.format('gmv_12m')} AS tier_annual, {MTIER_SQL.format('gmv_12m / 12.0')} AS tier_monthly, {MTIER_SQL.format('gmv_mtd')} AS tier_mtd FROM (
+           SELECT merchant_id, sum(CASE WHEN order_date >= DATE '{ASOF}' - INTERVAL 12 MONTH THEN total_gmv ELSE 0 END) AS gmv_12m,
+             sum(CASE WHEN order_date >= date_trunc('month', DATE '{ASOF}') THEN total_gmv ELSE 0 END) AS gmv_mtd FROM daily WHERE order_date <= DATE '{ASOF}' GROUP BY 1)""", DAILY_CTES)
 def _(spark, root):
-    return M.tier_variants(D.trailing_gmv(_daily(spark, root), ASOF))
+    return M.tier_variants(D.merchant_to_date(_daily(spark, root), ASOF))
 
 
 @query("pr32_tier_attributes", "merchant_id:i merchant_name:s merchant_tier:s sla:r rate_multiplier:i take_rate:r",
@@ -584,10 +585,18 @@ def _(spark, root):
        f"""SELECT merchant_id, {MTIER_SQL.format('g')} AS tier, next_tier, need - CAST(g AS DOUBLE) AS gmv_to_next_tier, CAST(g AS DOUBLE) / need * 100 AS progress_pct FROM (
            SELECT merchant_id, g, CASE WHEN g < 100000 THEN 'silver' WHEN g < 500000 THEN 'gold' WHEN g < 2000000 THEN 'platinum' END AS next_tier,
              CAST(CASE WHEN g < 100000 THEN 100000 WHEN g < 500000 THEN 500000 WHEN g < 2000000 THEN 2000000 END AS DOUBLE) AS need
-           FROM (SELECT merchant_id, sum(total_gmv) AS g FROM daily WHERE order_date >= DATE '2001-07-01' GROUP BY 1))""", DAILY_CTES)
+           FROM (SELECT merchant_id, gmv_12m AS g FROM trail))""", (*DAILY_CTES, TRAIL))
 def _(spark, root):
-    month = _daily(spark, root).filter(F.col("order_date") >= F.lit("2001-07-01").cast("date"))
-    return M.tier_progress(month.groupBy("merchant_id").agg(F.sum("total_gmv").alias("gmv_12m")))
+    return M.tier_progress(D.trailing_gmv(_daily(spark, root), ASOF))
+
+
+@query("pr34_monthly_tier_progress", "merchant_id:i tier:s next_tier:s gmv_to_next_tier:r4 progress_pct:r6",
+       f"""SELECT merchant_id, {MTIER_SQL.format('g')} AS tier, next_tier, need - CAST(g AS DOUBLE) AS gmv_to_next_tier, CAST(g AS DOUBLE) / need * 100 AS progress_pct FROM (
+           SELECT merchant_id, g, CASE WHEN g < 100000 THEN 'silver' WHEN g < 500000 THEN 'gold' WHEN g < 2000000 THEN 'platinum' END AS next_tier,
+             CAST(CASE WHEN g < 100000 THEN 100000 WHEN g < 500000 THEN 500000 WHEN g < 2000000 THEN 2000000 END AS DOUBLE) AS need
+           FROM (SELECT merchant_id, sum(CASE WHEN order_date >= date_trunc('month', DATE '{ASOF}') THEN total_gmv ELSE 0 END) AS g FROM daily WHERE order_date <= DATE '{ASOF}' GROUP BY 1))""", DAILY_CTES)
+def _(spark, root):
+    return M.tier_progress(D.merchant_to_date(_daily(spark, root), ASOF), "gmv_mtd")
 
 
 @query("wn10_tier_history", "merchant_id:i tier:s valid_from:d valid_to:d months:i",

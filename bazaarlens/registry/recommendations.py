@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import copurchase as CP
 from ..operators import neighbours as NB
 from ..operators import products as P
 from ..operators import recommend as RC
@@ -104,6 +105,27 @@ def _(spark, root):
     return RC.recommend(f, f, E.customers(spark, root).select(F.col("customer_id").alias("user_id")), 10, seen)
 
 
+@query("rc06_fitted_pair_scores", "user_id:i item_id:i score:r4")
+def _(spark, root):
+    """Scores of the fitted model for every observed pair."""
+    m = _model(spark, root, rank=16, iterations=5)
+    return RC.score_pairs(_inter(spark, root).select("user_id", "item_id"), m.userFactors, m.itemFactors)
+
+
+@query("rc07_fitted_recommendations", "user_id:i item_id:i rank:i score:r4")
+def _(spark, root):
+    """Best ten unseen items of the fitted model for all customers with interactions."""
+    m, seen = _model(spark, root, rank=16, iterations=5), _inter(spark, root).filter("weight >= 5").select("user_id", "item_id")
+    return RC.recommend(m.userFactors, m.itemFactors, E.customers(spark, root).select(F.col("customer_id").alias("user_id")), 10, seen)
+
+
+@query("rc08_fitted_similar_items", "source_id:i item_id:i score:r4 rank:i")
+def _(spark, root):
+    """Nearest items by the cosine of their fitted factors."""
+    v = RC.embeddings(_model(spark, root, rank=16, iterations=5).itemFactors)
+    return NB.nearest(v.withColumnRenamed("item_id", "source_id"), v, SIM.cosine_score(), NB.Bounds(), 10)
+
+
 @query("rc08_similar_by_factors", "source_id:i item_id:i score:r4 rank:i",
        """SELECT * FROM (SELECT a.vec_id AS source_id, b.vec_id AS item_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score,
             row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank
@@ -205,7 +227,20 @@ def _baskets(spark, root):
           FROM pairs p JOIN freq a ON p.item_id = a.item_id JOIN freq b ON other_id = b.item_id) WHERE rank <= 10""", (PAIRS,))
 def _(spark, root):
     b = _baskets(spark, root)
-    return SIM.item_item(b, b, 10)
+    return CP.item_item(b, b, 10)
+
+
+@query("rc22_wide_baskets", "item_id:i other_id:i together:i score:r6 rank:i",
+       """SELECT * FROM (SELECT p.item_id, other_id, together, together / sqrt(CAST(a.f AS DOUBLE) * b.f) AS score,
+            row_number() OVER (PARTITION BY p.item_id ORDER BY together / sqrt(CAST(a.f AS DOUBLE) * b.f) DESC, other_id) AS rank
+          FROM (SELECT a.item_id, b.item_id AS other_id, count(*) AS together FROM wide a JOIN wide b ON a.order_id = b.order_id AND a.item_id <> b.item_id GROUP BY 1, 2) p
+            JOIN (SELECT item_id, count(*) AS f FROM wide GROUP BY 1) a ON p.item_id = a.item_id JOIN (SELECT item_id, count(*) AS f FROM wide GROUP BY 1) b ON other_id = b.item_id) WHERE rank <= 10""",
+       ("""wide AS (SELECT DISTINCT CASE WHEN l_orderkey % 10 < 3 THEN l_orderkey % 10 ELSE l_orderkey + 10 END AS order_id, l_partkey AS item_id FROM lineitem)""",))
+def _(spark, root):
+    """As rc22, where three orders hold three tenths of all lines."""
+    o = F.col("order_id")
+    b = _baskets(spark, root).select(F.when(o % 10 < 3, o % 10).otherwise(o + 10).alias("order_id"), "item_id")
+    return CP.item_item(b, b, 10)
 
 
 CARTS = """carts AS (SELECT DISTINCT customer_id AS cart_id, product_id AS item_id FROM items JOIN (
@@ -299,6 +334,13 @@ def _(spark, root):
     return RC.batch(_requests(spark, root), coll, content, popular, _counts(spark, root), _catalogue(spark, root), minimum=40)
 
 
+@query("jb18_model_recommendations", "request_id:i item_id:i score:r6 rank:i placement:s strategy:s")
+def _(spark, root):
+    """Requests served from the fitted factors, content similarity and popularity."""
+    popular = _lists(spark, root)[2]
+    return RC.batch_from_models(_requests(spark, root), _model(spark, root, rank=16, iterations=5), _content(spark, root), popular, _counts(spark, root), _catalogue(spark, root), minimum=40)
+
+
 @query("rc18_hybrid_blend", "request_id:i item_id:i score:r6", "SELECT * FROM hyb", SERVE)
 @query("jn19_hybrid_full_outer", "request_id:i item_id:i score:r6", "SELECT * FROM hyb", SERVE)
 def _(spark, root):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ..session import scratch
@@ -168,6 +171,30 @@ def _(spark, root):
     return _run(_event_stream(spark, root).select("event_id", "event_type"), spark, "io15").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("io15_stream_positions", "start:s event_type:s n:i",
+       """SELECT start, event_type, count(*) AS n FROM events, (SELECT unnest(['earliest', 'latest', 'time']) AS start)
+          WHERE start = 'earliest' OR event_id % 3 > 0 GROUP BY 1, 2""")
+def _(spark, root):
+    """Three streams over one folder: the first third of the events is there before two of them start, the last arrives between two runs of each."""
+    base = scratch(spark, "io15p")
+    e = E.table(spark, root, "events").select("event_id", "event_type")
+    write = lambda k: e.filter(F.col("event_id") % 3 == k).write.mode("append").parquet(f"{base}/in")
+    write(0)
+    time.sleep(0.05)
+    starts = {"earliest": "earliest", "latest": "latest", "time": datetime.now()}
+    time.sleep(0.05)
+    out = None
+    for k in (1, 2):
+        streams = {name: CX.from_position(spark, f"{base}/in", e.schema, start, f"{base}/{name}/start") for name, start in starts.items()}
+        write(k)
+        for name, stream in streams.items():
+            stream.writeStream.format("parquet").option("path", f"{base}/{name}/out").option("checkpointLocation", f"{base}/{name}/cp").trigger(availableNow=True).start().awaitTermination()
+    for name in starts:
+        rows = spark.read.schema(e.schema).parquet(f"{base}/{name}/out").select(F.lit(name).alias("start"), "event_type")
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("start", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("st03_deduplicated_stream", "event_type:s n:i", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def _(spark, root):
     twice = scratch(spark, "st03in")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,29 @@ def from_stream(spark: SparkSession, path: str, schema: StructType | str, file_f
     return reader.load(path)
 
 
+def from_position(spark: SparkSession, path: str, schema: StructType | str, start: str | datetime, position: str, file_format: str = "parquet",
+                  max_files_per_trigger: int | None = None) -> DataFrame:
+    """Stream extract from ``earliest``, from ``latest`` (what arrives after this call) or from a time (files written then or later).
+
+    The start is settled once and kept in the folder ``position``, next to the query's checkpoint: a restart with
+    ``latest`` goes on from where the first start was, so nothing that arrived in between is lost. Positions inside
+    the stream are the checkpoint's. Files that are too old are left out by their modification time, before
+    they are read. The folder has to exist.
+    """
+    if isinstance(start, str) and start not in ("earliest", "latest"):
+        raise ValueError(f"start is 'earliest', 'latest' or a time, not {start!r}")
+    written = F.col("_metadata.file_modification_time")
+    after = F.lit(None).cast("timestamp")
+    if start == "latest":
+        there = spark.read.schema(schema).format(file_format).load(path).agg(F.max(written).alias("after"))
+    else:
+        there = spark.range(1).select(after.alias("after") if start == "earliest" else (F.lit(start).cast("timestamp") - F.expr("INTERVAL 1 MICROSECOND")).alias("after"))
+    there.coalesce(1).write.mode("ignore").parquet(position)
+    settled = spark.read.schema("after timestamp").parquet(position).first()["after"]
+    stream = from_stream(spark, path, schema, file_format, max_files_per_trigger)
+    return stream if settled is None else stream.filter(written > F.lit(settled))
+
+
 def slice_rows(df: DataFrame, order: Sequence[Column], offset: int = 0, limit: int | None = None) -> DataFrame:
     """``offset`` / ``limit`` over an explicit order."""
     out = df.orderBy(*order)

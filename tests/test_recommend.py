@@ -145,3 +145,91 @@ def test_usage_number_across_days(spark):
     assert rows(PM.within_usage(df, promotions), "order_id", "use_number") == [(i, i + 1) for i in range(5)]
     free = df.withColumn("total_usage_limit", F.lit(None).cast("int"))
     assert rows(PM.within_usage(free, promotions), "order_id", "use_number") == [(i, None) for i in range(6)]
+
+
+def test_price_blocks_are_the_range_exactly(spark):
+    import random
+    rnd = random.Random(3)
+    ranges = [(None, 5.0), (0.0, 0.0), (0.01, 0.01), (3.0, 2.0), (7.5, None), (0.03, 4.17), (1.0, 9999999.0), (99999999.0, None)] + [tuple(sorted((rnd.randint(0, 3000) / 100, rnd.randint(0, 3000) / 100))) for _ in range(60)]
+    df = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(ranges)], "i int, lo double, hi double")
+    got = {r["i"]: [(b["level"], b["block"]) for b in r["b"]] for r in df.select("i", RC.price_blocks(F.col("lo"), F.col("hi")).alias("b")).collect()}
+    for i, (lo, hi) in enumerate(ranges):
+        low = 0 if lo is None else min(round(lo * 100), RC.TOP_CENTS)
+        high = RC.TOP_CENTS if hi is None else min(round(hi * 100), RC.TOP_CENTS)
+        spans = sorted((b * 4**k, (b + 1) * 4**k - 1) for k, b in got[i])
+        if low > high:
+            assert not spans
+            continue
+        assert spans[0][0] == low and spans[-1][1] == high
+        assert all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:])) and len(spans) <= 6 * RC.LEVELS
+
+
+def test_posting_lists_serve_filtered_requests(spark):
+    rng = np.random.default_rng(4)
+    popular = [(int(m), int(i), float(s)) for m in (1, 2) for i, s in zip(range(400), rng.integers(0, 50, 400))]
+    shop = [(i, None if i % 37 == 0 else float(rng.integers(0, 5000)) / 100, bool(rng.random() < 0.5)) for i in range(390)]
+    asks = [(r, 1 + r % 2, "email", None, None, None, [int(x) for x in rng.integers(0, 400, 3)], 1 + r % 7, None if r % 3 == 0 else float(rng.integers(0, 4000)) / 100,
+             None if r % 4 == 0 else float(rng.integers(1000, 5000)) / 100, r % 5 == 0) for r in range(80)]
+    requests = spark.createDataFrame(asks, REQUESTS)
+    lists = spark.createDataFrame(popular, "merchant_id int, item_id long, score double")
+    catalogue = spark.createDataFrame(shop, "item_id long, price double, is_in_stock boolean")
+    found = RC.popular_for(requests, lists, catalogue)
+    most = {r[0]: r[7] + len(r[6]) + 1 for r in asks}
+    assert max(n for n in (x["count"] for x in found.groupBy("request_id").count().collect())) <= max(most.values()) * 6 * RC.LEVELS
+    empty = spark.createDataFrame([], "user_id int, item_id long, score double")
+    out = RC.batch(requests, empty, empty.withColumnRenamed("user_id", "source_product_id"), lists, spark.createDataFrame([], "user_id int, interactions int"), catalogue)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.request_id, []).append((r["rank"], r.item_id, r.score))
+    price, stock = {i: p for i, p, _ in shop}, {i: s for i, _, s in shop}
+    for r, m, _, _, _, _, excluded, limit, low, high, only in asks:
+        fits = [(-s, i) for x, i, s in popular if x == m and i not in excluded and (low is None or (price.get(i) is not None and price[i] >= low))
+                and (high is None or (price.get(i) is not None and price[i] <= high)) and (not only or stock.get(i, False))]
+        assert [(i, s) for _, i, s in sorted(got.get(r, []))] == [(i, -s) for s, i in sorted(fits)[:limit]], r
+
+
+def test_three_models_feed_the_batch(spark):
+    """Collaborative, content and hybrid requests under filters against scores of all pairs; indexed and not."""
+    rng = np.random.default_rng(11)
+    users, items = rng.normal(size=(20, 4)), rng.normal(size=(150, 4))
+    frame = lambda m: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, features array<double>")
+    factors = RC.Factors(frame(users), frame(items), 4)
+    vectors = rng.normal(size=(150, 5))
+    facts = [(i, f"c{i % 3}", f"b{i % 5}", float(rng.integers(100, 9000)) / 100) for i in range(150)]
+    content = spark.createDataFrame([(i, c, b, p, [float(x) for x in v]) for (i, c, b, p), v in zip(facts, vectors)], "item_id long, category string, brand string, price double, embedding array<double>")
+    catalogue = spark.createDataFrame([(i, p, i % 4 != 0) for i, _, _, p in facts], "item_id long, price double, is_in_stock boolean")
+    asks = []
+    for r in range(60):
+        place, user, source = [("homepage", r % 22, None), ("pdp", None, r % 160), ("pdp", r % 20, r % 150)][r % 3]
+        asks.append((r, 1, place, user, source, None, [int(x) for x in rng.integers(0, 150, 4)], 4, 20.0 if r % 4 == 0 else None, 60.0 if r % 5 == 0 else None, r % 7 == 0))
+    requests = spark.createDataFrame(asks, REQUESTS)
+    counts = spark.createDataFrame([(u, 200) for u in range(25)], "user_id int, interactions int")
+    popular = spark.createDataFrame([(1, 149, 1.0)], "merchant_id int, item_id long, score double")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    z = np.array([p for *_, p in facts])
+    z = (z - z.mean()) / z.std()
+    like = (0.5 * unit @ unit.T + 0.2 * np.array([[a[1] == b[1] for b in facts] for a in facts]) + 0.15 * np.array([[a[2] == b[2] for b in facts] for a in facts])
+            + 0.15 * np.exp(-(z[:, None] - z[None, :]) ** 2 / 2))
+    np.fill_diagonal(like, -np.inf)
+    for block_rows in (4096, 12):
+        got = {}
+        for r in RC.batch_from_models(requests, factors, content, popular, counts, catalogue, block_rows=block_rows).collect():
+            got.setdefault(r.request_id, []).append((r["rank"], r.item_id, r.score))
+        for r, _, place, user, source, _, excluded, limit, low, high, only in asks:
+            ok = [i for i, _, _, p in facts if (low is None or p >= low) and (high is None or p <= high) and (not only or i % 4 != 0)]
+            need = 2 * limit + len(excluded) + 1
+            head = lambda scores: sorted(((-scores[i], i) for i in ok if np.isfinite(scores[i])))[:need]
+            mine = head(users[user] @ items.T) if user is not None and user < 20 else []
+            near = head(like[source]) if source is not None and source < 150 else []
+            if place == "homepage":
+                scored = {i: -s for s, i in mine}
+            elif user is None:
+                scored = {i: -s for s, i in near}
+            else:
+                scored = {i: 0.0 for _, i in mine + near}
+                for part, w in ((mine, 0.7), (near, 0.3)):
+                    for s, i in part:
+                        scored[i] += w * -s
+            drop = {*excluded, source}
+            want = sorted((-round(s, 9), i) for i, s in scored.items() if i not in drop)[:limit]
+            assert [i for _, i, _ in sorted(got.get(r, []))] == [i for _, i in want], (r, block_rows)

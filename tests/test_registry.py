@@ -1,15 +1,17 @@
 """Every registered query against its check SQL on the smallest tables."""
 
+import re
+
 import pytest
 from compare import connect, differences
 
 from __spark_entry__ import oracle_sql, queries
 
 QUERIES, ORACLE = queries(), oracle_sql()
-HEAVY = {"jb02_dim_customers", "jb03_agg_daily_gmv", "jb04_agg_product_performance", "jb05_agg_subscription_metrics", "jb08_model_fact_orders",
-         "jb10_model_agg_daily_gmv", "jb11_merchant_performance", "jb12_customer_segments_view", "jb14_dashboard_snapshot", "jb18_batch_recommendations",
-         "ev10_validation_result", "st05_sessions_by_gap", "jn20_order_attribution", "pm04_usage_limits", "rc12_content_neighbours", "rc22_item_item_model",
-         "wn01_first_order_flag", "wn03_days_since_previous_order", "wn09_product_rankings", "io03_merge_upsert", "dq09_total_reconciliation"}
+#: Queries that may find nothing on the smallest tables.
+EMPTY: set[str] = set()
+#: Those of the training-data operators are compared in tests/llm.
+NAMES = sorted(n for n in ORACLE if n != "pipeline" and not re.match(r"op\d+_", n))
 
 
 @pytest.fixture(scope="module")
@@ -17,11 +19,11 @@ def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(HEAVY))
+@pytest.mark.parametrize("name", NAMES)
 def test_matches_sql(name, spark, sf, con):
     diffs, n = differences(QUERIES[name](spark, sf), con, ORACLE[name])
     assert not diffs, diffs
-    assert n > 0
+    assert n > 0 or name in EMPTY
 
 
 def test_check_sql_belongs_to_queries():

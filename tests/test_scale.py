@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from conftest import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -72,19 +73,21 @@ def test_sessions_equal_row_by_row_gaps(spark):
     assert [x for x in got if x[0] == 9] == [(9, t0, t0 + timedelta(minutes=30), 2), (9, t0 + timedelta(minutes=60, seconds=1), t0 + timedelta(minutes=60, seconds=1), 1)]
 
 
-def test_asof_takes_latest_touch_at_or_before(spark):
+@pytest.mark.parametrize("piece_rows", [1 << 16, 5])
+def test_asof_takes_latest_touch_at_or_before(spark, piece_rows):
     rnd = random.Random(4)
     t0 = datetime(2024, 1, 1)
-    at = lambda: t0 + timedelta(minutes=rnd.randrange(60 * 24 * 3))
+    busy = lambda: t0 + timedelta(hours=30, milliseconds=rnd.randrange(3_600_000))
+    at = lambda: busy() if rnd.random() < 0.4 else t0 + timedelta(hours=7) if rnd.random() < 0.2 else t0 + timedelta(minutes=rnd.randrange(60 * 24 * 3))
     key = lambda: 1 if rnd.random() < 0.5 else rnd.randrange(6)
-    left = [(i, key(), at()) for i in range(150)]
-    right = [(i, key(), at(), f"s{i}") for i in range(200)]
+    left = [(i, key(), at()) for i in range(250)] + [(900, None, t0), (901, 1, None)]
+    right = [(i, key(), at(), f"s{i}") for i in range(300)] + [(800, None, t0, "nobody"), (801, 1, None, "never")]
     got = rows(X.asof_latest(
         spark.createDataFrame(left, "oid int, c int, ots timestamp_ntz"), spark.createDataFrame(right, "tid int, c int, tts timestamp_ntz, src string"),
-        "c", "ots", "tts", ["src"], "tid"), "oid", "touch_at", "src")
+        "c", "ots", "tts", ["src"], "tid", piece_rows=piece_rows), "oid", "touch_at", "src")
     want = []
     for oid, c, ots in left:
-        prior = [(tts, tid, src) for tid, k, tts, src in right if k == c and tts <= ots]
+        prior = [(tts, tid, src) for tid, k, tts, src in right if c is not None and ots is not None and k == c and tts is not None and tts <= ots]
         best = max(prior) if prior else (None, None, None)
         want.append((oid, best[0], best[2]))
     assert got == sorted(want, key=lambda t: tuple((v is None, str(v)) for v in t))
