@@ -254,8 +254,8 @@ def _need(times: int = 1) -> Column:
 LEVELS, TOP_CENTS = 16, 4**15 - 1
 
 
-def postings(popular: DataFrame, catalogue: DataFrame | None, deepest: int) -> DataFrame:
-    """Head of every posting list: merchant, scope (any, stock), level, block of prices, position, item, score.
+def postings(popular: DataFrame, catalogue: DataFrame | None, deepest: int, wanted: DataFrame | None = None) -> DataFrame:
+    """Head of every posting list (or of those ``wanted``): merchant, scope (any, stock), level, block of prices, position, item, score.
 
     An item stands in the block of its price on each of 16 levels, and in the list of all items. Any range of prices is a
     union of a few whole blocks, so the best of a range are among the heads of its blocks; no list is
@@ -271,32 +271,30 @@ def postings(popular: DataFrame, catalogue: DataFrame | None, deepest: int) -> D
     scopes = F.when(F.coalesce("_stock", F.lit(False)), F.array(F.lit("any"), F.lit("stock"))).otherwise(F.array(F.lit("any")))
     listed = items.withColumn("_cents", cents).select("merchant_id", "item_id", "score", F.explode(scopes).alias("scope"), "_cents").select(
         "merchant_id", "item_id", "score", "scope", F.inline(places)).filter("block IS NOT NULL")
+    if wanted is not None:
+        listed = listed.join(wanted.select("merchant_id", "scope", "level", "block").distinct(), ["merchant_id", "scope", "level", "block"], "left_semi")
     return top_k(listed, ["merchant_id", "scope", "level", "block"], [F.desc("score"), F.asc("item_id")], deepest, "_pos")
 
 
-def price_blocks(low: Column, high: Column) -> Column:
-    """Whole blocks (level, block) that make up the prices from ``low`` to ``high``: six to a level at most, fewer at most levels."""
-    lo = F.greatest(F.coalesce(F.ceil(F.round(low * 100, 4)), F.lit(0)), F.lit(0)).cast("bigint")
-    hi = F.least(F.coalesce(F.floor(F.round(high * 100, 4)), F.lit(TOP_CENTS)), F.lit(TOP_CENTS)).cast("bigint")
-    lo = F.least(lo, F.lit(TOP_CENTS).cast("bigint"))  # a dearer lower limit meets what counts as that dear
+def price_blocks(ranges: DataFrame, low: str, high: str) -> DataFrame:
+    """Rows with level and block of the whole blocks that make up their prices from ``low`` to ``high``: six to a level at most.
 
-    def inside(level: int) -> tuple[Column, Column]:
-        return F.ceil(lo / 4**level).cast("bigint"), (F.floor((hi + 1) / 4**level) - 1).cast("bigint")
-
-    def run(level: int, first: Column, last: Column) -> Column:
-        blocks = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(blocks, lambda b: F.struct(F.lit(level).alias("level"), b.alias("block")))
-    runs = []
-    for level in range(LEVELS):
-        first, last = inside(level)
-        if level == LEVELS - 1:
-            runs.append(run(level, first, last))
-            continue
-        up_first, up_last = inside(level + 1)
-        covered = up_first <= up_last
-        runs.append(run(level, first, F.when(covered, F.least(last, up_first * 4 - 1)).otherwise(last)))
-        runs.append(run(level, F.when(covered, F.greatest(first, up_last * 4 + 4)).otherwise(last + 1), last))
-    return F.concat(*runs)
+    A block is taken where the next larger block around it does not lie in the range as well. Open ends are null.
+    """
+    top, level = F.lit(TOP_CENTS).cast("bigint"), F.col("level")
+    # A dearer lower limit meets what counts as that dear.
+    lo = F.least(F.greatest(F.coalesce(F.ceil(F.round(F.col(low) * 100, 4)), F.lit(0)), F.lit(0)).cast("bigint"), top)
+    hi = F.least(F.coalesce(F.floor(F.round(F.col(high) * 100, 4)), top), top).cast("bigint")
+    width = F.pow(F.lit(4.0), level)
+    first = lambda w: F.ceil(F.col("_lo") / w).cast("bigint")
+    last = lambda w: (F.floor((F.col("_hi") + 1) / w) - 1).cast("bigint")
+    run = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    rows = ranges.withColumns({"_lo": lo, "_hi": hi}).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    rows = rows.withColumns({"_a": first(width), "_b": last(width), "_up_a": first(width * 4), "_up_b": last(width * 4)})
+    rows = rows.withColumn("_covered", (level < LEVELS - 1) & (F.col("_up_a") <= F.col("_up_b")))
+    before = F.when(F.col("_covered"), F.least("_b", F.col("_up_a") * 4 - 1)).otherwise(F.col("_b"))
+    after = F.when(F.col("_covered"), F.greatest("_a", F.col("_up_b") * 4 + 4)).otherwise(F.col("_b") + 1)
+    return rows.withColumn("block", F.explode(F.concat(run(F.col("_a"), before), run(after, F.col("_b"))))).select(*ranges.columns, "level", "block")
 
 
 def popular_for(requests: DataFrame, popular: DataFrame, catalogue: DataFrame | None = None, deepest: int | None = None) -> DataFrame:
@@ -306,14 +304,12 @@ def popular_for(requests: DataFrame, popular: DataFrame, catalogue: DataFrame |
     else of its merchant's list.
     """
     deepest = deepest if deepest is not None else requests.agg(F.max(_need())).first()[0] or 0
-    if catalogue is None:
-        scope, blocks = F.lit("any"), None
-    else:
-        scope = F.when(F.coalesce("in_stock_only", F.lit(False)), "stock").otherwise("any")
-        blocks = F.when(F.col("price_min").isNotNull() | F.col("price_max").isNotNull(), price_blocks(F.col("price_min"), F.col("price_max")))
-    every = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("block")))
-    wanted = requests.select("request_id", "merchant_id", scope.alias("scope"), _need().alias("_need"), F.inline(F.coalesce(blocks, every) if blocks is not None else every))
-    heads = postings(popular, catalogue, deepest)
+    scope = F.lit("any") if catalogue is None else F.when(F.coalesce("in_stock_only", F.lit(False)), "stock").otherwise("any")
+    asked = requests.select("request_id", "merchant_id", scope.alias("scope"), _need().alias("_need"), "price_min", "price_max")
+    ranged = F.lit(False) if catalogue is None else F.col("price_min").isNotNull() | F.col("price_max").isNotNull()
+    whole = asked.filter(~ranged).withColumns({"level": F.lit(-1), "block": F.lit(0).cast("bigint")})
+    wanted = whole.unionByName(price_blocks(asked.filter(ranged), "price_min", "price_max")).drop("price_min", "price_max")
+    heads = postings(popular, catalogue, deepest, wanted)
     met = wanted.join(heads, ["merchant_id", "scope", "level", "block"]).filter(F.col("_pos") <= F.col("_need"))
     return met.select("request_id", "item_id", "score")
 

@@ -152,7 +152,9 @@ def test_price_blocks_are_the_range_exactly(spark):
     rnd = random.Random(3)
     ranges = [(None, 5.0), (0.0, 0.0), (0.01, 0.01), (3.0, 2.0), (7.5, None), (0.03, 4.17), (1.0, 9999999.0), (99999999.0, None)] + [tuple(sorted((rnd.randint(0, 3000) / 100, rnd.randint(0, 3000) / 100))) for _ in range(60)]
     df = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(ranges)], "i int, lo double, hi double")
-    got = {r["i"]: [(b["level"], b["block"]) for b in r["b"]] for r in df.select("i", RC.price_blocks(F.col("lo"), F.col("hi")).alias("b")).collect()}
+    got = {i: [] for i in range(len(ranges))}
+    for r in RC.price_blocks(df, "lo", "hi").collect():
+        got[r["i"]].append((r["level"], r["block"]))
     for i, (lo, hi) in enumerate(ranges):
         low = 0 if lo is None else min(round(lo * 100), RC.TOP_CENTS)
         high = RC.TOP_CENTS if hi is None else min(round(hi * 100), RC.TOP_CENTS)
