@@ -25,6 +25,8 @@ SMALL, FEW, PART = 16, 3, 300
 #: Further samples of texts in larger buckets, the agreement of all samples below which these are not compared
 #: (again 2.8 standard errors under 0.8), and texts to a block when all pairs of a bucket are looked at.
 FURTHER, LEAST_OF_ALL, BLOCK = 128, 116, 2048
+#: Bytes of shingles to a block of full comparisons, and of text to a step of ``verify``; a longer text is alone.
+BLOCK_BYTES, STEP_BYTES = 1 << 25, 1 << 22
 IDF_SHARE = 0.25
 DF_BITS, DF_SLICE = 20, 1 << 16
 _ID_BITS = np.uint64(52)
@@ -107,7 +109,7 @@ def idf_table(df: np.ndarray, n: int) -> np.ndarray:
     A group of copies raises the frequency of its own shingles. The bounded share keeps
     that from parting its members: a pair of plain similarity 0.84 stays above 0.8.
     """
-    return (1 + IDF_SHARE * np.log(n / np.clip(df, 1, max(n, 1))) / math.log(max(n, 2))).astype(np.float32)
+    return (1 + IDF_SHARE * np.log(max(n, 1) / np.clip(df, 1, max(n, 1))) / math.log(max(n, 2))).astype(np.float32)
 
 
 # ---- consistent weighted samples
@@ -183,27 +185,37 @@ def sketches(rows: DataFrame, weight: "np.ndarray") -> DataFrame:
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """Members of every bucket with at least two texts: key, part, n, id, place and the ids before it.
+    """Members of every bucket with at least two texts: key, part, n, id, place and, with their samples, this text and those before it.
 
     Buckets are counted first (partial sums) and single ones dropped. A bucket of over
     PART texts is dealt by hash into parts of about that size. Order inside a bucket is
     a hash of id and bucket, so a text of a large group meets other members in each
     of its buckets.
     """
-    keyed = reps.select("id", F.explode("bands").alias("key"))
+    keyed = reps.select("id", F.struct("id", "marks").alias("own"), F.explode("bands").alias("key"))
     many = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     placed = keyed.join(many, "key").withColumn("h", F.xxhash64("id", "key")).withColumn("part", F.pmod("h", F.ceil(F.col("n") / PART)))
     inside = Window.partitionBy("key", "part").orderBy("h", "id")
-    before = lambda k: F.collect_list("id").over(inside.rowsBetween(-k, -1))
+    before = lambda k: F.collect_list("own").over(inside.rowsBetween(-k, -1))
     near = placed.withColumn("before", F.when(F.col("n") > SMALL, before(FEW)).otherwise(before(SMALL - 1)))
-    return near.withColumn("place", F.row_number().over(inside)).select("key", "part", "n", "id", "place", "before")
+    return near.withColumn("place", F.row_number().over(inside)).select("key", "part", "n", "id", "own", "place", "before")
 
 
 def candidates(near: DataFrame) -> DataFrame:
-    """First pairs (a < b): a number linear in the bucket's size, with parts of a bucket chained by their first members."""
-    heads = near.filter(f"place = 1 and n > {PART}").withColumn("before", F.collect_list("id").over(Window.partitionBy("key").orderBy("part").rowsBetween(-1, -1)))
-    both = near.select("id", F.explode("before").alias("o")).unionByName(heads.select("id", F.explode("before").alias("o")))
-    return both.filter("id <> o").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+    """First pairs (a < b, same) that agree in enough samples: a number linear in the bucket's size, with parts of a bucket chained by their first members."""
+    kind = near.schema["id"].dataType.simpleString()
+    heads = near.filter(f"place = 1 and n > {PART}").withColumn("before", F.collect_list("own").over(Window.partitionBy("key").orderBy("part").rowsBetween(-1, -1)))
+    both = near.select("own", F.explode("before").alias("o")).unionByName(heads.select("own", F.explode("before").alias("o"))).filter("own.id <> o.id")
+
+    def agreeing(batches):
+        for b in batches:
+            if b.num_rows:
+                same = _agreement(b.column("ma"), b.column("mb"))
+                ok = pa.array(same >= LEAST_AGREEMENT)
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok), pa.array(same.astype(np.int32)).filter(ok)], names=["a", "b", "same"])
+
+    pairs = both.select(F.least("own.id", "o.id").alias("a"), F.greatest("own.id", "o.id").alias("b"), F.col("own.marks").alias("ma"), F.col("o.marks").alias("mb"))
+    return pairs.mapInArrow(agreeing, f"a {kind}, b {kind}, same int").groupBy("a", "b").agg(F.max("same").alias("same"))
 
 
 def further_marks(members: DataFrame, weight: np.ndarray) -> DataFrame:
@@ -220,60 +232,153 @@ def further_marks(members: DataFrame, weight: np.ndarray) -> DataFrame:
     return members.select("id", "text").mapInArrow(work, f"id {members.schema['id'].dataType.simpleString()}, more binary")
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of two blocks (texts outside the bucket's largest class, any texts) of different classes that agree in most samples."""
-    first = BANDS * BAND_ROWS
+def _side(batch: pa.RecordBatch, r: int, prefix: str):
+    """Columns of one block of a cell, by name."""
+    return lambda name: batch.column(prefix + name)[r].values
+
+
+class _Cell:
+    """A block of texts outside their bucket's largest class, and a block of any of the bucket's texts."""
+
+    def __init__(self, batch: pa.RecordBatch, r: int):
+        outer, every = _side(batch, r, "outer_"), _side(batch, r, "")
+        self.ids = pa.concat_arrays([outer("id"), every("id")])
+        self.roots = pa.concat_arrays([outer("root"), every("root")]).dictionary_encode().indices.to_numpy()
+        self.n = len(outer("id"))
+        size = BANDS * BAND_ROWS + FURTHER
+        self.outer, self.table = (np.frombuffer(b"".join(x("marks").to_pylist()), dtype=np.uint8).reshape(-1, size) for x in (outer, every))
+        self.outer_bands, self.bands = (x("bands").flatten().to_numpy().reshape(len(x("id")), -1) for x in (outer, every))
+        place = np.empty(len(self.ids), dtype=np.int64)
+        place[pc.array_sort_indices(self.ids).to_numpy()] = np.arange(len(self.ids))
+        self.place, self.inner = place, ~every("outside").to_numpy(zero_copy_only=False)
+        self.key = batch.column("key")[r].as_py()
+        self.head = np.ascontiguousarray(self.table[:, : BANDS * BAND_ROWS].T)
+
+    def partners(self, i: int, class_: np.ndarray) -> np.ndarray:
+        """Texts of the second block of another class that agree with text ``i`` of the first in most samples.
+
+        A pair is looked at in the first bucket that both are in: there the two classes meet as well.
+        """
+        first, n = BANDS * BAND_ROWS, self.n
+        agree = (self.head == self.outer[i, :first, None]).view(np.uint8).sum(axis=0, dtype=np.uint8)
+        j = np.flatnonzero((agree >= LEAST_AGREEMENT) & (class_[n:] != class_[i]) & (self.inner | (self.place[n:] > self.place[i])))
+        j = j[agree[j] + (self.table[j, first:] == self.outer[i, first:]).sum(axis=1) >= LEAST_OF_ALL]
+        shared = self.bands[j] == self.outer_bands[i]
+        earliest = self.outer_bands[i][shared.argmax(axis=1)] == self.key
+        here = (self.bands[j] == self.key).any(axis=1) & (self.outer_bands[i] == self.key).any()
+        return j[earliest | ~here | ~shared.any(axis=1)]
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id) of the texts that have a partner in a cell."""
     for batch in batches:
-        col = lambda name, r: batch.column(name)[r].values
         for r in range(batch.num_rows):
-            ids = pa.concat_arrays([col("outer_id", r), col("id", r)])
-            class_ = pa.concat_arrays([col("outer_root", r), col("root", r)]).dictionary_encode().indices.to_numpy()
-            n = len(col("outer_id", r))
-            outer, table = (np.frombuffer(b"".join(col(k, r).to_pylist()), dtype=np.uint8).reshape(-1, first + FURTHER) for k in ("outer_marks", "marks"))
-            place = np.empty(len(ids), dtype=np.int64)
-            place[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
-            inner = ~col("outside", r).to_numpy(zero_copy_only=False)
-            head = np.ascontiguousarray(table[:, :first].T)
-            i_, j_, same_ = [], [], []
-            for i in range(n):
-                agree = (head == outer[i, :first, None]).view(np.uint8).sum(axis=0, dtype=np.uint8)
-                j = np.flatnonzero((agree >= LEAST_AGREEMENT) & (class_[n:] != class_[i]) & (inner | (place[n:] > place[i])))
-                same = agree[j] + (table[j, first:] == outer[i, first:]).sum(axis=1)
-                ok = same >= LEAST_OF_ALL
-                i_.append(np.full(ok.sum(), i))
-                j_.append(n + j[ok])
-                same_.append(same[ok])
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(i_))), ids.take(pa.array(np.concatenate(j_))), pa.array(np.concatenate(same_).astype(np.int32))], names=["a", "b", "same"])
-
-
-def across_classes(near: DataFrame, root: DataFrame | None, marks: DataFrame, members: DataFrame, weight: np.ndarray) -> DataFrame:
-    """Further pairs (a, b, same) of larger buckets: in each bucket that still holds several classes, those of texts outside its largest class.
-
-    Texts of a bucket are dealt by hash into blocks of about BLOCK, and every block of
-    texts outside the largest class meets every block of the bucket in a task of
-    its own, whatever the bucket's size. More samples than the bands need keep texts
-    that are alike only by what all of the bucket shares from being compared in
-    full. Buckets that links have already joined into one class are not looked at.
+            cell = _Cell(batch, r)
+            found = np.zeros(len(cell.ids), dtype=bool)
+            for i in range(cell.n):
+                j = cell.partners(i, cell.roots)
+                found[i] = len(j) > 0
+                found[cell.n + j] = True
+            ids = cell.ids.filter(pa.array(found))
+            yield pa.RecordBatch.from_arrays([pa.array([cell.key] * len(ids), pa.int64()), ids], names=["key", "id"])
+
+
+def _links(similarity: float):
+    """Compare the partners of every cell in full; the links that join two classes of the cell."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                cell = _Cell(batch, r)
+                outer, every = _side(batch, r, "outer_"), _side(batch, r, "")
+                lists = lambda x, name, kind: [np.frombuffer(b, dtype=kind) for b in x(name).to_pylist()]
+                own, own_w = lists(outer, "shingles", np.uint64), lists(outer, "weights", np.float32)
+                there, there_w = lists(every, "shingles", np.uint64), lists(every, "weights", np.float32)
+                size = np.array([len(x) for x in there])
+                start = np.cumsum(size) - size
+                vocabulary, at = np.unique(np.concatenate(there), return_inverse=True)
+                flat_w = np.concatenate(there_w).astype(np.float64)
+                total = np.array([w.sum(dtype=np.float64) for w in there_w])
+                dense, class_ = np.zeros(len(vocabulary) + 1), cell.roots.copy()
+                a, b = [], []
+                for i in range(cell.n):
+                    j = cell.partners(i, class_)
+                    if not len(j):
+                        continue
+                    known = np.minimum(np.searchsorted(vocabulary, own[i]), len(vocabulary) - 1)
+                    known = np.where(vocabulary[known] == own[i], known, len(vocabulary))
+                    dense[known] = own_w[i]
+                    dense[-1] = 0
+                    for some in np.split(j, np.flatnonzero(np.diff(np.cumsum(size[j]) >> 20)) + 1):  # about a million shingles at a time
+                        many = size[some]
+                        places = np.repeat(start[some] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                        common = np.add.reduceat(np.minimum(dense[at[places]], flat_w[places]), np.cumsum(many) - many)
+                        sure = common >= (similarity - 1e-9) * (own_w[i].sum(dtype=np.float64) + total[some] - common)
+                        for x in some[sure].tolist():
+                            if class_[cell.n + x] != class_[i]:
+                                a.append(i)
+                                b.append(cell.n + x)
+                                class_[class_ == class_[cell.n + x]] = class_[i]
+                    dense[known] = 0
+                yield pa.RecordBatch.from_arrays([cell.ids.take(pa.array(a, pa.int64())), cell.ids.take(pa.array(b, pa.int64()))], names=["a", "b"])
+
+    return work
+
+
+def packed_shingles(members: DataFrame, weight: np.ndarray) -> DataFrame:
+    """id, distinct shingles and their weights, as bytes."""
+    shared = members.sparkSession.sparkContext.broadcast(weight)
+
+    def work(batches):
+        cell_weight = shared.value
+        for part, data, ends in _chunks(batches):
+            owner, ids, times, _ = shingles(data, ends)
+            cuts = np.searchsorted(owner, np.arange(1, part.num_rows))
+            w = (times * cell_weight[_df_cell(ids)]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in np.split(ids, cuts)], pa.binary()), pa.array([x.tobytes() for x in np.split(w, cuts)], pa.binary())], names=["id", "shingles", "weights"])
+
+    return members.select("id", "text").mapInArrow(work, f"id {members.schema['id'].dataType.simpleString()}, shingles binary, weights binary")
+
+
+def _cells(placed: DataFrame, names: list[str], block_bytes: str | None = None) -> DataFrame:
+    """One row per cell of every bucket: a block of the texts outside its largest class, and any block of it.
+
+    Texts are dealt by hash into blocks of about BLOCK, and of about BLOCK_BYTES of ``block_bytes``.
+    """
+    size = F.sum(F.octet_length(block_bytes)) / BLOCK_BYTES if block_bytes else F.lit(0.0)
+    blocks = placed.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, size)).cast("int").alias("blocks"), F.max("outside").alias("_any"))
+    placed = placed.join(blocks.filter("_any").drop("_any"), "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+
+    def packed(rows: DataFrame, own: str, other: str, prefix: str) -> DataFrame:
+        rows = rows.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct(*names)).alias("t"))
+        return rows.select("key", F.col("block").alias(own), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(other), *[F.col(f"t.{k}").alias(prefix + k) for k in names])
+
+    outer = packed(placed.filter("outside"), "o", "m", "outer_")
+    return outer.join(packed(placed, "m", "o", "").hint("merge"), ["key", "o", "m"])
+
+
+def across_classes(near: DataFrame, root: DataFrame | None, marks: DataFrame, members: DataFrame, weight: np.ndarray, similarity: float) -> DataFrame:
+    """Links (a, b) between classes of larger buckets: in each bucket that still holds several classes, of texts outside its largest class with any others.
+
+    Every block of texts outside the largest class meets every block of the bucket in a task of its own, whatever the
+    bucket's size. First only samples travel: more of them than the bands need tell which texts have a likely partner
+    in another class at all, and keep texts that are alike only by what all of the bucket shares from being
+    compared in full. Then the shingles of the texts that are left meet in cells of the same kind, and pairs are compared in
+    full inside; a cell emits a link where it joins two classes, never its pairs.
     """
     kind = near.schema["id"].dataType.simpleString()
     near = near.filter(f"n > {SMALL}").select("key", "id")
     near = near.withColumn("root", F.col("id")) if root is None else near.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     classes = near.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", "n").alias("top"))
-    many = lambda n: F.ceil(n / BLOCK).cast("int")
-    open_ = classes.filter("n > most").select("key", "top", many(F.col("n")).alias("blocks"), many(F.col("n") - F.col("most")).alias("outer_blocks"))
-    placed = stage(near.join(open_, "key").withColumn("outside", F.col("root") != F.col("top")).drop("top"), "near-open")
+    placed = stage(near.join(classes.filter("n > most").select("key", "top"), "key").withColumn("outside", F.col("root") != F.col("top")).drop("top"), "near-open")
     more = further_marks(members.join(placed.select("id").distinct(), "id", "left_semi"), weight)
-    placed = placed.join(stage(marks.join(more, "id").select("id", F.concat("m", "more").alias("marks")), "near-further"), "id")
-
-    def packed(rows, block, blocks, others, prefix, names):
-        rows = rows.withColumn(block, F.pmod(F.xxhash64("id", "key"), F.col(blocks)).cast("int"))
-        rows = rows.groupBy("key", block, others).agg(F.collect_list(F.struct(*names)).alias("t"))
-        return rows.select("key", block, F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias("o" if block == "m" else "m"), *[F.col(f"t.{k}").alias(prefix + k) for k in names])
-
-    outer = packed(placed.filter("outside"), "o", "outer_blocks", "blocks", "outer_", ["id", "root", "marks"])
-    every = packed(placed, "m", "blocks", "outer_blocks", "", ["id", "root", "marks", "outside"])
-    pairs = outer.join(every.hint("merge"), ["key", "o", "m"]).drop("key", "o", "m").mapInArrow(_apart, f"a {kind}, b {kind}, same int")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same").distinct()
+    more = stage(marks.join(more, "id").select("id", F.concat("m.marks", "more").alias("marks"), F.col("m.bands").alias("bands")), "near-further")
+    placed = placed.join(more, "id")
+    names = ["id", "root", "marks", "bands", "outside"]
+    hopeful = stage(_cells(placed, names).mapInArrow(_hopeful, f"key bigint, id {kind}").distinct(), "near-hopeful")
+    shingled = packed_shingles(members.join(hopeful.select("id").distinct(), "id", "left_semi"), weight)
+    left = placed.join(hopeful, ["key", "id"], "left_semi").join(shingled, "id")
+    return _cells(left, [*names, "shingles", "weights"], "shingles").mapInArrow(_links(similarity), f"a {kind}, b {kind}")
 
 
 def _agreement(marks_a: pa.Array, marks_b: pa.Array) -> np.ndarray:
@@ -289,8 +394,12 @@ def verify(pairs: DataFrame, members: DataFrame, weight: np.ndarray, similarity:
     def work(batches):
         cell_weight = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
+            length = np.cumsum(pc.add(pc.binary_length(batch.column("text_a")), pc.binary_length(batch.column("text_b"))).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:  # STEP_BYTES of text, 4,000 pairs or one pair at a time
+                to = int(np.searchsorted(length, (length[at - 1] if at else 0) + STEP_BYTES, side="right"))
+                part = batch.slice(at, min(max(to - at, 1), 4000))
+                at += part.num_rows
                 sides = []
                 for name in ("text_a", "text_b"):
                     for k, (_, data, ends) in enumerate(byte_chunks([part], name, limit=1 << 62)):
@@ -336,38 +445,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weight = idf_table(*document_frequencies(rows))
     sketch = stage(sketches(rows, weight), "near-sketches")
     reps = stage(sketch.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands"), F.min("marks").alias("marks")), "near-texts")
-    marks = stage(reps.groupBy("id").agg(F.min("marks").alias("m")), "near-marks")
-    kind = reps.schema["id"].dataType.simpleString()
-
-    def agreeing(batches):
-        for b in batches:
-            if b.num_rows:
-                same = _agreement(b.column("ma"), b.column("mb"))
-                ok = pa.array(same >= LEAST_AGREEMENT)
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok), pa.array(same.astype(np.int32)).filter(ok)], names=["a", "b", "same"])
-
+    marks = stage(reps.groupBy("id").agg(F.min(F.struct("marks", "bands")).alias("m")), "near-marks")
     near = stage(buckets(reps), "near-buckets")
-    pairs = (candidates(near).join(marks.select(F.col("id").alias("a"), F.col("m").alias("ma")), "a").join(marks.select(F.col("id").alias("b"), F.col("m").alias("mb")), "b")
-             .select("a", "b", "ma", "mb").mapInArrow(agreeing, f"a {kind}, b {kind}, same int"))
-    pairs = stage(pairs, "near-pairs")
+    pairs = stage(candidates(near), "near-pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(near.filter(f"n > {SMALL}").select("id")).distinct()
     # One shuffle of the texts at every size, so that a small run tells what a large one does.
     members = stage(rows.withColumnRenamed("doc_id", "id").join(ids.hint("merge"), "id"), "near-members").dropDuplicates(["id"])
     left, root = pairs, None
     of = lambda x: root.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-    for turn in range(4):
-        if turn == 2:  # what is left, and pairs of larger buckets whose classes are still apart
-            others = stage(across_classes(near, root, marks, members, weight), "near-others")
-            untried, left = left.select("a", "b"), stage(_still_apart(others, of if root is not None else None), "near-left")
-        # each text's likeliest partner; the likeliest pairs that could join two classes; all others
-        likeliest = Window.partitionBy(*(["b"] if turn == 0 else ["root_low", "root_high"])).orderBy(F.col("same").desc(), F.xxhash64("a", "b"))
-        tested = left if turn == 3 else left.withColumn("k", F.row_number().over(likeliest)).filter(F.col("k") <= (1, 2, 8)[turn])
-        tested = tested.select("a", "b")
-        tested = stage(tested.unionByName(untried).distinct() if turn == 2 else tested, "near-tested")
-        if not tested.isEmpty():
-            found = stage(verify(tested, members, weight, similarity), "near-links")
+    for turn in range(2):
+        # each text's likeliest partner; then all others whose classes are still apart, and those of larger buckets
+        likeliest = Window.partitionBy("b").orderBy(F.col("same").desc(), F.xxhash64("a", "b"))
+        tested = left.withColumn("k", F.row_number().over(likeliest)).filter("k = 1") if turn == 0 else left
+        tested = stage(tested.select("a", "b"), "near-tested")
+        found = verify(tested, members, weight, similarity)
+        if turn == 1:
+            found = found.unionByName(across_classes(near, root, marks, members, weight, similarity))
+        found = stage(found, "near-links")
+        if not found.isEmpty():
             root = components(found if root is None else found.unionByName(root.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        if turn < 3:
+        if turn == 0:
             left = stage(_still_apart(left.select("a", "b", "same").join(tested, ["a", "b"], "left_anti"), of if root is not None else None), "near-left")
     stands = sketch.join(reps.select("digest", "id"), "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("id"))
     if root is None:

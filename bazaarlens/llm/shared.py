@@ -8,6 +8,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,16 +143,47 @@ def word_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, to, np.searchsorted(ends, start, side="right") - 1
 
 
+LINKS_TO_A_TASK = 1_000_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of one task as links of each node to the smallest node that they join it with."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    a, b = (pa.concat_arrays([x.column(k) for x in batches]) for k in (0, 1))
+    names = pa.concat_arrays([a, b]).unique()
+    names = names.take(pc.array_sort_indices(names))
+    i, j = (pc.index_in(x, names).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
+    root = np.arange(len(names))
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    own = np.flatnonzero(root != np.arange(len(root)))
+    yield pa.RecordBatch.from_arrays([names.take(pa.array(own)), names.take(pa.array(root[own]))], names=["a", "b"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected links (a, b): (node, root), root being the smallest node.
 
-    Alternates two rewirings that keep components: every larger neighbour of a
-    node, then every smaller one, is tied to the smallest neighbour. The number of
-    links never grows, hubs are pre-aggregated by ``min`` before the shuffle, and
+    Links are first contracted in tasks of about a million, each on its own. Then two rewirings that keep
+    components alternate: every larger neighbour of a node, then every smaller one, is tied to the smallest
+    neighbour. The number of links never grows, hubs are pre-aggregated by ``min`` before the shuffle, and
     only a count and a sum reach the driver. Raises if it has not settled.
     """
     now = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    seen = None
+    marked = lambda links: tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    seen = marked(now)
+    tasks = -(-seen[0] // LINKS_TO_A_TASK)
+    if tasks:
+        now = stage(now.repartition(tasks).mapInArrow(_contract, now.schema).distinct(), "links")
+        seen = marked(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -161,7 +193,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         now = stage(small.filter("a <> b").distinct(), "links")
-        mark = now.agg(F.count("*"), F.sum("b"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 31))).first()
+        mark = marked(now)
         if mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = mark

@@ -112,3 +112,22 @@ def test_pairs_that_share_only_one_bucket_of_thousands(spark, monkeypatch):
     got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
     assert sum(got[5000 + i] == i for i in range(60)) >= 59
     assert all(got[i] == i for i in range(2500))
+
+
+def test_cells_of_many_blocks_lose_no_link(spark, monkeypatch):
+    """Buckets of a thousand texts with a common passage, cut into many cells: the classes are those of all pairs at 0.8."""
+    monkeypatch.setattr(N, "BLOCK", 150)
+    monkeypatch.setattr(N, "BLOCK_BYTES", 1 << 16)
+    monkeypatch.setattr(N, "FEW", 1)
+    rnd = random.Random(77)
+    common = " ".join(f"c{i}" for i in range(75))
+    texts_ = []
+    for i in range(500):
+        own = [f"x{rnd.randrange(10 ** 6)}" for _ in range(25)]
+        texts_ += [f"{common} {' '.join(own)}", f"{common} {' '.join(own[:-2])} y{i} z{i}"]
+    rows = list(enumerate(texts_)) + [(5000, "x " * 40_000), (5001, "x " * 40_000 + "y")]
+    got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    found = sum(got[2 * i] == got[2 * i + 1] for i in range(500))
+    assert found >= 495
+    assert all(got[i] in (i, i - i % 2) for i in range(1000)), "texts that are alike only by the passage stay apart"
+    assert got[5000] == got[5001] == 5000
