@@ -195,8 +195,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Windows are dealt by their anchors, whole blocks at a time. Anchors that occur once
     are dropped after a count. Equal blocks are counted and stand for each other, so a
     passage with any number of copies is one block; only anchors with several
-    different blocks need symbols compared, in cells of bounded size. Runs go
-    back to all places of their block.
+    different blocks need symbols compared. A cell of that takes whole anchors, so an
+    anchor with very many different blocks is one large cell. Runs go back to all
+    places of their block.
 
     The rows are read three times and matched by their place in the scan, so
     ``docs`` must be a table or a written result. Null and empty texts, and those below
