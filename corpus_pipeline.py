@@ -57,7 +57,7 @@ STAGES = [
     ("best-fit packing", packed_sequences),
 ]
 
-#: SQL cannot express the first, third and last stage; tests compare them with plain versions.
+#: SQL cannot express the first, third and last stage; tests compare each stage with its operator, and the operators with plain versions where they have one.
 ORACLE_SQL = None
 
 
