@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.guards import money, zero
+from ..session import scratch
 
 PROMOTION_SCHEMA = (
     "promotion_id string, promo_merchant int, discount_type string, discount_value decimal(10,2), max_discount_amount decimal(10,2), "
@@ -66,26 +67,32 @@ def stacked(pairs: DataFrame) -> DataFrame:
 
 
 def _numbered(rows: DataFrame, keys: list[str], limit: str, name: str, ts: str) -> DataFrame:
-    """Uses numbered by time inside ``keys`` and kept up to the row's limit; unlimited rows keep a null number.
+    """Uses numbered by time inside ``keys`` and kept up to the row's limit; unlimited rows pass by and keep a null number.
 
     Only rows of one minute are ordered: the uses before it are a running sum over a
     table with one row per (keys, minute). A promotion used everywhere is spread over
     its minutes, whatever its limit.
     """
-    limited = F.col(limit).isNotNull()
-    rows = rows.withColumn("_slot", F.date_trunc("minute", ts))
-    per_slot = rows.filter(limited).groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_c"))
+    limited = rows.filter(F.col(limit).isNotNull()).withColumn("_slot", F.date_trunc("minute", ts))
+    per_slot = limited.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_slot.select(*keys, "_slot", zero(F.sum("_c").over(before)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_slot", F.when(~limited, F.col("order_id"))).orderBy(ts, "order_id")
-    out = rows.withColumn("_pos", F.row_number().over(inside)).join(carried, [*keys, "_slot"], "left")
-    out = out.withColumn(name, F.when(limited, F.col("_before") + F.col("_pos"))).drop("_before", "_pos", "_slot")
-    return out.filter(~limited | (F.col(name) <= F.col(limit)))
+    inside = Window.partitionBy(*keys, "_slot").orderBy(ts, "order_id")
+    numbered = limited.withColumn("_pos", F.row_number().over(inside)).join(carried, [*keys, "_slot"])
+    kept = numbered.withColumn(name, F.col("_before") + F.col("_pos")).filter(F.col(name) <= F.col(limit)).select(*rows.columns, name)
+    return kept.unionByName(rows.filter(F.col(limit).isNull()).withColumn(name, F.lit(None).cast(kept.schema[name].dataType)))
 
 
 def within_usage(applied: DataFrame, promotions: DataFrame | None = None, ts: str = "created_at") -> DataFrame:
-    """Uses in order of time, first up to the customer's limit, then up to the total limit."""
-    rows = _numbered(applied, ["promotion_id", "customer_id"], "per_customer_limit", "customer_use", ts)
+    """Uses in order of time, first up to the customer's limit, then up to the total limit.
+
+    The applied pairs are written once in the shared folder, since each limit reads them more than once. A limited
+    row without promotion or (for the customer's limit) customer cannot be counted and is left out.
+    """
+    path = scratch(applied.sparkSession, "applied-promotions")
+    applied.write.parquet(path)
+    rows = applied.sparkSession.read.schema(applied.schema).parquet(path)
+    rows = _numbered(rows, ["promotion_id", "customer_id"], "per_customer_limit", "customer_use", ts)
     return _numbered(rows, ["promotion_id"], "total_usage_limit", "use_number", ts)
 
 

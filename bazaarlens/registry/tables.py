@@ -312,12 +312,17 @@ def _(spark, root):
     return _applied(spark, root)
 
 
+def _used(spark, root):
+    needed = ("order_id", "promotion_id", "customer_id", "created_at", "per_customer_limit", "total_usage_limit", "discount", "total_amount")
+    return PM.within_usage(_applied(spark, root).select(*needed), _promotions(spark, root))
+
+
 @query("pm04_usage_limits", "order_id:i promotion_id:s customer_use:i use_number:i", "SELECT order_id, promotion_id, CASE WHEN per_customer_limit IS NOT NULL THEN customer_use END AS customer_use, CASE WHEN total_usage_limit IS NOT NULL THEN use_number END AS use_number FROM used", PROMO_CTES)
 def _(spark, root):
-    return PM.within_usage(_applied(spark, root), _promotions(spark, root))
+    return _used(spark, root)
 
 
 @query("pm04_promotion_rollup", "promotion_id:s orders:i discount_given:m attributed_revenue:m",
        "SELECT promotion_id, count(*) AS orders, sum(discount) AS discount_given, sum(total_amount) AS attributed_revenue FROM used GROUP BY 1", PROMO_CTES)
 def _(spark, root):
-    return PM.rollup(PM.within_usage(_applied(spark, root), _promotions(spark, root)))
+    return PM.rollup(_used(spark, root))

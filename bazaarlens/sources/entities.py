@@ -27,7 +27,7 @@ def merchants(spark: SparkSession, root: str) -> DataFrame:
     """One merchant per nation; the region is its industry."""
     n, r = table(spark, root, "nation"), table(spark, root, "region")
     k = F.col("n_nationkey")
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(
         k.alias("merchant_id"), F.col("n_name").alias("merchant_name"),
         F.col("r_name").alias("industry"),
         _pick(k % 4, (0, "platinum"), (1, "gold"), (2, "silver"), (3, "bronze")).alias("merchant_tier"),
