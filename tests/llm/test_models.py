@@ -84,6 +84,28 @@ def test_forest_paths_match_a_walk():
     assert forest.score(point)[0] > forest.score(np.zeros((1, 3)))[0]
 
 
+def test_forest_and_threshold_see_every_labelled_row(spark):
+    """A kind of good text that fills one row in 5,000 still has its share of the trees; the cut is that of all rows."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(30_000, len(R.FOREST_RULES)))
+    x[17] = 900.0
+    rows = spark.createDataFrame(pd.DataFrame(x, columns=list(R.FOREST_RULES)).assign(doc_id=np.arange(len(x)))).repartition(5)
+    forest = R.fit_dealt(rows)
+    assert forest.column.shape == (100, 511)
+    assert (forest.threshold.max(axis=1) > 10).any()  # the odd row spreads the range of the tree that holds it
+    assert R.fit_dealt(rows.limit(0)) is None
+    few = R.fit_dealt(rows.filter("doc_id < 40"))
+    assert len(few.column) == 100 and math.isclose(few.mean_length, float(R._mean_path(40)))
+    score, good = np.round(rng.random(30_000), 3), rng.random(30_000) < 0.5
+    score[good] *= 0.8
+    value = {s: (score[good] <= s).mean() + (score[~good] > s).mean() for s in np.unique(score)}
+    best = max(s for s in value if value[s] >= max(value.values()) - 1e-12)
+    after = min(s for s in value if s > best)
+    frame = spark.createDataFrame(pd.DataFrame({"score": score, "good": good}))
+    assert math.isclose(R.calibrate(frame), (best + after) / 2)
+    assert R.calibrate(frame.filter("good")) == float("inf") and R.calibrate(frame.limit(0)) == float("inf")
+
+
 def test_quality_of_held_out_rows(spark, sf):
     docs, labels = labelled(spark, sf.replace("0.001", "0.01"))
     got = Q.classify(docs, labels).toPandas()
