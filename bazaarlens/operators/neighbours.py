@@ -1,6 +1,9 @@
-"""Exact top-n search over vectors by a metric index: blocks are visited best bound first.
+"""Exact top-n search over vectors, of all pairs: by products of large cells, or by a metric index.
 
-Items are grouped around pivots by direction, each group is cut into blocks along its angle to the
+``nearest`` compares all pairs of up to ``DENSE_ITEMS`` items in cells of matrices, where a product in single precision bounds every score and
+only pairs that can be among the best n are scored. Its work is that of all pairs; what it holds is a pair of cells.
+
+In the index blocks are visited best bound first. Items are grouped around pivots by direction, each group is cut into blocks along its angle to the
 pivot (cosine) or along the norm (inner product), and a block is known by a few numbers: ranges of angle, norm and
 price, and which categories it may hold. From these an upper bound of every score in the block
 follows, by the triangle inequality on the sphere and by Cauchy-Schwarz. A source first meets the blocks of its
@@ -26,10 +29,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from .similarity import BLOCK_ROWS, Score, best_of_cell, block_top_n
+from .similarity import BLOCK_ROWS, PLACES, Score, best_of_cell, block_top_n
 
 PIVOTS, BLOCKS, BANDS = 256, 32_768, 64
-SMALL = 4
+SMALL, DENSE, DENSE_ITEMS = 4, 16, 1 << 21
+TILE, HEAD, PAIRS, PLACES_HELD = (512, 8192), 1024, 1 << 16, 32
 FIRST, FACTOR = 2, 4
 SLACK = 1e-6
 
@@ -40,7 +44,7 @@ class Bounds:
 
     ``unit``: cosine, else inner product. ``same``: (column, gain) where both sides are equal. ``near``: (column, gain) of
     ``gain * exp(-d**2 / 2)``. ``must``: columns that have to be equal where the source has a value.
-    ``between``: item column and the source's lower and upper limit of it.
+    ``between``: item column and the source's lower and upper limit of it; ``strict``: a missing value lies outside of any limit.
     """
 
     vector: str = "embedding"
@@ -51,6 +55,7 @@ class Bounds:
     near: tuple[str, float] | None = None
     must: tuple[str, ...] = ()
     between: tuple[str, str, str] | None = None
+    strict: bool = False
 
 
 @dataclass
@@ -65,12 +70,18 @@ class Visits:
         return 1 - sum(self.rounds) / max(self.possible, 1)
 
 
-def _unit(vectors: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit rows and norms; a missing vector is a zero row."""
+def _rows(vectors: pd.Series, width: int) -> np.ndarray:
+    """Vectors as rows; a missing vector is a zero row."""
     m = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
         if v is not None:
             m[i] = v
+    return m
+
+
+def _unit(vectors: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows and norms."""
+    m = _rows(vectors, width)
     norm = np.linalg.norm(m, axis=1)
     return m / np.where(norm == 0, 1, norm)[:, None], norm
 
@@ -268,9 +279,127 @@ class Index(Search):
         return super().top_n(sources, score, n, source_key, visits, start)
 
 
+class _Cell:
+    """The pairs of one cell: scores as ``Bounds`` gives them, and an upper bound of all of them by one product in single precision.
+
+    Equal values gain (or others are shut out) by further columns of the product, one per place of ``PLACES_HELD``; values
+    that share a place only raise the bound.
+    """
+
+    def __init__(self, left: pd.DataFrame, right: pd.DataFrame, b: Bounds):
+        self.b, vectors = b, (left[b.source_vector], right[b.vector])
+        width = max((len(v) for side in vectors for v in side if v is not None), default=1)
+        self.u, self.v = (_rows(v, width) if not b.unit else _unit(v, width)[0] for v in vectors)
+        reach = abs(b.weight) * np.linalg.norm(self.u, axis=1) * np.linalg.norm(self.v, axis=1).max()
+        self.shut = 1e4 + 4 * reach.max()
+        self.codes = {}
+        lefts, rights = [b.weight * self.u], [self.v]
+        for name in dict.fromkeys([*(c for c, _ in b.same), *b.must]):
+            code = pd.factorize(pd.concat([left[name], right[name]], ignore_index=True))[0]
+            self.codes[name] = x, y = code[: len(left)], code[len(left) :]
+            held = np.eye(PLACES_HELD + 1)
+            here, there = (held[np.where(c < 0, 0, c % PLACES_HELD + 1)] for c in (x, y))
+            for gain in (g for c, g in b.same if c == name):
+                lefts.append(gain * here[:, 1:])
+                rights.append(there[:, 1:])
+            if name in b.must:
+                lefts.append(np.where(x < 0, 0, -self.shut)[:, None] * (1 - here))
+                rights.append(there)
+        self.extra = b.near[1] if b.near else 0.0
+        self.slack = 4e-5 * reach + 1e-5 * (1 + sum(g for _, g in b.same) + self.extra)
+        kind = np.float32 if reach.max() < 1e30 else np.float64
+        self.left, self.right = (np.concatenate(m, axis=1).astype(kind) for m in (lefts, rights))
+        number = lambda side, name: side[name].astype(float).to_numpy()
+        self.near = (number(left, b.near[0]), number(right, b.near[0])) if b.near else None
+        self.between = (number(right, b.between[0]), number(left, b.between[1]), number(left, b.between[2])) if b.between else None
+        self.own = (left["source_id"].to_numpy(), right["item_id"].to_numpy()) if "source_id" in left and "item_id" in right else None
+
+    def scores(self, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of ``r`` and ``c`` that count, and their scores."""
+        ok = np.ones(len(r), dtype=bool)
+        if self.own:
+            ok &= self.own[0][r] != self.own[1][c]
+        for name in self.b.must:
+            x, y = self.codes[name]
+            ok &= (x[r] < 0) | (x[r] == y[c])
+        if self.between:
+            cost, low, high = self.between
+            ok &= ~((cost[c] < low[r]) | (cost[c] > high[r]))
+            if self.b.strict:
+                ok &= ~np.isnan(cost[c]) | (np.isnan(low[r]) & np.isnan(high[r]))
+        r, c = r[ok], c[ok]
+        product = np.einsum("ij,ij->i", self.u[r], self.v[c])
+        out = self.b.weight * (np.round(product, PLACES) if self.b.unit else product)
+        for name, gain in self.b.same:
+            x, y = self.codes[name]
+            out += gain * ((x[r] >= 0) & (x[r] == y[c]))
+        if self.near:
+            out += self.extra * np.exp(-((self.near[0][r] - self.near[1][c]) ** 2) / 2)
+        ok = np.isfinite(out)
+        return r[ok], c[ok], out[ok]
+
+
+def best_by_product(left: pd.DataFrame, right: pd.DataFrame, b: Bounds, need: str, source_key: str, item_key: str) -> pd.DataFrame:
+    """(source, item, score) of the best items of every source of one cell, of all its pairs.
+
+    Tiles of upper bounds come from a matrix product; pairs whose bound reaches their source's n-th score so far are
+    scored exactly, ``PAIRS`` at a time, and what is kept is at most the wanted number per source and one such batch.
+    """
+    if left.empty or right.empty:
+        return pd.DataFrame({source_key: [], item_key: [], "score": []})
+    cell, ids, wanted = _Cell(left, right, b), right[item_key].to_numpy(), left[need].to_numpy().astype(np.int64)
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(left), TILE[0]):
+        want = wanted[at : at + TILE[0]]
+        least, at_last = np.where(want > 0, -np.inf, np.inf), np.zeros(len(want), dtype=np.int64)
+        kept = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+
+        def take(r: np.ndarray, c: np.ndarray) -> None:
+            nonlocal kept
+            for i in range(0, len(r), PAIRS):
+                x, y, s = cell.scores(r[i : i + PAIRS] + at, c[i : i + PAIRS])
+                bar = least[x - at]
+                good = (s > bar) | ((s == bar) & (ids[y] < ids[at_last[x - at]]))
+                x, y, s = (np.concatenate([a, n]) for a, n in zip(kept, (x[good] - at, y[good], s[good])))
+                order = np.lexsort((ids[y], -s, x))
+                x, y, s = x[order], y[order], s[order]
+                rank = np.arange(len(x)) - np.searchsorted(x, x)
+                last = rank == want[x] - 1
+                least[x[last]], at_last[x[last]] = s[last], y[last]
+                kept = tuple(a[rank < want[x]] for a in (x, y, s))
+
+        for to in range(0, len(right), TILE[1]):
+            upper = cell.left[at : at + TILE[0]] @ cell.right[to : to + TILE[1]].T
+            few = 2 * int(np.median(want)) + 16
+            head = upper[:, : max(HEAD, 2 * few)]
+            if not to and few < head.shape[1]:
+                # The likeliest pairs of a few columns first: their scores rule out most of the others.
+                c = np.argpartition(head, -few, axis=1)[:, -few:]
+                r = np.repeat(np.arange(len(upper)), few)
+                take(r, c.ravel())
+                np.put_along_axis(upper, c, -np.inf, axis=1)
+            floor = least - cell.extra - cell.slack[at : at + TILE[0]]
+            reached = upper >= (np.maximum(floor, -cell.shut / 2) if b.must else floor)[:, None]
+            hits = np.flatnonzero(reached & (upper > -np.inf)) if np.isinf(floor).any() else np.flatnonzero(reached)
+            if len(hits):
+                take(hits // upper.shape[1], hits % upper.shape[1] + to)
+        done.append((kept[0] + at, kept[1], kept[2]))
+    r, c, s = (np.concatenate(x) for x in zip(*done))
+    return pd.DataFrame({source_key: left[source_key].to_numpy()[r], item_key: ids[c], "score": s})
+
+
 def nearest(sources: DataFrame, items: DataFrame, score: Score, bounds: Bounds, n: int, source_key: str = "source_id", item_key: str = "item_id",
             block_rows: int = BLOCK_ROWS, visits: Visits | None = None) -> DataFrame:
-    """Best ``n`` items per source. A few blocks of items are compared in full; more are indexed first, with the same result."""
-    if items.count() <= SMALL * block_rows:
+    """Best ``n`` items per source, of all pairs: ``score`` as ``bounds`` describes it.
+
+    A few blocks of items are compared in full. More are compared in cells of up to ``DENSE`` blocks a side, where a matrix product
+    tells which pairs need a score; a row is sent once per cell of its side. Beyond ``DENSE_ITEMS``, or where ``visits`` asks for it, items
+    are indexed. The result is the same.
+    """
+    size = items.count()
+    if size <= SMALL * block_rows:
         return block_top_n(sources, items, score, n, source_key, item_key, block_rows)
+    if visits is None and size <= DENSE_ITEMS:
+        rows = min(max(ceil(max(size, sources.count()) / 8), block_rows), DENSE * block_rows)
+        return block_top_n(sources, items, bounds, n, source_key, item_key, rows, best_by_product)
     return Index(items, bounds, item_key, block_rows).top_n(sources, score, n, source_key, visits)

@@ -125,8 +125,8 @@ def score_pairs(pairs: DataFrame, user_factors: DataFrame, item_factors: DataFra
 def recommend(user_factors: DataFrame, item_factors: DataFrame, users: DataFrame, n: int = 10, exclude: DataFrame | None = None, **search) -> DataFrame:
     """Best ``n`` items per known user without excluded (user, item) pairs; unknown users get none.
 
-    Large item tables are searched by norm: blocks whose largest norm times the user's cannot reach the user's n-th
-    score so far are left out (``neighbours``). ``search``: block_rows, visits.
+    Large item tables are compared in cells of matrices; with ``visits`` they are searched by norm: blocks whose largest norm
+    times the user's cannot reach the user's n-th score so far are left out (``neighbours``). ``search``: block_rows, visits.
 
     A user is asked for n plus the number of their own exclusions, so dropping these
     leaves nobody short and one long list costs the others nothing.
@@ -368,7 +368,7 @@ def model_lists(plan: DataFrame, factors: Factors, items: DataFrame, catalogue:
     asked = plan.select("request_id", "user_id", "source_product_id", F.col("price_min").cast("double").alias("price_min"), F.col("price_max").cast("double").alias("price_max"),
                         stock(F.col("in_stock_only")).alias("stock"), "strategy", _need(2).cast("int").alias("need"))
     shop = catalogue.select("item_id", F.col("price").cast("double").alias("price"), F.coalesce(stock(F.col("is_in_stock")), F.lit("no")).alias("stock"))
-    limits = {"must": ("stock",), "between": ("price", "price_min", "price_max")}
+    limits = {"must": ("stock",), "between": ("price", "price_min", "price_max"), "strict": True}
     users = factors.userFactors.select(F.col("id").alias("user_id"), F.col("features").alias("source_vector"))
     known = factors.itemFactors.select(F.col("id").alias("item_id"), F.col("features").alias("vector")).join(shop, "item_id", "left")
     sources = asked.filter(F.col("strategy").isin("collaborative", "hybrid")).join(users, "user_id").drop("user_id", "source_product_id", "strategy")

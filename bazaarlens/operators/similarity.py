@@ -18,15 +18,18 @@ from pyspark.sql import functions as F
 
 from .scale import top_k
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS, PLACES = 4096, 12
 # (sources, items) -> score matrix [sources x items]; -inf drops a pair.
 Score = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 
 
 def _product(left: pd.Series, right: pd.Series) -> np.ndarray:
-    """Cosines of all rows of two columns of vectors; a missing vector is a zero vector of the others' width."""
+    """Cosines of all rows of two columns of vectors; a missing vector is a zero vector of the others' width.
+
+    Rounded to ``PLACES``, so that equal vectors tie in whatever block they stand.
+    """
     width = max((len(v) for side in (left, right) for v in side if v is not None), default=1)
-    return _matrix(left, width) @ _matrix(right, width).T
+    return np.round(_matrix(left, width) @ _matrix(right, width).T, PLACES)
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -62,10 +65,10 @@ def best_of_cell(left: pd.DataFrame, right: pd.DataFrame, score: Score, need: st
 
 
 def block_top_n(sources: DataFrame, items: DataFrame, score: Score, n: int, source_key: str = "source_id",
-                item_key: str = "item_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+                item_key: str = "item_id", block_rows: int = BLOCK_ROWS, best_of: Callable[..., pd.DataFrame] = best_of_cell) -> DataFrame:
     """Best ``n`` items per source as (source, item, score, rank), over all pairs.
 
-    A source may ask for its own number in a column ``need``.
+    A source may ask for its own number in a column ``need``. ``best_of`` finds the best of a cell.
     """
     own = "need" in sources.columns
     src_blocks = max(1, ceil(sources.count() / block_rows))
@@ -78,7 +81,7 @@ def block_top_n(sources: DataFrame, items: DataFrame, score: Score, n: int, sour
     i = items.withColumn("_ib", block(item_key, item_blocks)).withColumn("_sb", every(src_blocks))
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return best_of_cell(left if own else left.assign(need=n), right, score, "need", source_key, item_key)
+        return best_of(left if own else left.assign(need=n), right, score, "need", source_key, item_key)
 
     kinds = {f.name: f.dataType.simpleString() for f in [*sources.schema, *items.schema]}
     schema = f"{source_key} {kinds[source_key]}, {item_key} {kinds[item_key]}, score double"

@@ -59,6 +59,31 @@ def test_content_neighbours_and_search_through_the_index(spark, clustered):
     agree(got(a, "query_id"), got(b, "query_id"))
 
 
+def test_cells_of_products_give_the_pairs_of_full_scores(spark, clustered):
+    """Large tables: every source's own number, ties by id, zero and missing vectors, filters, in one cell and over many."""
+    sources = clustered.withColumnRenamed("item_id", "source_id").withColumn("need", F.when(F.col("source_id") % 9 == 0, 600).when(F.col("source_id") % 7 == 0, 0).otherwise(4))
+    full = SIM.block_top_n(sources, clustered, SIM.cosine_score(), 4)
+    agree(got(NB.nearest(sources, clustered, SIM.cosine_score(), NB.Bounds(), 4, block_rows=60)), got(full))
+    left, right = sources.toPandas(), clustered.toPandas()
+    tiles, NB.TILE = NB.TILE, (64, 128)
+    try:
+        cell = NB.best_by_product(left, right, NB.Bounds(), "need", "source_id", "item_id")
+    finally:
+        NB.TILE = tiles
+    assert len(cell) == full.count() and not cell.duplicated(["source_id", "item_id"]).any()
+    weights = (0.5, 0.2, 0.15, 0.15)
+    for frame in (left, right):
+        frame["price_z"] = frame["price"] / 10
+    bounds = NB.Bounds(weight=0.5, same=(("category", 0.2), ("brand", 0.15)), near=("price_z", 0.15), must=("brand",), between=("price", "low", "high"))
+    left = left.assign(low=np.where(left.source_id % 2 == 0, 5.0, np.nan), high=np.where(left.source_id % 4 == 0, 50.0, np.nan))
+    table = SIM.content_score(weights)(left, right)
+    cost = right["price"].to_numpy()[None, :]
+    table[(left["brand"].to_numpy()[:, None] != right["brand"].to_numpy()[None, :]) | (cost < left["low"].to_numpy()[:, None]) | (cost > left["high"].to_numpy()[:, None])] = -np.inf
+    mine = NB.best_by_product(left, right, bounds, "need", "source_id", "item_id").sort_values(["source_id", "score", "item_id"], ascending=[True, False, True])
+    want = SIM.best_of_cell(left, right, lambda a, b: table, "need", "source_id", "item_id").sort_values(["source_id", "score", "item_id"], ascending=[True, False, True])
+    assert mine["source_id"].to_list() == want["source_id"].to_list() and np.allclose(mine["score"], want["score"])
+
+
 def test_inner_products_of_all_users_with_their_own_exclusions(spark):
     rng = np.random.default_rng(8)
     users = rng.normal(size=(300, 6))
