@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.guards import count_if, ratio, zero
@@ -18,11 +18,21 @@ FUNNEL = {
 }
 
 
+def _first_of_order(items: DataFrame) -> DataFrame:
+    """Lines with ``_first``: true on one line of each (order, merchant, product), so that orders are counted by a plain sum.
+
+    Lines joined by order are already dealt by order; they are sorted there, which needs a row's own size and spills,
+    while a distinct count holds two hash entries with all sums for nearly every line.
+    """
+    one = F.row_number().over(Window.partitionBy("order_id", *KEY).orderBy("order_id")) == 1
+    return items.withColumn("_first", one & F.col("order_id").isNotNull())
+
+
 def sales(items: DataFrame) -> DataFrame:
-    """Sales per (merchant, product); distinct orders use Spark's two-phase distinct."""
-    return items.groupBy(*KEY).agg(
+    """Sales per (merchant, product); orders are counted by their first line."""
+    return _first_of_order(items).groupBy(*KEY).agg(
         F.sum("total_amount").alias("total_revenue"), F.sum("quantity").alias("total_units_sold"),
-        F.countDistinct("order_id").alias("order_count"),
+        count_if(F.col("_first")).alias("order_count"),
         ratio(F.sum("unit_price"), F.count("unit_price"), None).alias("avg_selling_price"),
         ratio(F.sum("quantity"), F.count("quantity"), None).alias("avg_quantity_per_order"),
         F.sum("discount_amount").alias("total_discounts"), F.max("created_at").alias("last_sold_at"))
@@ -124,10 +134,15 @@ def popular_products(scores: DataFrame, k: int = 10) -> DataFrame:
 
 
 def rollup(items: DataFrame, events: DataFrame) -> DataFrame:
-    """Stored product counters: views, orders, revenue and conversion (4 places)."""
-    v = events.filter(F.col("event_type") == "product_view").groupBy(*KEY).agg(F.count(F.lit(1)).alias("view_count"))
-    s = items.groupBy(*KEY).agg(F.countDistinct("order_id").alias("order_count"), F.sum("total_amount").alias("revenue"))
-    j = s.join(v, list(KEY), "full_outer").withColumns({c: zero(c) for c in ("view_count", "order_count", "revenue")})
+    """Stored product counters: views, orders, revenue and conversion (4 places).
+
+    Lines and views are summed together instead of being joined; a missing key equals none, so its sides stay apart.
+    """
+    known = F.col(KEY[0]).isNotNull() & F.col(KEY[1]).isNotNull()
+    side = lambda df, no, **sums: df.select(*KEY, F.when(known, 0).otherwise(no).alias("_side"), *[c.alias(n) for n, c in sums.items()])
+    lines = side(_first_of_order(items), 1, order_count=F.when(F.col("_first"), 1).otherwise(0), revenue=F.col("total_amount"), view_count=F.lit(0))
+    views = side(events.filter(F.col("event_type") == "product_view"), 2, order_count=F.lit(0), revenue=F.lit(None).cast(items.schema["total_amount"].dataType), view_count=F.lit(1))
+    j = lines.unionByName(views).groupBy(*KEY, "_side").agg(*[F.sum(c).alias(c) for c in ("order_count", "revenue", "view_count")]).drop("_side").withColumn("revenue", zero("revenue"))
     return j.withColumn("conversion_rate", F.round(ratio("order_count", "view_count"), 4))
 
 

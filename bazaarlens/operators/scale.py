@@ -10,10 +10,23 @@ key that is unique on one side (adaptive execution splits the other side).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+TASK_ROWS = 1 << 18
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` of so many rows, dealt by ``keys`` to as many tasks as it takes to give each ``TASK_ROWS`` on average.
+
+    Sorts and hash tables of a task then keep their size while the input grows. Where the session's cores get
+    fewer rows each, the frame stays as it is.
+    """
+    tasks = ceil(rows / TASK_ROWS)
+    return df.repartition(tasks, *keys) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+
 
 def purchase_sequence(
     orders: DataFrame, keys: Sequence[str] = ("merchant_id", "customer_id"),

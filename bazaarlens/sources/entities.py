@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.guards import money
+from ..operators.scale import dealt
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -127,7 +128,8 @@ def from_cents(cents: Column) -> Column:
 def items(spark: SparkSession, root: str) -> DataFrame:
     """Order lines carrying merchant, customer, status and order date."""
     head = orders(spark, root).select("order_id", "merchant_id", "customer_id", "status", "created_at")
-    return raw_items(spark, root).join(head, "order_id")
+    lines = dealt(raw_items(spark, root), table(spark, root, "lineitem").count(), "order_id")
+    return lines.join(head, "order_id")
 
 
 def products(spark: SparkSession, root: str) -> DataFrame:
