@@ -164,18 +164,19 @@ def model_daily_gmv(fact: DataFrame) -> DataFrame:
     parts = {
         **{f"s_{c}": F.sum(c) for c in sums},
         "n_orders": F.count("order_id"), "n_items": F.count("item_count"), "n_total": F.count("total_amount"),
-        "n_ship": F.count("hours_to_ship"), "any_first": F.max(F.col("is_first_order").cast("int")),
+        "n_ship": F.count("hours_to_ship"),
         "orders_with_recommendations": count_if(rec), "orders_with_coupon": count_if(coupon),
         "coupon_discount_total": sum_if(coupon, "discount_amount"),
         **{f"gmv_{slug(g)}": gmv_if(F.col("channel_grouping") == g) for g in GROUPINGS},
         **{f"gmv_{t}_customers": gmv_if(F.col("customer_tier") == t) for t in TIERS},
     }
-    per_customer = fact.groupBy(*key, "customer_id").agg(*[e.alias(n) for n, e in parts.items()])
-    known = F.col("customer_id").isNotNull()
-    day = per_customer.groupBy(*key).agg(
-        *[F.sum(n).alias(n) for n in parts if n != "any_first"],
-        F.count("customer_id").alias("unique_customers"),
-        count_if(known & (F.col("any_first") == 1)).alias("new_customers"))
+    # One row stands for a customer's day, a first order if there is one; sorted rows are far narrower than hash entries with all sums.
+    one = F.row_number().over(Window.partitionBy(*key, "customer_id").orderBy(F.desc("is_first_order"))) == 1
+    counted = fact.withColumn("_one", one & F.col("customer_id").isNotNull())
+    day = counted.groupBy(*key).agg(
+        *[e.alias(n) for n, e in parts.items()],
+        count_if(F.col("_one")).alias("unique_customers"),
+        count_if(F.col("_one") & F.col("is_first_order")).alias("new_customers"))
     return day.select(
         F.concat_ws("_", F.col("merchant_id").cast("string"), F.col("order_date").cast("string")).alias("merchant_date_key"),
         *key, F.col("s_gmv").alias("gmv"), F.col("s_net_revenue").alias("net_revenue"),
