@@ -100,10 +100,13 @@ def fit_factors(ratings: DataFrame, rank: int = 64, reg: float = 0.01, iteration
                 blocks: int | None = None) -> Factors:
     """Implicit-feedback ALS over ids of any type; deep lineage is cut in the session's shared folder.
 
-    As many blocks as the session has shuffle partitions, unless given.
+    As many blocks as the session has shuffle partitions, unless given. Ratings are written once, as the ids of both
+    sides and the fit read them.
     """
     from ..session import shared_folder
+    from .neighbours import _stage
     shared_folder(ratings.sparkSession)
+    ratings = _stage(ratings.select("user_id", "item_id", "weight"), "ratings")
     blocks = blocks or int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     users = indexed(ratings, "user_id").select("user_id", F.col("item_no").cast("int").alias("_u"))
     items = indexed(ratings, "item_id").select("item_id", F.col("item_no").cast("int").alias("_i"))
