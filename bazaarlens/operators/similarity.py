@@ -200,13 +200,33 @@ def bought_together(baskets: DataFrame, anchors: DataFrame) -> DataFrame:
     return left.join(right, "order_id").filter(F.col("item_id") != F.col("other_id")).groupBy("item_id", "other_id").agg(F.count(F.lit(1)).alias("together"))
 
 
-def complete_carts(carts: DataFrame, baskets: DataFrame, n: int = 10) -> DataFrame:
-    """Items most often bought with the items of each cart (``cart_id, item_id``)."""
-    pairs = bought_together(baskets, carts)
-    votes = carts.select("cart_id", "item_id").distinct().join(pairs, "item_id").groupBy("cart_id", F.col("other_id").alias("candidate_id")).agg(
-        F.sum("together").alias("together"))
-    inside = carts.select("cart_id", F.col("item_id").alias("candidate_id")).distinct()
-    fresh = votes.join(inside, ["cart_id", "candidate_id"], "left_anti")
-    return top_k(fresh, ["cart_id"], [F.desc("together"), F.asc("candidate_id")], n)
+#: A list of an item's others is cut at ``PIECE``; carts of more than ``WIDE_CART`` items vote pair by pair; ``CART_LINES`` lines of carts make a task.
+PIECE, WIDE_CART, CART_LINES = 4096, 4096, 1 << 14
+
 
+def complete_carts(carts: DataFrame, baskets: DataFrame, n: int = 10, wide: int = WIDE_CART) -> DataFrame:
+    """Items most often bought with the items of each cart (``cart_id, item_id``).
 
+    What is bought with an item equally often travels to the carts that hold it as one list, and votes are added up in
+    the task of their cart: none is shuffled by itself. Votes of a cart of more than ``wide`` items are spread by candidate.
+    """
+    from .neighbours import _stage
+    own = _stage(carts.select("cart_id", "item_id").distinct(), "cart-items")
+    pairs = bought_together(baskets, own)
+    tasks = max(ceil(own.count() / CART_LINES), own.sparkSession.sparkContext.defaultParallelism)
+    large = own.groupBy("cart_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > wide).select("cart_id")
+    split = not large.isEmpty()
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy("other_id"))
+    pieces = pairs.repartition(tasks, "item_id").withColumn("_piece", F.floor((place - 1) / PIECE)).groupBy("item_id", "together", "_piece").agg(F.collect_list("other_id").alias("_others"))
+    own_light = own.join(large, "cart_id", "left_anti") if split else own
+    met = own_light.join(pieces, "item_id").select("cart_id", "together", "_others")
+    # An item of the cart itself votes null and is dropped; rows without a cart id are no cart's items.
+    itself = own_light.filter("cart_id IS NOT NULL").select("cart_id", F.lit(None).cast("bigint").alias("together"), F.array("item_id").alias("_others"))
+    votes = met.unionByName(itself).repartition(tasks, "cart_id").select("cart_id", "together", F.explode("_others").alias("candidate_id")).groupBy("cart_id", "candidate_id").agg(
+        F.sum("together").alias("together"), F.count(F.lit(1)).alias("_all"), F.count("together").alias("_votes"))
+    fresh = votes.filter("_all = _votes").select("cart_id", "candidate_id", "together")
+    if split:
+        some = own.join(large, "cart_id", "left_semi")
+        more = some.join(pairs, "item_id").groupBy("cart_id", F.col("other_id").alias("candidate_id")).agg(F.sum("together").alias("together"))
+        fresh = fresh.unionByName(more.join(some.withColumnRenamed("item_id", "candidate_id"), ["cart_id", "candidate_id"], "left_anti"))
+    return top_k(fresh, ["cart_id"], [F.desc("together"), F.asc("candidate_id")], n)

@@ -1,3 +1,5 @@
+import contextlib
+import io
 import os
 import sys
 import tempfile
@@ -33,3 +35,10 @@ def rows(df, *columns):
     """Rows as sorted tuples."""
     df = df.select(*columns) if columns else df
     return sorted((tuple(r) for r in df.collect()), key=lambda t: tuple((v is None, str(v)) for v in t))
+
+
+def plan(df):
+    """The physical plan as text."""
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain()
+    return out.getvalue()

@@ -1,10 +1,11 @@
 import numpy as np
-from conftest import rows
+from conftest import plan, rows
 from pyspark.sql import functions as F
 
 from bazaarlens.operators import promotions as PM
 from bazaarlens.operators import recommend as RC
 from bazaarlens.operators import similarity as SIM
+from bazaarlens.plans import recommendations as PR
 
 
 def test_block_top_n_equals_brute_force_across_blocks(spark):
@@ -49,6 +50,43 @@ def test_cart_completion_excludes_the_cart(spark):
     assert out.groupBy("cart_id").count().filter("count <> 5").isEmpty()
 
 
+def test_cart_completion_counts_like_brute_force_and_shuffles_no_votes(spark):
+    b, data = _baskets(spark)
+    orders = {}
+    for o, i in data:
+        orders.setdefault(o, set()).add(i)
+    held = [(1, 3), (1, 4), (1, 4), (2, 39), (None, 3), (None, 5), (3, None), (4, 999), (5, 0), (5, 7), (5, 9)]
+    carts = spark.createDataFrame(held, "cart_id int, item_id long")
+    want = {}
+    for c in {c for c, _ in held}:
+        mine, votes = {i for x, i in held if x == c}, {}
+        for i in mine:
+            for o in orders.values():
+                for j in o - {i} if i in o else ():
+                    votes[j] = votes.get(j, 0) + 1
+        best = sorted((-v, j) for j, v in votes.items() if c is None or j not in mine)[:5]
+        want |= {(c, k): (j, -v) for k, (v, j) in enumerate(best, 1)}
+    for wide in (4096, 2, 0):
+        out = SIM.complete_carts(carts, b, 5, wide)
+        assert {(r.cart_id, r["rank"]): (r.candidate_id, r.together) for r in out.collect()} == want
+    assert not [x for x in plan(SIM.complete_carts(carts, b, 5)).splitlines() if "Exchange hashpartitioning(cart_id" in x and "candidate_id" in x]
+
+
+def test_training_parses_events_once(spark):
+    """Every event is read by one job; all further steps read what that job wrote."""
+    rng = np.random.default_rng(8)
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda p: read.add(1) or int(p), "long").asNondeterministic()
+    data = [(int(u), str(int(i)), "purchase", int(d)) for u, i, d in zip(rng.integers(0, 12, 400), rng.integers(0, 15, 400), rng.integers(0, 30, 400))]
+    raw = spark.createDataFrame(data, "user_id long, p string, event_type string, d int").repartition(3)
+    events = raw.select("user_id", seen("p").alias("item_id"), "event_type", F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, d)").alias("ts"))
+    m = PR.train(events, "2024-01-01", "2024-01-31", train_days=20, validate_days=25, test_days=30, rank=4, iterations=2).metrics.first()
+    assert 0 < m["users"] <= 12 and 0 < read.value <= 400
+    read.value = 0
+    RC.fit_factors(events.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("weight")), rank=4, iterations=1).itemFactors.count()
+    assert read.value == 400
+
+
 def test_negatives_are_never_positives_and_repeatable(spark):
     pos = spark.createDataFrame([(u, i) for u in range(5) for i in range(u * 3, u * 3 + 4)], "user_id long, item_id long")
     catalogue = spark.range(200).withColumnRenamed("id", "item_id")
