@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from .neighbours import BLOCKS, Search, Visits, _stage
 from .scale import top_k
-from .similarity import bought_together
 
 WIDE, BLOCK_ROWS, SLICE = 256, 1024, 2048
 
@@ -89,17 +88,18 @@ def item_item(baskets: DataFrame, anchors: DataFrame, n: int = 10, wide: int = W
     """
     lines = baskets.select("order_id", "item_id").distinct()
     freq = lines.groupBy("item_id").agg(F.count(F.lit(1)).alias("f"))
+    chosen = None if anchors is baskets else anchors.select("item_id").distinct()
     large = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > wide).select("order_id")
     if large.isEmpty():
-        return _ranked(bought_together(lines, anchors), freq, n)
+        return top_k(_scored(_pairs(lines, freq, chosen)), ["item_id"], [F.desc("score"), F.asc("other_id")], n)
     large = _stage(large, "copurchase-wide")
     held = _stage(lines.join(large, "order_id").groupBy("item_id").agg(F.sort_array(F.collect_list(F.col("order_id").cast("bigint"))).alias("wide")).join(freq, "item_id"), "copurchase-lists")
-    pairs = bought_together(lines.join(large, "order_id", "left_anti"), anchors)
+    pairs = _pairs(lines.join(large, "order_id", "left_anti"), freq, chosen)
     lists = lambda key, name: held.select(F.col("item_id").alias(key), F.col("wide").alias(name))
     pairs = pairs.join(lists("item_id", "_a"), "item_id", "left").join(lists("other_id", "_b"), "other_id", "left")
     more = F.coalesce(F.size(F.array_intersect("_a", "_b")), F.lit(0))
-    known = _stage(_ranked(pairs.select("item_id", "other_id", (F.col("together") + F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), more).otherwise(0)).alias("together")), freq, None), "copurchase-known")
-    sources = held.join(anchors.select("item_id").distinct(), "item_id", "left_semi").select("item_id", "f", "wide", F.size("wide").alias("_wide"))
+    known = _stage(_scored(pairs.withColumn("together", F.col("together") + F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), more).otherwise(0))), "copurchase-known")
+    sources = (held if chosen is None else held.join(chosen, "item_id", "left_semi")).select("item_id", "f", "wide", F.size("wide").alias("_wide"))
     items, blocks = _blocks(held.select(F.col("item_id").alias("other_id"), "f", "wide"), block_rows)
     search = Search(items, blocks, _bound, "other_id", block_rows)
     found = search.top_n(sources.withColumnRenamed("f", "f"), _cosine, n, "item_id", visits, known.join(sources.select("item_id"), "item_id", "left_semi"))
@@ -110,7 +110,22 @@ def item_item(baskets: DataFrame, anchors: DataFrame, n: int = 10, wide: int = W
     return top_k(counted.unionByName(rest), ["item_id"], [F.desc("score"), F.asc("other_id")], n)
 
 
-def _ranked(pairs: DataFrame, freq: DataFrame, n: int | None) -> DataFrame:
-    other = freq.select(F.col("item_id").alias("other_id"), F.col("f").alias("_g"))
-    scored = pairs.join(freq, "item_id").join(other, "other_id").withColumn("score", F.col("together") / F.sqrt(F.col("f").cast("double") * F.col("_g"))).drop("f", "_g")
-    return scored if n is None else top_k(scored, ["item_id"], [F.desc("score"), F.asc("other_id")], n)
+def _pairs(lines: DataFrame, freq: DataFrame, chosen: DataFrame | None) -> DataFrame:
+    """(item, other, together, f, g): as ``bought_together``, with the number of orders of both.
+
+    Lines take these numbers along before they meet, so that the pairs, which are many more, are not shuffled for them.
+    Where all items are anchors a pair is counted once and read both ways.
+    """
+    b = lines.join(freq, "item_id")
+    left = b if chosen is None else b.join(chosen, "item_id", "left_semi")
+    right = b.select("order_id", F.col("item_id").alias("other_id"), F.col("f").alias("g"))
+    apart = F.col("item_id") < F.col("other_id") if chosen is None else F.col("item_id") != F.col("other_id")
+    met = left.join(right, "order_id").filter(apart).groupBy("item_id", "other_id", "f", "g").agg(F.count(F.lit(1)).alias("together"))
+    if chosen is not None:
+        return met
+    ways = F.array(F.struct("item_id", "other_id", "f", "g"), F.struct(F.col("other_id").alias("item_id"), F.col("item_id").alias("other_id"), F.col("g").alias("f"), F.col("f").alias("g")))
+    return met.select("together", F.inline(ways))
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    return pairs.select("item_id", "other_id", "together", (F.col("together") / F.sqrt(F.col("f").cast("double") * F.col("g"))).alias("score"))

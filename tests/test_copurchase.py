@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from conftest import plan
 
 from bazaarlens.operators import copurchase as CP
 from bazaarlens.operators.neighbours import Visits
@@ -44,3 +45,23 @@ def test_a_basket_of_twenty_thousand_lines_has_few_cells(spark):
     assert len(got) == 20_000 and sum(visits.rounds) < 5 * 20_000 and visits.skipped > 0.7
     assert got[19_999] == [(500, 1), (501, 1), (502, 1)] and got[500] == [(501, 1), (502, 1), (503, 1)]
     assert got[0] == [(50, 2), (100, 2), (150, 2)]
+
+
+def test_pairs_are_counted_once_and_not_joined_with_frequencies(spark):
+    rng = np.random.default_rng(9)
+    data = [(o, int(i)) for o in range(60) for i in rng.choice(50, size=4, replace=False)]
+    b = spark.createDataFrame([*data, *data[:20], (None, 1), (1, None)], "order_id long, item_id long")
+    out = CP.item_item(b, b, 5)
+    got = result(out)
+    freq = {}
+    for _, i in {*data, (None, 1)}:  # an order without id counts for its items
+        freq[i] = freq.get(i, 0) + 1
+    orders = {}
+    for o, i in data:
+        orders.setdefault(i, set()).add(o)
+    want = {a: [(j, t) for _, j, t in sorted((-len(x & y) / np.sqrt(float(freq[a]) * freq[j]), j, len(x & y)) for j, y in orders.items() if j != a and x & y)[:5]] for a, x in orders.items()}
+    assert got == want
+    text = plan(out)
+    assert text.index("Join") > text.index("together")  # every join stands below the count
+    above = text[: text.index("Join")]
+    assert "item_id" in above and above.count("Exchange") <= 2
