@@ -387,7 +387,7 @@ def _(spark, root):
             SELECT merchant_id, customer_id, brand, count(DISTINCT order_id) AS bo FROM items JOIN products USING (product_id) GROUP BY 1, 2, 3) GROUP BY 1, 2)
           USING (merchant_id, customer_id)""", (Q.ITEMS, Q.PRODUCTS))
 def _(spark, root):
-    return C.behaviour(E.items(spark, root), E.products(spark, root))
+    return C.behaviour(E.items(spark, root), E.products(spark, root), rows=E.table(spark, root, "lineitem").count())
 
 
 @query("pr42_shareable_customers", "customer_hash:s merchant_id:i email_masked:s first_name_masked:s last_name_masked:s name_slug:s",

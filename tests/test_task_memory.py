@@ -7,6 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from bazaarlens.operators import customers as C
 from bazaarlens.operators import daily as D
 from bazaarlens.operators import products as P
 from bazaarlens.operators import scale
@@ -66,3 +67,22 @@ def test_lines_are_dealt_to_as_many_tasks_as_rows_ask_for(spark, sf, monkeypatch
     monkeypatch.setattr(scale, "TASK_ROWS", 100)
     many = E.items(spark, sf)
     assert many.count() == whole and "REPARTITION_BY_NUM" in plan(many)
+
+
+def test_behaviour_reads_lines_once_and_counts_like_sets(spark):
+    lines = [(1, 1, 7, 1, 0), (1, 1, 8, 1, 1), (1, 1, 7, 1, None), (2, 1, 8, 1, 2), (3, 1, 99, 1, 1), (None, 1, 7, 1, 1), (None, 1, 9, 1, 0), (4, 1, 99, 2, 0), (5, None, 7, 3, 0), (6, 1, 7, None, 0), (7, 2, 10, 4, 1)]
+    shop = {7: [("a", "x")], 8: [("a", "y")], 9: [(None, None)], 10: [("b", "z"), ("b", "z")]}
+    products = spark.createDataFrame([(p, *x) for p, v in shop.items() for x in v], "product_id long, brand string, product_type string")
+    df = items(spark, lines)
+    want = {}
+    for m, c in {(m, c) for _, m, _, c, _ in lines if m and c}:
+        mine = [x for x in lines if (x[1], x[3]) == (m, c)]
+        joined = [(x, s) for x in mine for s in shop.get(x[2], ())]
+        if joined:
+            brands = [len({x[0] for x, s in joined if s[0] == b}) for b in {s[0] for _, s in joined}]
+            want[m, c] = (len(joined), sum((x[4] or 0) > 0 for x, _ in joined), max(brands), len({x[0] for x in mine}), len({s[1] for _, s in joined} - {None}))
+    for n in (0, scale.TASK_ROWS * (spark.sparkContext.defaultParallelism + 1)):
+        out = C.behaviour(df, products, rows=n)
+        assert {(r.merchant_id, r.customer_id): (r.line_count, r.sale_lines, r.top_brand_orders, r.order_count, r.category_count) for r in out.collect()} == want
+        fresh = plan(C.behaviour(df, products, rows=n))
+        assert fresh.count("Join") == 1 and ("REPARTITION_BY_NUM" in fresh) == (n > 0)  # tasks by the number of lines
