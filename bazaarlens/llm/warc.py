@@ -14,22 +14,30 @@ from .shared import new_path, stage
 MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
 MIN_REVISIT = 100
+PACKED = ("brotli", 5)
 _FIELDS = ("page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string")
 _CANDIDATE = f"file string, block bigint, rel bigint, label bigint, next bigint, head bigint, size bigint, whole boolean, {_FIELDS}"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Payloads compressed for the shuffle, with length and digest."""
-    codec = pa.Codec("zstd")
+    """Payloads compressed for the shuffle (brotli knows markup beforehand, and each is compressed alone), with length and digest."""
+    codec = pa.Codec(PACKED[0], compression_level=PACKED[1])
     for batch in batches:
         data = [(v.as_py() or "").encode() for v in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([codec.compress(d, asbytes=True) for d in data], type=pa.binary()), pa.array([len(d) for d in data], type=pa.int64()),
-                                          pa.array([hashlib.sha256(d).hexdigest() for d in data], type=pa.string())], names=["page_id", "url", "packed", "bytes", "digest"])
+                                          pa.array([hashlib.sha256(d).digest() for d in data], type=pa.binary())], names=["page_id", "url", "packed", "bytes", "digest"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Length and digest of the payloads alone."""
+    for batch in batches:
+        data = [(v.as_py() or "").encode() for v in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(d) for d in data], type=pa.int64()), pa.array([hashlib.sha256(d).digest() for d in data], type=pa.binary())], names=["page_id", "bytes", "digest"])
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One record per row, less the line ends that close it."""
-    codec = pa.Codec("zstd")
+    codec = pa.Codec(PACKED[0])
     urn = lambda i: f"<urn:page:{'' if i is None else i}>"
     for batch in batches:
         out = []
@@ -37,7 +45,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             payload = "" if r["revisit"] else codec.decompress(r["packed"], r["bytes"], asbytes=True).decode()
             url = (r["url"] or "").replace("\r", "%0D").replace("\n", "%0A")  # no value can end its line
             fields = {"WARC-Type": "revisit" if r["revisit"] else "response", "WARC-Record-ID": urn(r["page_id"]), "WARC-Target-URI": url, "WARC-Date": "2024-01-15T00:00:00Z",
-                      "WARC-Payload-Digest": f"sha256:{r['digest']}", "WARC-Payload-Length": r["bytes"]}
+                      "WARC-Payload-Digest": f"sha256:{r['digest'].hex()}", "WARC-Payload-Length": r["bytes"]}
             if r["revisit"]:
                 fields |= {"WARC-Refers-To": urn(r["first"]), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
             fields |= {"Content-Type": "text/html; charset=utf-8", "Content-Length": len(payload.encode())}
@@ -54,8 +62,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     all ids of its group are null; a row repeated with the smallest id is a response each time.
     """
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    rows = rows.mapInArrow(_pack, "page_id bigint, url string, packed binary, bytes bigint, digest string")
-    first = rows.filter(F.col("bytes") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    seen = rows.select("page_id", "html").mapInArrow(_digests, "page_id bigint, bytes bigint, digest binary")
+    rows = rows.mapInArrow(_pack, "page_id bigint, url string, packed binary, bytes bigint, digest binary")
+    first = seen.filter(F.col("bytes") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     rows = rows.join(first, "digest", "left").withColumn("revisit", F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
     rows.mapInArrow(_records, "value string").write.option("lineSep", END).text(path)
 

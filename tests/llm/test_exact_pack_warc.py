@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, differences
 
@@ -175,3 +176,14 @@ def test_pipeline_against_its_stages(spark, sf):
     odd = spark.createDataFrame([(1, "x " * 60, "en", "s", 1), (1, "x " * 60, "en", "s", 1), (None, None, None, None, None), (2, "", "en", None, 0)], docs.schema)
     for name, apply in P.STAGES:
         odd = stage(apply(spark, odd, sf), "odd")
+
+
+def test_payloads_cross_the_shuffle_smaller_than_packed_by_zstd(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").toArrow().to_batches()
+    packed = [b for b in warc._pack(iter(pages))]
+    texts = [(v or "").encode() for b in pages for v in b.column(2).to_pylist()]
+    zstd = pa.Codec("zstd")
+    sent = sum(len(v) + len(d) for b in packed for v, d in zip(b.column(2).to_pylist(), b.column(4).to_pylist()))
+    assert sent < 0.95 * sum(len(zstd.compress(t, asbytes=True)) + 64 for t in texts)
+    codec = pa.Codec(warc.PACKED[0])
+    assert [codec.decompress(v, n, asbytes=True) if n else b"" for b in packed for v, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist())] == texts
