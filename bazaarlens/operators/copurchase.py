@@ -11,10 +11,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scale
 from .neighbours import BLOCKS, Search, Visits, _stage
-from .scale import top_k
+from .scale import dealt, top_k
 
 WIDE, BLOCK_ROWS, SLICE = 256, 1024, 2048
+#: Rows of a busy item are spread over so many tasks where they get its number of orders, and where they get its list of baskets.
+SPREAD, SPREAD_LISTS = 16, 4
 
 
 def _shared(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
@@ -86,45 +89,91 @@ def item_item(baskets: DataFrame, anchors: DataFrame, n: int = 10, wide: int = W
     products of sparse matrices and emit their best n. So no basket's pairs are ever listed, and the result is the same for
     every ``wide``. Ids are numbers.
     """
-    lines = baskets.select("order_id", "item_id").distinct()
+    lines = _stage(dealt(baskets.select("order_id", "item_id"), baskets.count(), "order_id", "item_id").distinct(), "copurchase-lines")
     freq = lines.groupBy("item_id").agg(F.count(F.lit(1)).alias("f"))
     chosen = None if anchors is baskets else anchors.select("item_id").distinct()
-    large = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > wide).select("order_id")
-    if large.isEmpty():
-        return top_k(_scored(_pairs(lines, freq, chosen)), ["item_id"], [F.desc("score"), F.asc("other_id")], n)
-    large = _stage(large, "copurchase-wide")
-    held = _stage(lines.join(large, "order_id").groupBy("item_id").agg(F.sort_array(F.collect_list(F.col("order_id").cast("bigint"))).alias("wide")).join(freq, "item_id"), "copurchase-lists")
-    pairs = _pairs(lines.join(large, "order_id", "left_anti"), freq, chosen)
+    size = F.col("n")
+    sizes = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"))
+    n_lines, n_small, n_pairs = sizes.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(size <= wide, size)), F.lit(0)), F.coalesce(F.sum(F.when(size <= wide, size * (size - 1))), F.lit(0))).first()
+    n_pairs = n_pairs // 2 if chosen is None else n_pairs
+    order = [F.desc("score"), F.asc("other_id")]
+    if n_lines == n_small:
+        return top_k(_limited(_scored(_both_ways(_pairs(lines, freq, chosen, n_small, n_pairs), chosen)), n_pairs, n), ["item_id"], order, n)
+    large = _stage(sizes.filter(size > wide).select("order_id"), "copurchase-wide")
+    held = dealt(lines.join(large, "order_id").select("item_id", F.col("order_id").cast("bigint").alias("order_id")), n_lines - n_small, "item_id")
+    held = _stage(held.groupBy("item_id").agg(F.sort_array(F.collect_list("order_id")).alias("wide")).join(freq, "item_id"), "copurchase-lists")
+    pairs = _pairs(lines.join(large, "order_id", "left_anti"), freq, chosen, n_small, n_pairs)
     lists = lambda key, name: held.select(F.col("item_id").alias(key), F.col("wide").alias(name))
-    pairs = pairs.join(lists("item_id", "_a"), "item_id", "left").join(lists("other_id", "_b"), "other_id", "left")
+    pairs = _looked_up(pairs, lists("item_id", "_a"), "item_id", "other_id", n_pairs, SPREAD_LISTS, "left")
+    pairs = _looked_up(pairs, lists("other_id", "_b"), "other_id", "item_id", n_pairs, SPREAD_LISTS, "left")
     more = F.coalesce(F.size(F.array_intersect("_a", "_b")), F.lit(0))
-    known = _stage(_scored(pairs.withColumn("together", F.col("together") + F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), more).otherwise(0))), "copurchase-known")
+    pairs = pairs.withColumn("together", F.col("together") + F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), more).otherwise(0)).drop("_a", "_b")
+    # What a cell says of a known pair is no more than its score, so no pair beyond an item's n best known ones can come in.
+    known = _stage(top_k(_limited(_scored(_both_ways(pairs, chosen)), n_pairs, n), ["item_id"], order, n).drop("rank"), "copurchase-known")
     sources = (held if chosen is None else held.join(chosen, "item_id", "left_semi")).select("item_id", "f", "wide", F.size("wide").alias("_wide"))
     items, blocks = _blocks(held.select(F.col("item_id").alias("other_id"), "f", "wide"), block_rows)
     search = Search(items, blocks, _bound, "other_id", block_rows)
-    found = search.top_n(sources.withColumnRenamed("f", "f"), _cosine, n, "item_id", visits, known.join(sources.select("item_id"), "item_id", "left_semi"))
+    found = _stage(search.top_n(sources, _cosine, n, "item_id", visits, known.join(sources.select("item_id"), "item_id", "left_semi")).drop("rank"), "copurchase-found")
     # What a cell finds is a pair of wide baskets alone unless it is known; both give together back exactly.
-    other = freq.select(F.col("item_id").alias("other_id"), F.col("f").alias("_g"))
-    counted = found.join(freq, "item_id").join(other, "other_id").select("item_id", "other_id", F.round(F.col("score") * F.sqrt(F.col("f").cast("double") * F.col("_g"))).cast("bigint").alias("together"), "score")
+    n_found = found.count()
+    counted = _looked_up(dealt(found, n_found, "item_id").join(freq, "item_id"), freq.select(F.col("item_id").alias("other_id"), F.col("f").alias("_g")), "other_id", "item_id", n_found, SPREAD)
+    counted = counted.select("item_id", "other_id", F.round(F.col("score") * F.sqrt(F.col("f").cast("double") * F.col("_g"))).cast("bigint").alias("together"), "score")
     rest = known.join(sources.select("item_id"), "item_id", "left_anti").select("item_id", "other_id", "together", "score")
-    return top_k(counted.unionByName(rest), ["item_id"], [F.desc("score"), F.asc("other_id")], n)
+    return top_k(dealt(counted.unionByName(rest), n_found + known.count(), "item_id"), ["item_id"], order, n)
 
 
-def _pairs(lines: DataFrame, freq: DataFrame, chosen: DataFrame | None) -> DataFrame:
+def _tasks(df: DataFrame, rows: int) -> int:
+    """Tasks of ``scale.TASK_ROWS`` rows; 0 where the session's cores get fewer each."""
+    tasks = ceil(rows / scale.TASK_ROWS)
+    return tasks if tasks > df.sparkSession.sparkContext.defaultParallelism else 0
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, by: str, n: int, spread: int, how: str = "inner") -> DataFrame:
+    """``n`` ``rows`` with what ``table`` (one row per ``key``) says; those of a busy key are spread over tasks by ``by``."""
+    tasks = _tasks(rows, n)
+    if not tasks:
+        return rows.join(table, key, how)
+    left = rows.withColumn("_s", F.pmod(F.xxhash64(by), F.lit(spread)).cast("int")).repartition(tasks, key, "_s")
+    right = table.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).repartition(tasks, key, "_s")
+    return left.join(right, [key, "_s"], how).drop("_s")
+
+
+def _pairs(lines: DataFrame, freq: DataFrame, chosen: DataFrame | None, n_lines: int, n_pairs: int) -> DataFrame:
     """(item, other, together, f, g): as ``bought_together``, with the number of orders of both.
 
     Lines take these numbers along before they meet, so that the pairs, which are many more, are not shuffled for them.
-    Where all items are anchors a pair is counted once and read both ways.
+    Where all items are anchors a pair is counted once, the smaller item first. Many pairs are added up in the task
+    where their lines meet, and then in tasks of even numbers of pairs.
     """
-    b = lines.join(freq, "item_id")
-    left = b if chosen is None else b.join(chosen, "item_id", "left_semi")
-    right = b.select("order_id", F.col("item_id").alias("other_id"), F.col("f").alias("g"))
+    b = _looked_up(lines.filter("order_id IS NOT NULL"), freq, "item_id", "order_id", n_lines, SPREAD)
+    tasks = _tasks(lines, n_pairs)
+    if tasks:
+        b = b.withColumn("_task", F.pmod(F.xxhash64("order_id"), F.lit(tasks * 16)).cast("int"))
+    task = ["_task"] if tasks else []
+    here = lambda df: df.repartition(tasks, "_task") if tasks else df
+    left = here(b if chosen is None else b.join(chosen, "item_id", "left_semi"))
+    right = here(b.select(*task, "order_id", F.col("item_id").alias("other_id"), F.col("f").alias("g")))
     apart = F.col("item_id") < F.col("other_id") if chosen is None else F.col("item_id") != F.col("other_id")
-    met = left.join(right, "order_id").filter(apart).groupBy("item_id", "other_id", "f", "g").agg(F.count(F.lit(1)).alias("together"))
-    if chosen is not None:
+    met = left.join(right, [*task, "order_id"]).filter(apart).groupBy(*task, "item_id", "other_id", "f", "g").agg(F.count(F.lit(1)).alias("together"))
+    if not tasks:
         return met
+    return met.drop("_task").repartition(tasks, "item_id", "other_id").groupBy("item_id", "other_id", "f", "g").agg(F.sum("together").alias("together"))
+
+
+def _both_ways(pairs: DataFrame, chosen: DataFrame | None) -> DataFrame:
+    if chosen is not None:
+        return pairs
     ways = F.array(F.struct("item_id", "other_id", "f", "g"), F.struct(F.col("other_id").alias("item_id"), F.col("item_id").alias("other_id"), F.col("g").alias("f"), F.col("f").alias("g")))
-    return met.select("together", F.inline(ways))
+    return pairs.select("together", F.inline(ways))
+
+
+def _limited(scored: DataFrame, n_pairs: int, n: int) -> DataFrame:
+    """The ``scored`` pairs by item in even tasks; of an item, only the best ``n`` of each of ``SPREAD`` parts of its pairs."""
+    tasks = _tasks(scored, 2 * n_pairs)
+    if not tasks:
+        return scored
+    parts = scored.withColumn("_part", F.pmod(F.xxhash64("other_id"), F.lit(SPREAD)).cast("int")).repartition(tasks, "item_id", "_part")
+    return top_k(parts, ["item_id", "_part"], [F.desc("score"), F.asc("other_id")], n).drop("rank", "_part").repartition(tasks, "item_id")
 
 
 def _scored(pairs: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch
+from .scale import TASK_ROWS, dealt
 from .similarity import BLOCK_ROWS, PLACES, Score, best_of_cell, block_top_n
 
 PIVOTS, BLOCKS, BANDS = 256, 32_768, 64
@@ -151,15 +152,15 @@ class Search:
         visits = visits if visits is not None else Visits()
         sources = sources.withColumn("_need", F.col("need").cast("int") if "need" in sources.columns else F.lit(n))
         kinds = {f.name: f.dataType.simpleString() for f in [*sources.schema, *self.items.schema]}
-        count = sources.count()
+        count, asked = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("_need"), F.lit(0))).first()
         chunks = max(1, ceil(count / self.block_rows))
         visits.possible += count * n_blocks
         sources = _stage(sources.withColumn("_chunk", F.pmod(F.xxhash64(source_key), F.lit(chunks)).cast("int")), "index-sources")
         found = f"{source_key} {kinds[source_key]}, {key} {kinds[key]}, score double"
-        best = sources.sparkSession.createDataFrame([], found)
+        best = sources.sparkSession.createDataFrame([], found + ", rank int")
         self._twice = start is not None
         if start is not None:
-            best = _stage(self._kept(start.select(source_key, key, "score"), sources, source_key).drop("rank"), "index-best")
+            best = _stage(self._kept(start.select(source_key, key, "score"), sources, source_key, asked), "index-best")
         visited = None
         upto = min(FIRST, n_blocks)
         while n_blocks:
@@ -182,12 +183,16 @@ class Search:
             def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
                 return best_of_cell(left, right, score, "_need", source_key, key)
 
+            tasks = ceil((number + cells.count() * self.block_rows) / TASK_ROWS)
+            if tasks > sources.sparkSession.sparkContext.defaultParallelism:
+                rows, met = (side.repartition(tasks, "_block", "_chunk") for side in (rows, met))
             new = rows.groupBy("_block", "_chunk").cogroup(met.groupBy("_block", "_chunk")).applyInPandas(cell, found)
-            best = _stage(self._kept(best.unionByName(new), sources, source_key).drop("rank"), "index-best")
-        return self._kept(best, sources, source_key)
+            best = _stage(self._kept(best.drop("rank").unionByName(new), sources, source_key, 2 * asked), "index-best")
+        return best
 
-    def _kept(self, best: DataFrame, sources: DataFrame, source_key: str) -> DataFrame:
+    def _kept(self, best: DataFrame, sources: DataFrame, source_key: str, rows: int) -> DataFrame:
         order = Window.partitionBy(source_key).orderBy(F.desc("score"), F.asc(self.key))
+        best = dealt(best, rows, source_key)
         if self._twice:
             best = best.groupBy(source_key, self.key).agg(F.max("score").alias("score"))
         ranked = best.join(sources.select(source_key, "_need"), source_key).withColumn("rank", F.row_number().over(order))
@@ -196,8 +201,8 @@ class Search:
     def _wanted(self, sources: DataFrame, best: DataFrame, source_key: str, upto: int) -> DataFrame:
         """(source, chunk, block): of the ``upto`` blocks of a source's best bounds, those that its n-th score does not rule out."""
         kind = sources.schema[source_key].dataType.simpleString()
-        worst = F.max(F.struct((-F.col("score")).alias("score"), F.col(self.key).alias("item")))
-        state = best.groupBy(source_key).agg(F.count(F.lit(1)).alias("_have"), F.min("score").alias("_least"), worst["item"].alias("_last"))
+        # The row of a source's n-th rank is what a block has to reach; a source without one has fewer so far.
+        last = best.select(F.col(source_key).alias("_source"), F.col("rank").alias("_rank"), F.col("score").alias("_least"), F.col(self.key).alias("_last"))
         bound_of, blocks = self.bound, self.blocks
         step = max(1, 2_000_000 // max(len(blocks), 1))
 
@@ -206,7 +211,7 @@ class Search:
                 for at in range(0, len(batch), step):
                     rows = batch.iloc[at : at + step]
                     bound = bound_of(rows, blocks)
-                    enough = rows["_have"].fillna(0).to_numpy() >= rows["_need"].to_numpy()
+                    enough = rows["_least"].notna().to_numpy()
                     least = np.where(enough, rows["_least"].to_numpy(dtype=float), -np.inf)
                     order = np.argsort(-bound, axis=1, kind="stable")[:, :upto]
                     own = np.take_along_axis(bound, order, axis=1)
@@ -217,7 +222,7 @@ class Search:
                     row, col = np.nonzero(reach & (own > -np.inf) & (rows["_need"].to_numpy() > 0)[:, None])
                     yield pd.DataFrame({source_key: rows[source_key].to_numpy()[row], "_chunk": rows["_chunk"].to_numpy()[row], "_block": order[row, col].astype("int32")})
 
-        return sources.join(state, source_key, "left").mapInPandas(visit, f"{source_key} {kind}, _chunk int, _block int")
+        return sources.join(last, (F.col(source_key) == F.col("_source")) & (F.col("_need") == F.col("_rank")), "left").drop("_source", "_rank").mapInPandas(visit, f"{source_key} {kind}, _chunk int, _block int")
 
 
 class Index(Search):

@@ -5,6 +5,7 @@ import pytest
 from conftest import plan
 
 from bazaarlens.operators import copurchase as CP
+from bazaarlens.operators import neighbours, scale
 from bazaarlens.operators.neighbours import Visits
 
 
@@ -65,3 +66,20 @@ def test_pairs_are_counted_once_and_not_joined_with_frequencies(spark):
     assert text.index("Join") > text.index("together")  # every join stands below the count
     above = text[: text.index("Join")]
     assert "item_id" in above and above.count("Exchange") <= 2
+
+
+def test_tasks_follow_the_rows_and_results_stay(spark, monkeypatch):
+    monkeypatch.setattr(scale, "TASK_ROWS", 40)
+    monkeypatch.setattr(neighbours, "TASK_ROWS", 200)
+    rng = np.random.default_rng(16)
+    # Item 0 is in every small basket, null ids are no order's and no item's.
+    data = [(o, int(i)) for o in range(90) for i in {0, *rng.choice(60, size=4, replace=False)}] + [(100 + k, i) for k in range(3) for i in range(k, 70, 1 + k)]
+    b = spark.createDataFrame([*data, *data[:20], (1, None), (None, None)], "order_id long, item_id long")
+    out = CP.item_item(b, b, 3, 8, 30)
+    assert "REPARTITION_BY_NUM" in plan(out)
+    assert result(out) == brute(data, 3)
+    small = [(o, i) for o, i in data if o < 100]
+    s = spark.createDataFrame(small, "order_id long, item_id long")
+    out = CP.item_item(s, s, 3, 8)
+    assert "REPARTITION_BY_NUM" in plan(out) and result(out) == brute(small, 3)
+    assert result(CP.item_item(b, b.filter("item_id % 7 = 0"), 3, 8, 30)) == {k: v for k, v in brute(data, 3).items() if k % 7 == 0}
