@@ -57,7 +57,6 @@ def _code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 FIRST, SIZE, NODES, PATH_BITS = _code()
 DEPTH = np.concatenate([np.arange(n) for n in SIZE]).astype(np.int64)
 
-_GATE = np.minimum(DEPTH, 3)
 _AWAY = np.where(PATH_BITS > 0, -1, 1).astype(np.float32)
 
 # ---- predictors
@@ -67,6 +66,7 @@ SLOT_BITS = 20
 SLICE = 1 << 14
 _NODE_KEY = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
 _STEP_KEY = _NODE_KEY[NODES]
+_DEEP = SIZE - 3  # bits of a byte in the last gate; every path has the three of the others
 STRETCH = 15.0  # stretch values are kept as whole numbers of fifteenths
 
 
@@ -89,8 +89,13 @@ def contexts(low: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     return [((two + np.uint32(1)) * np.uint32(0x9E3779B1)) >> np.uint32(8), ((four + np.uint32(7)) * np.uint32(0x85EBCA6B)) >> np.uint32(8), (word >> np.uint64(40)).astype(np.uint32)]
 
 
-def _slots(context: np.ndarray, key: np.ndarray) -> np.ndarray:
-    h = context * np.uint32(0xC2B2AE35) + key
+def _spread(context: np.ndarray) -> np.ndarray:
+    return context * np.uint32(0xC2B2AE35)
+
+
+def _slots(spread: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Slots of bits: the ``_spread`` context of their byte and the key of their step."""
+    h = spread + key
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x27D4EB2F)
     return (h >> np.uint32(32 - SLOT_BITS)).astype(np.int64)
@@ -114,7 +119,7 @@ class BitCounts:
         for k, c in enumerate(context):
             pair, times = np.unique((c << np.uint32(8) | low)[use], return_counts=True)
             size, step = _expand((pair & np.uint32(255)).astype(np.int64))
-            slot = _slots(np.repeat(pair >> np.uint32(8), size), _STEP_KEY.take(step))
+            slot = _slots(np.repeat(_spread(pair >> np.uint32(8)), size), _STEP_KEY.take(step))
             self.table[k] += np.bincount(slot * 2 + PATH_BITS.take(step), weights=np.repeat(times, size), minlength=2 << SLOT_BITS).astype(np.int32)
 
     def slices(self) -> list[tuple[int, int, bytes]]:
@@ -161,7 +166,7 @@ class Mixer:
         n, texts_ = len(low), len(ends) - 1
         if not n:
             return np.zeros(texts_)
-        context = contexts(low, ends)
+        context = [_spread(c) for c in contexts(low, ends)]
         text_of = np.repeat(np.arange(texts_), np.diff(ends))
         place = np.arange(n) - ends[text_of]
         lane_key = (ends[:-1] // self.SEGMENT + np.arange(texts_))[text_of] + place // self.SEGMENT
@@ -170,7 +175,7 @@ class Mixer:
         block = place % self.SEGMENT // self.BLOCK
         order = np.argsort(block.astype(np.uint8), kind="stable")
         cuts = np.searchsorted(block[order], np.arange(self.SEGMENT // self.BLOCK + 1))
-        lanes, inputs = int(lane[-1]) + 1, len(PREDICTORS)
+        lanes, inputs, flat = int(lane[-1]) + 1, len(PREDICTORS), self.GATES - 1
         weights = [np.full(lanes * self.GATES, 0.4 / STRETCH, dtype=np.float32) for _ in range(inputs)]
         scale, shift = np.ones(lanes, dtype=np.float32), np.zeros(lanes, dtype=np.float32)
         cost = np.zeros(lanes)
@@ -178,30 +183,52 @@ class Mixer:
             if a == b:
                 break
             at = order[a:b]
-            symbol, own = low.take(at).astype(np.int64), lane.take(at)
+            symbol, own = low.take(at), lane.take(at)
             begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            size, step = _expand(symbol)
-            who, many = own[begin], np.add.reduceat(size, begin)
-            here = np.cumsum(many) - many
-            key = _STEP_KEY.take(step)
-            x = [self.tables[k].take(_slots(np.repeat(context[k].take(at), size), key)).astype(np.float32) for k in range(inputs)]
-            gate = np.repeat(who * self.GATES, many) + _GATE.take(step)
-            mixed = weights[0].take(gate) * x[0]
+            # Bits stand gate by gate, and lane by lane inside a gate: a cell of both is a run, whose sums need no scatter.
+            who, count, m = own[begin], np.diff(np.append(begin, len(at))), len(at) * flat
+            first, deep = FIRST.take(symbol), _DEEP.take(symbol)
+            upto = np.cumsum(deep)
+            step = np.empty(m + int(upto[-1]), dtype=np.int64)
+            for k in range(flat):
+                np.add(first, k, out=step[k * len(at) : (k + 1) * len(at)])
+            step[m:] = np.arange(len(step) - m)
+            step[m:] += np.repeat(first + flat - upto + deep, deep)
+            runs = np.concatenate([count] * flat + [np.add.reduceat(deep, begin)])
+            some = np.flatnonzero(runs)
+            here = (np.cumsum(runs) - runs)[some]
+            runs, who = runs[some], np.tile(who, self.GATES)[some]
+            cell = some // len(begin) * lanes + who
+            many = np.bincount(who, weights=runs, minlength=lanes)[who]
+
+            def total(values):
+                return np.add.reduceat(values, here, dtype=np.float64)
+
+            def by_lane(sums):
+                return np.bincount(who, weights=sums, minlength=lanes)
+
+            key, away = _STEP_KEY.take(step, mode="clip"), _AWAY.take(step, mode="clip")
+            x, spread = [], np.empty(len(step), dtype=np.uint32)
+            for k in range(inputs):
+                own_context = context[k].take(at)
+                spread[:m].reshape(flat, -1)[:] = own_context
+                spread[m:] = np.repeat(own_context, deep)
+                x.append(self.tables[k].take(_slots(spread, key), mode="wrap").astype(np.float32))
+            mixed = np.repeat(weights[0][cell], runs) * x[0]
             for k in range(1, inputs):
-                mixed += weights[k].take(gate) * x[k]
-            away = _AWAY.take(step)
-            z = np.clip(np.repeat(scale[who], many) * mixed + np.repeat(shift[who], many), -12, 12) * away
+                mixed += np.repeat(weights[k][cell], runs) * x[k]
+            z = np.clip(np.repeat(scale[who], runs) * mixed + np.repeat(shift[who], runs), -12, 12) * away
             small = np.exp(-np.abs(z))
-            loss = np.maximum(z, 0) + np.log(1 + small)
-            error = -away * np.where(z >= 0, np.float32(1), small) / (1 + small)
-            cost[who] += np.add.reduceat(loss.astype(np.float64), here)
-            rate = np.zeros(lanes)
-            rate[who] = self.RATE / many / STRETCH**2
-            rate = np.repeat(rate, self.GATES)
+            one = 1 + small
+            # A run has fewer than 1,024 bits, so that this product of numbers up to two stays finite.
+            cost += by_lane(total(np.maximum(z, 0)) + np.log(np.multiply.reduceat(one, here, dtype=np.float64)))
+            half = np.float32(0.5)
+            error = -away * (half + np.copysign(half - small / one, z))
+            rate = self.RATE / many / STRETCH**2
             for k in range(inputs):
-                weights[k] += (rate * np.bincount(gate, weights=error * x[k], minlength=len(rate))).astype(np.float32)
-            scale[who] += self.LAST_RATE / 4 * np.add.reduceat(error * mixed, here) / many
-            shift[who] += self.LAST_RATE * np.add.reduceat(error, here) / many
+                weights[k][cell] += (rate * total(error * x[k])).astype(np.float32)
+            scale += (self.LAST_RATE / 4 * by_lane(total(error * mixed) / many)).astype(np.float32)
+            shift += (self.LAST_RATE * by_lane(total(error) / many)).astype(np.float32)
         return np.bincount(text_of[new_lane], weights=cost, minlength=texts_) / math.log(2)
 
 
@@ -368,7 +395,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def model_score(batches):
         mixer = Mixer(shared.value)
-        for r, data, ends in byte_chunks(batches, limit=1 << 19):
+        for r, data, ends in byte_chunks(batches, limit=1 << 18):
             bits = mixer.bits(LOWER[data], ends)
             yield pa.RecordBatch.from_arrays([*[r.column(c) for c in ("row", "doc_id", "held_out")], pa.array(bits * -math.log10(2)), pa.array(np.diff(ends)), pa.array(bits / np.maximum(np.diff(ends), 1))],
                                              names=["row", "doc_id", "held_out", "score", "n_bytes", "bits_per_byte"])

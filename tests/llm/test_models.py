@@ -181,6 +181,43 @@ def test_mixer_is_a_distribution_and_ignores_company():
     assert together[1] / len(prefix) < together[0] / len(noise) / 2
 
 
+def plain_bits(tables, text):
+    """The mixer bit by bit: one segment after the other, weights moved after every block."""
+    low, total = np.frombuffer(text, np.uint8), 0.0
+    context = [_c.tolist() for _c in L.contexts(low, np.array([0, len(low)]))]
+    for begin in range(0, len(low), L.Mixer.SEGMENT):
+        weights, scale, shift = np.full((L.Mixer.GATES, 3), 0.4 / L.STRETCH), 1.0, 0.0
+        for at in range(begin, min(begin + L.Mixer.SEGMENT, len(low)), L.Mixer.BLOCK):
+            move, by_scale, by_shift, bits = np.zeros_like(weights), 0.0, 0.0, 0
+            for i in range(at, min(at + L.Mixer.BLOCK, begin + L.Mixer.SEGMENT, len(low))):
+                for d in range(L.SIZE[low[i]]):
+                    step = L.FIRST[low[i]] + d
+                    slot = [L._slots(L._spread(np.array([c[i]], np.uint32)), L._STEP_KEY[[step]])[0] for c in context]
+                    x, bit, gate = np.array([float(t[k]) for t, k in zip(tables, slot)]), int(L.PATH_BITS[step]), min(d, L.Mixer.GATES - 1)
+                    mixed = weights[gate] @ x
+                    p = 1 / (1 + math.exp(-min(12, max(-12, scale * mixed + shift))))
+                    total -= math.log2(p if bit else 1 - p)
+                    move[gate] += (bit - p) * x
+                    by_scale, by_shift, bits = by_scale + (bit - p) * mixed, by_shift + bit - p, bits + 1
+            weights += L.Mixer.RATE / L.STRETCH**2 * move / bits
+            scale += L.Mixer.LAST_RATE / 4 * by_scale / bits
+            shift += L.Mixer.LAST_RATE * by_shift / bits
+    return total
+
+
+def test_mixer_equals_bit_by_bit_and_scatters_no_bits(monkeypatch):
+    rng = np.random.default_rng(12)
+    tables = rng.integers(-60, 61, (3, 1 << L.SLOT_BITS)).astype(np.int8)
+    shortest = bytes([int(np.argmin(L.SIZE))])  # no bits in the last gate
+    texts = [b"the cat sat on the mat", shortest, b"", shortest * 70, rng.integers(0, 256, 5000).astype(np.uint8).tobytes(), b"x"]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    scattered, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **k: scattered.append(len(x)) or bincount(x, *a, **k))
+    got = L.Mixer(tables).bits(data, ends)
+    assert sum(scattered) < len(data)  # sums go over runs of bits, not bit by bit
+    assert np.allclose(got, [plain_bits(tables, t) for t in texts], rtol=1e-5)
+
+
 def test_code_is_a_prefix_code():
     assert math.isclose(sum(2.0 ** -int(n) for n in L.SIZE), 1.0)
 
