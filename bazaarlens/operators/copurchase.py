@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from . import scale
+from . import packed, scale
 from .neighbours import BLOCKS, Search, Visits, _stage
 from .scale import dealt, top_k
 
@@ -86,30 +87,85 @@ def item_item(baskets: DataFrame, anchors: DataFrame, n: int = 10, wide: int = W
     completed from these lists. All further pairs share wide baskets only; they are searched block by block, items in the
     order of their number of orders: a block is left out where neither its items' numbers nor the wide baskets
     they could share let it reach an anchor's n-th score, or where it could only tie with larger ids. Cells are
-    products of sparse matrices and emit their best n. So no basket's pairs are ever listed, and the result is the same for
-    every ``wide``. Ids are numbers.
+    products of sparse matrices and emit their best n. So no wide basket's pairs are ever listed, and the result is the same for
+    every ``wide``. Ids are numbers. Where all items are anchors and lines are many, pairs travel as packed lists (``packed``).
     """
-    lines = _stage(dealt(baskets.select("order_id", "item_id"), baskets.count(), "order_id", "item_id").distinct(), "copurchase-lines")
+    rows = baskets.count()
+    if anchors is baskets and _tasks(baskets, rows) and _whole_numbers(baskets):
+        return _of_many(baskets, rows, n, wide, block_rows, visits)
+    lines = _stage(dealt(baskets.select("order_id", "item_id"), rows, "order_id", "item_id").distinct(), "copurchase-lines")
     freq = lines.groupBy("item_id").agg(F.count(F.lit(1)).alias("f"))
     chosen = None if anchors is baskets else anchors.select("item_id").distinct()
     size = F.col("n")
     sizes = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"))
     n_lines, n_small, n_pairs = sizes.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(size <= wide, size)), F.lit(0)), F.coalesce(F.sum(F.when(size <= wide, size * (size - 1))), F.lit(0))).first()
     n_pairs = n_pairs // 2 if chosen is None else n_pairs
-    order = [F.desc("score"), F.asc("other_id")]
     if n_lines == n_small:
-        return top_k(_limited(_scored(_both_ways(_pairs(lines, freq, chosen, n_small, n_pairs), chosen)), n_pairs, n), ["item_id"], order, n)
+        return top_k(_limited(_scored(_both_ways(_pairs(lines, freq, chosen, n_small, n_pairs), chosen)), n_pairs, n), ["item_id"], [F.desc("score"), F.asc("other_id")], n)
     large = _stage(sizes.filter(size > wide).select("order_id"), "copurchase-wide")
-    held = dealt(lines.join(large, "order_id").select("item_id", F.col("order_id").cast("bigint").alias("order_id")), n_lines - n_small, "item_id")
-    held = _stage(held.groupBy("item_id").agg(F.sort_array(F.collect_list("order_id")).alias("wide")).join(freq, "item_id"), "copurchase-lists")
-    pairs = _pairs(lines.join(large, "order_id", "left_anti"), freq, chosen, n_small, n_pairs)
+    held = _lists(lines.join(large, "order_id"), freq, n_lines - n_small)
+    known = _known(_pairs(lines.join(large, "order_id", "left_anti"), freq, chosen, n_small, n_pairs), held, chosen, n_pairs, n)
+    return _searched(held, _stage(known, "copurchase-known"), freq, chosen, n, block_rows, visits)
+
+
+def _of_many(baskets: DataFrame, rows: int, n: int, wide: int, block_rows: int, visits: Visits | None) -> DataFrame:
+    """As ``item_item``, of more lines than the cores should sort at once: pairs are shuffled as packed lists of a line's others.
+
+    Only pairs of two items that wide baskets hold, which their lists complete, are rows.
+    """
+    kind = baskets.schema["item_id"].dataType
+    tasks, raw = _tasks(baskets, rows), baskets.select(F.col("order_id").cast("bigint").alias("order_id"), F.col("item_id").cast("bigint").alias("item_id"))
+    lines = packed.counted(raw, rows, tasks).withColumn("held", F.lit(False))
+    groups = packed.grouped(lines, tasks, packed.busy(raw, "order_id", rows, max(wide, packed.BUSY_LINES)))
+    size = F.size("items")
+    small = F.col("whole") & (size <= wide)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    n_lines, n_small, n_pairs = groups.agg(total(size), total(F.when(small, size)), total(F.when(small, size.cast("bigint") * (size - 1)))).first()
+    typed = lambda df: df.withColumns({c: F.col(c).cast(kind) for c in ("item_id", "other_id")})
+    if n_lines == n_small:
+        return typed(packed.nearest(groups, n_pairs, n_small, n))
+    freq = _stage(packed.lines_of(groups).groupBy("item_id").agg(F.max("f").alias("f")), "copurchase-freq")
+    held = _lists(packed.lines_of(groups.filter(~small)).select("order_id", "item_id"), freq, n_lines - n_small)
+    both, n_both = groups.filter(small), n_pairs
+    known = None
+    if held.count() < freq.count():
+        marked = packed.lines_of(both).drop("held").join(held.select("item_id", F.lit(True).alias("held")), "item_id", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+        both = packed.grouped(marked, tasks, [])
+        of_both = F.size(F.filter("held", lambda x: x))
+        n_both = both.agg(total(of_both.cast("bigint") * (of_both - 1))).first()[0]
+        known = packed.nearest(both, n_pairs - n_both, n_small, n).drop("rank")
+        lines, n_small = packed.lines_of(both).filter("held"), both.agg(total(of_both)).first()[0]
+    else:
+        lines = packed.lines_of(both)
+    completed = _known(_pairs(lines.drop("held"), None, None, n_small, n_both // 2), held, None, n_both // 2, n)
+    if known is not None:
+        known = top_k(known.unionByName(completed), ["item_id"], [F.desc("score"), F.asc("other_id")], n).drop("rank")
+    return typed(_searched(held, _stage(completed if known is None else known, "copurchase-known"), freq, None, n, block_rows, visits))
+
+
+def _whole_numbers(baskets: DataFrame) -> bool:
+    return all(isinstance(baskets.schema[c].dataType, IntegralType) for c in ("order_id", "item_id"))
+
+
+def _lists(lines: DataFrame, freq: DataFrame, n: int) -> DataFrame:
+    """(item, wide, f): the orders of ``n`` lines of wide baskets, by item."""
+    lines = dealt(lines.select("item_id", F.col("order_id").cast("bigint").alias("order_id")), n, "item_id")
+    return _stage(lines.groupBy("item_id").agg(F.sort_array(F.collect_list("order_id")).alias("wide")).join(freq, "item_id"), "copurchase-lists")
+
+
+def _known(pairs: DataFrame, held: DataFrame, chosen: DataFrame | None, n_pairs: int, n: int) -> DataFrame:
+    """Pairs of smaller baskets, completed by the wide ones; the best ``n`` of each item."""
     lists = lambda key, name: held.select(F.col("item_id").alias(key), F.col("wide").alias(name))
     pairs = _looked_up(pairs, lists("item_id", "_a"), "item_id", "other_id", n_pairs, SPREAD_LISTS, "left")
     pairs = _looked_up(pairs, lists("other_id", "_b"), "other_id", "item_id", n_pairs, SPREAD_LISTS, "left")
     more = F.coalesce(F.size(F.array_intersect("_a", "_b")), F.lit(0))
     pairs = pairs.withColumn("together", F.col("together") + F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), more).otherwise(0)).drop("_a", "_b")
     # What a cell says of a known pair is no more than its score, so no pair beyond an item's n best known ones can come in.
-    known = _stage(top_k(_limited(_scored(_both_ways(pairs, chosen)), n_pairs, n), ["item_id"], order, n).drop("rank"), "copurchase-known")
+    return top_k(_limited(_scored(_both_ways(pairs, chosen)), n_pairs, n), ["item_id"], [F.desc("score"), F.asc("other_id")], n).drop("rank")
+
+
+def _searched(held: DataFrame, known: DataFrame, freq: DataFrame, chosen: DataFrame | None, n: int, block_rows: int, visits: Visits | None) -> DataFrame:
+    """The ``known`` pairs with those that only wide baskets hold."""
     sources = (held if chosen is None else held.join(chosen, "item_id", "left_semi")).select("item_id", "f", "wide", F.size("wide").alias("_wide"))
     items, blocks = _blocks(held.select(F.col("item_id").alias("other_id"), "f", "wide"), block_rows)
     search = Search(items, blocks, _bound, "other_id", block_rows)
@@ -119,7 +175,7 @@ def item_item(baskets: DataFrame, anchors: DataFrame, n: int = 10, wide: int = W
     counted = _looked_up(dealt(found, n_found, "item_id").join(freq, "item_id"), freq.select(F.col("item_id").alias("other_id"), F.col("f").alias("_g")), "other_id", "item_id", n_found, SPREAD)
     counted = counted.select("item_id", "other_id", F.round(F.col("score") * F.sqrt(F.col("f").cast("double") * F.col("_g"))).cast("bigint").alias("together"), "score")
     rest = known.join(sources.select("item_id"), "item_id", "left_anti").select("item_id", "other_id", "together", "score")
-    return top_k(dealt(counted.unionByName(rest), n_found + known.count(), "item_id"), ["item_id"], order, n)
+    return top_k(dealt(counted.unionByName(rest), n_found + known.count(), "item_id"), ["item_id"], [F.desc("score"), F.asc("other_id")], n)
 
 
 def _tasks(df: DataFrame, rows: int) -> int:
@@ -138,14 +194,15 @@ def _looked_up(rows: DataFrame, table: DataFrame, key: str, by: str, n: int, spr
     return left.join(right, [key, "_s"], how).drop("_s")
 
 
-def _pairs(lines: DataFrame, freq: DataFrame, chosen: DataFrame | None, n_lines: int, n_pairs: int) -> DataFrame:
+def _pairs(lines: DataFrame, freq: DataFrame | None, chosen: DataFrame | None, n_lines: int, n_pairs: int) -> DataFrame:
     """(item, other, together, f, g): as ``bought_together``, with the number of orders of both.
 
-    Lines take these numbers along before they meet, so that the pairs, which are many more, are not shuffled for them.
+    Without ``freq`` the lines have their item's ``f``. Lines take these numbers along before they meet, so that the pairs, which are many more, are not shuffled for them.
     Where all items are anchors a pair is counted once, the smaller item first. Many pairs are added up in the task
     where their lines meet, and then in tasks of even numbers of pairs.
     """
-    b = _looked_up(lines.filter("order_id IS NOT NULL"), freq, "item_id", "order_id", n_lines, SPREAD)
+    b = lines.filter("order_id IS NOT NULL")
+    b = b if freq is None else _looked_up(b, freq, "item_id", "order_id", n_lines, SPREAD)
     tasks = _tasks(lines, n_pairs)
     if tasks:
         b = b.withColumn("_task", F.pmod(F.xxhash64("order_id"), F.lit(tasks * 16)).cast("int"))
